@@ -1,0 +1,11 @@
+"""Training-data operators. Nothing outside this subpackage imports it.
+
+Worker functions travel by value, so executors need no copy of this package on
+their Python path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
