@@ -107,6 +107,7 @@ def blocked_members(members: DataFrame, block: int) -> DataFrame:
     is dealt into blocks, and each pair of blocks is a group of its own, so that a group has at
     most about twice ``block`` rows and still every pair of ids meets.
     """
+    members = members.repartition("key").distinct()  # one exchange, which the counts and the join below share
     counts = (
         members.groupBy("key")
         .agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 7))").alias("y"))
