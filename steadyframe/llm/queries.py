@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadyframe.llm import decontam, iblt, langid, linededup, packing, simhash, urlfilter
+from steadyframe.llm import decontam, iblt, langid, linededup, packing, pii, resample, simhash, suffix, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,15 +31,32 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return resample.resample(docs, good, fraction=0.8).select("doc_id", "log_weight", "gumbel_key", "selected")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    base = pii.rendered(list(pii.KINDS))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.rendered([*pii.KINDS, "context"]).alias("spans"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -54,7 +71,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op4_best_fit_packing, op6_line_dedup, op8_simhash_near_dedup, op9_document_fingerprints, op10_url_filters)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_quality_resampling, op4_best_fit_packing, op5_personal_data, op6_line_dedup, op7_suffix_dedup, op8_simhash_near_dedup, op9_document_fingerprints, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
