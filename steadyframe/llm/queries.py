@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from steadyframe.llm import decontam, iblt, langid, linededup, packing, pii, resample, simhash, suffix, urlfilter
 
+from steadyframe.llm.oracles import oracle_sql  # noqa: F401
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -72,7 +74,3 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_quality_resampling, op4_best_fit_packing, op5_personal_data, op6_line_dedup, op7_suffix_dedup, op8_simhash_near_dedup, op9_document_fingerprints, op10_url_filters)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -129,9 +129,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def components(rows: DataFrame, most: int = 4) -> DataFrame:
-    """Rows with ``fp`` and ``__id`` to distinct (fp, component_id)."""
+    """Rows with ``fp`` and ``__id`` to distinct (fp, root, component_id): the component's smallest fingerprint and id."""
     distinct = materialize(rows.groupBy("fp").agg(F.min("__id").alias("least")), "distinct")
     joined = materialize(connected_components(links(distinct, most)), "components")
     named = distinct.join(small(joined), distinct.fp == joined.id, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return materialize(named.join(names, "root").select("fp", "component_id"), "named")
+    return materialize(named.join(names, "root").select("fp", "root", "component_id"), "named")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
+    """``docs`` with one row of each linked component: the one with the smallest id (null last), then text hash.
+
+    Rows equal in id and text are one of them. Only ids, hashes and fingerprints are shuffled; what is dropped is
+    joined back by a broadcast if it is few rows, else by a shuffle.
+    """
+    slim = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__th"), F.col(text_col).alias("__t"))
+    rows = materialize(add_fingerprints(slim, "__t").drop("__t"), "fingerprints")
+    named = rows.join(small(components(rows, most)), "fp")
+    place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("__id"), F.col("__th").alias("__th"))
+    keyed = named.groupBy("root", "__id", "__th").agg(F.count("*").alias("n"))
+    best = keyed.groupBy("root").agg(F.min(place).alias("best"))
+    marked = materialize(keyed.join(best, "root").select(F.col("__id").alias("__i"), F.col("__th").alias("__h"), "n", place.eqNullSafe(F.col("best")).alias("stays")), "marked")
+    same = F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(text_col) == F.col("__h"))
+    kept = docs.join(small(marked.where("not stays").select("__i", "__h")), same, "left_anti")
+    twice = marked.where("stays and n > 1").select("__i", "__h")
+    if twice.isEmpty():
+        return kept
+    again = kept.join(small(twice), same, "left_semi").withColumn("__h", F.xxhash64(text_col)).dropDuplicates([id_col, "__h"]).drop("__h")
+    return kept.join(small(twice), same, "left_anti").unionByName(again)
+
