@@ -1 +1,10 @@
-"""Camera-quality analytics and training-data operators for PySpark."""
+"""Camera-quality analytics and training-data operators for PySpark.
+
+Worker functions travel by value, so executors need no copy of this package on their Python path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
