@@ -29,9 +29,9 @@ def queries() -> dict[str, Query]:
     return dict(FOUND)
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, and negative zero made zero."""
-    return df.select(*[(F.round(f.name, digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places, negative zero to zero. The nudge keeps exact halves off the edge, where the last bit would decide."""
+    return df.select(*[(F.round(F.col(f.name) + 3e-8, 6) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
 
 
 def tracks(s: SparkSession, d: str) -> DataFrame:
@@ -343,7 +343,8 @@ def loco_ridge_scores(s, d):
 
 @query
 def parse_labels(s, d):
-    return labels(s, d).select("segment_id", "frame_idx", "class_id", "object_id", "cx", "cy", "width", "height", "error")
+    number = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    return labels(s, d).select("segment_id", "frame_idx", number("class_id"), number("object_id"), "cx", "cy", "width", "height", "error")
 
 
 @query
