@@ -8,13 +8,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of two or three longs that may be broadcast (a few MB); larger sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Rows of two or three longs that may be broadcast (tens of MB); larger sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -101,27 +101,29 @@ class Forest:
 
 
 def blocked_members(members: DataFrame, block: int) -> DataFrame:
-    """Rows (key, id) to (key, i, j, id): the groups in which the ids of a key meet pairwise.
+    """Rows (key, id) to (deal, key, i, j, id): the groups (key, i, j) in which the ids of a key meet pairwise.
 
     Keys with one id go; of keys with the same set of ids one stays. A key with more than ``block`` ids
     is dealt into blocks, and each pair of blocks is a group of its own, so that a group has at
-    most about twice ``block`` rows and still every pair of ids meets.
+    most about twice ``block`` rows and still every pair of ids meets. ``deal`` is the same for groups of unblocked keys
+    with the same smallest id, which often overlap.
     """
-    members = members.repartition("key").distinct()  # one exchange, which the counts and the join below share
+    key = Window.partitionBy("key")
+    met = members.repartition("key").withColumns({"lo": F.min("id").over(key), "hi": F.max("id").over(key)}).where("lo < hi")
+    met = materialize(met.select("key", "id").distinct(), "met")
     counts = (
-        members.groupBy("key")
+        met.groupBy("key")
         .agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 7))").alias("y"))
-        .where("n > 1")
         .groupBy("n", "lo", "hi", "x", "y")
         .agg(F.min("key").alias("key"))
-        .select("key", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
+        .select("key", "lo", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
     )
-    spread = F.expr("pmod(xxhash64(id, 3), blocks)")
     return (
-        members.join(counts, "key")
-        .withColumn("own", spread)
+        met.join(counts, "key")
+        .withColumn("own", F.expr("pmod(xxhash64(id, 3), blocks)"))
         .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id")
+        .select("key", "lo", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id")
+        .select(F.when(F.col("blocks") == 1, F.col("lo")).otherwise(F.xxhash64("key", "i", "j")).alias("deal"), "key", "i", "j", "id")
     )
 
 

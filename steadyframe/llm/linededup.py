@@ -94,7 +94,7 @@ def near_edges(docs: DataFrame, text_col: str, threshold: float, width: int, ban
                     if size > 256 << 10:
                         yield signed(lines, hashes)
                         lines, hashes, size = [], [], 0
-                if len(seen) > 1_000_000:
+                if len(seen) > 250_000:
                     seen.clear()
             if lines:
                 yield signed(lines, hashes)
@@ -108,50 +108,62 @@ def near_edges(docs: DataFrame, text_col: str, threshold: float, width: int, ban
     groups = materialize(blocked_members(members, block), "groups")
     wanted = materialize(groups.select("id").distinct(), "wanted")
     texts = _lines(docs, text_col).join(small(wanted), F.col("h") == F.col("id"), "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    dealt = groups.join(texts, F.col("id") == F.col("h")).select("key", "i", "j", "id", "line").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    dealt = groups.join(texts, F.col("id") == F.col("h")).select("deal", "key", "i", "j", "id", "line").repartition("deal").sortWithinPartitions("deal", "key", "i", "j", "id")
 
     def verify(frames):
         import pandas as pd
 
-        for f in sorted_groups(frames, ["key", "i", "j"]):
-            cuts, ids, lines = group_starts(f, ["key", "i", "j"]), f["id"].tolist(), f["line"].tolist()
+        for f in sorted_groups(frames, ["deal"]):
+            deals, cuts = group_starts(f, ["deal"]).tolist(), group_starts(f, ["deal", "key", "i", "j"]).tolist()
+            ids, lines = f["id"].tolist(), f["line"].tolist()
             found: list[tuple[int, int]] = []
-            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                found += forest_of(ids[s:e], lines[s:e], threshold, width)
+            known = Verified(threshold, width)
+            for s, e in zip(cuts, cuts[1:]):
+                if s >= deals[0]:  # the next deal: other lines
+                    deals.pop(0)
+                    known = Verified(threshold, width)
+                found += known.links(ids[s:e], lines[s:e])
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return dealt.mapInPandas(verify, "a long, b long").distinct()
 
 
-def forest_of(ids: list[int], lines: list[str], threshold: float, width: int) -> list[tuple[int, int]]:
-    """Links that join what is similar: a line is held against each component until one of its lines is similar."""
-    parts: list[list[int]] = []
-    sets = {}
-    out = []
-    for x, line in zip(ids, lines):
-        if x in sets:
-            continue
-        sets[x] = mine = shingles(line, width)
-        joined = None
-        for part in parts:
-            for y in part:
-                other = sets[y]
-                if min(len(mine), len(other)) < threshold * max(len(mine), len(other)):
-                    continue
-                both = len(mine & other)
-                if both >= threshold * (len(mine) + len(other) - both):
-                    out.append((x, y))
-                    if joined is None:
-                        joined = part
-                        part.append(x)
-                    else:
-                        joined += part
-                        part.clear()
-                    break
-        parts = [p for p in parts if p]
-        if joined is None:
-            parts.append([x])
-    return out
+class Verified:
+    """Exact similarity of the lines of groups that may overlap: what one group joined, another need not compare again."""
+
+    def __init__(self, threshold: float, width: int) -> None:
+        self.threshold, self.width = threshold, width
+        self.forest, self.sets = Forest(), {}
+
+    def similar(self, x: int, y: int) -> bool:
+        a, b = self.sets[x], self.sets[y]
+        if min(len(a), len(b)) < self.threshold * max(len(a), len(b)):
+            return False
+        both = len(a & b)
+        return both >= self.threshold * (len(a) + len(b) - both)
+
+    def links(self, ids: list[int], lines: list[str]) -> list[tuple[int, int]]:
+        """New links that join what is similar: a line is held against each component until one of its lines is similar."""
+        lines_of = dict(zip(ids, lines))
+        parts: dict[int, list[int]] = {}
+        for x in lines_of:
+            parts.setdefault(self.forest.find(x), []).append(x)
+        if len(parts) == 1:
+            return []
+        for x, line in lines_of.items():
+            if x not in self.sets:
+                self.sets[x] = shingles(line, self.width)
+        out, done = [], []
+        for mine in parts.values():
+            for other in [*done]:
+                link = next(((x, y) for x in mine for y in other if self.similar(x, y)), None)
+                if link:
+                    out.append(link)
+                    self.forest.union(*link)
+                    mine = mine + other
+                    done.remove(other)
+            done.append(mine)
+        return out
 
 
 def dedup_lines(
