@@ -1,0 +1,379 @@
+"""Brute-force comparisons and edge cases of the training-data operators."""
+
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from steadyframe.llm import decontam, iblt, langid, linededup, packing, pii, resample, simhash, urlfilter
+from steadyframe.llm.common import connected_components
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [(900, None), (901, ""), (902, "   \n\n "), (None, "a null id"), (903, "same text"), (904, "same text"), (905, "12345 67890"), (906, "lang\ud7ffé\U0001f600 ok")]
+
+
+def words(rng, n, vocabulary=40):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def frame(spark, rows, parts=3):
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+
+
+# --- op1
+
+
+def brute_hits(text, items, window=10):
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    own, hit, ids = split(text), set(), set()
+    for i, t in items:
+        ws = split(t)
+        n = min(window, len(ws))
+        grams = {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)} if n else set()
+        for k in range(len(own) - n + 1 if n else 0):
+            if tuple(own[k : k + n]) in grams:
+                hit.update(range(k, k + n))
+                ids.add(str(i))
+    return len(own), len(hit), sorted(ids)
+
+
+@pytest.mark.parametrize("block", [2_000_000, 30])
+def test_decontamination_matches_brute_force(spark, block):
+    rng = random.Random(5)
+    items = [(k, words(rng, rng.randint(1, 25), 12)) for k in range(12)] + [(50, None), (51, ""), (52, "W1, w2!"), (52, "w3"), (None, "w1")]
+    items += [(60, items[0][1])]
+    docs = [(k, words(rng, rng.randint(0, 60), 14)) for k in range(60)]
+    docs += [(100 + k, words(rng, 9) + " " + (items[k][1] or "") + "\n" + words(rng, 5)) for k in range(12)] + ODD
+    got = decontam.decontaminate(frame(spark, docs).withColumn("n_hit", F.lit("clash")), spark.createDataFrame(items, "item_id long, text string"), block_words=block).collect()
+    assert len(got) == len(docs)
+    known = [x for x in items if x[0] is not None]
+    for r in got:
+        n, hit, ids = brute_hits(r.text, known)
+        assert (r.n_words, r.n_hit, r.item_ids, r.contaminated) == (n, hit, ids, hit > 0)
+        if not hit:
+            assert r.clean_text == r.text
+        else:
+            assert len(decontam.words_of(r.clean_text)) >= n - hit
+
+
+def test_decontamination_without_items(spark):
+    got = decontam.decontaminate(frame(spark, ODD), spark.createDataFrame([], "item_id long, text string")).collect()
+    assert [r.n_hit for r in got] == [0] * len(ODD)
+
+
+# --- op2
+
+
+def test_language_id(spark):
+    rng = random.Random(2)
+    kinds = {"en": "the and that with from", "de": "und der die das nicht", "fr": "les des une est dans"}
+    rows = [(k, " ".join(rng.choices(v.split(), k=12)), lang) for k, (lang, v) in enumerate(list(kinds.items()) * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df.where("doc_id % 5 <> 0"), "text", "lang", "doc_id")
+    got = langid.identify(df.withColumn("score", F.lit("clash")), model).where("doc_id % 5 = 0").collect()
+    assert all(r.lang == r.lang_pred and 0 <= r.score <= 1 and not r.ambiguous for r in got)
+    odd = {r.doc_id: r for r in langid.identify(frame(spark, ODD), model).collect()}
+    assert odd[900].lang_pred == odd[901].lang_pred == odd[902].lang_pred == "und" and odd[905].lang_pred == "und" and odd[903].lang_pred in kinds
+    assert langid.fit(df.where("false"), "text", "lang", "doc_id") is None
+    assert {r.lang_pred for r in langid.identify(df, None).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 6, 9, 20])
+def test_codewords_differ(n):
+    c = langid.codewords(n)
+    assert c.shape[0] == n and len({tuple(r) for r in c}) == n
+
+
+# --- op3
+
+
+def test_resampling_prefers_the_target(spark):
+    rng = random.Random(3)
+    rows = [(k, words(rng, 50, 30) if k % 2 else " ".join(f"junk{rng.randrange(30)}!!" for _ in range(50))) for k in range(200)] + [(900, None), (901, "")]
+    good = spark.createDataFrame([(k,) for k in range(1, 60, 2)], "doc_id long")
+    df = frame(spark, rows)
+    got = resample.resample(df, good, fraction=0.4).collect()
+    chosen = [r for r in got if r.selected]
+    assert len(chosen) == 81 and sum(r.doc_id % 2 for r in chosen) >= 70
+    keys = sorted((r.gumbel_key for r in got), reverse=True)
+    assert {r.gumbel_key for r in chosen} == set(keys[:81])
+    assert all(not r.selected for r in got if r.doc_id >= 900)
+    assert [r.selected for r in resample.resample(frame(spark, []), good).collect()] == []
+
+
+def test_kth_largest_by_bins(spark):
+    rng = random.Random(4)
+    values = [rng.random() ** 9 for _ in range(3000)] + [0.5] * 500
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for share in (0.001, 0.1, 0.5, 1.0):
+        k = -(-int(share * 1e6 * len(values)) // 10**6)
+        assert resample.kth_largest(df, "v", share, bins=16, few=50) == sorted(values, reverse=True)[k - 1]
+
+
+# --- op4
+
+
+def test_packing(spark):
+    rng = random.Random(6)
+    rows = [(k, words(rng, rng.randint(0, 400), 500)) for k in range(120)] + ODD + [(7, words(rng, 5000))] + [(950, "x")] * 3
+    got = packing.pack(frame(spark, rows), size=256, items_per_task=20).collect()
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    want = defaultdict(int)
+    for i, text in rows:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        first = (len(ids) - 1) % 256 + 1
+        cuts = [0, *range(first, len(ids) + 1, 256)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[(i, k, a, b - a, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a:b])))] += 1
+    have = defaultdict(int)
+    bins = defaultdict(list)
+    for r in got:
+        have[(r.doc_id, r.piece, r.start, r.length, r.ids_crc32)] += 1
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert have == want
+    total = 0
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 256
+        total += at
+    assert len(bins) <= total / 256 * 1.02 + 2
+    assert packing.pack(frame(spark, [])).collect() == []
+
+
+def test_long_texts_encode_as_whole():
+    encode = packing.bpe_encoder("byte_bpe_50k.json")()
+    text = "some words, and\n\n  more of them 12 " * 40_000
+    import tiktoken  # noqa: F401
+
+    assert len(text) > 1 << 20
+    long_ = encode([text])[0].tolist()
+    parts = encode([text[: 1 << 19]])[0].tolist()
+    assert long_[: len(parts) - 8] == parts[:-8]
+
+
+# --- op5
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def brute_spans(text):
+    out = []
+    for kind in pii.KINDS:
+        for m in re.finditer(BASE[kind], text or ""):
+            v, d = m[0], re.sub("[^0-9]", "", m[0])
+            ok = kind == "email" or (kind == "ip" and all(int(p) <= 255 for p in v.split("."))) or (kind == "card" and 16 <= len(d) <= 19 and luhn(d)) or (kind == "phone" and 8 <= len(d) <= 15)
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+def test_base_spans_match_the_plain_patterns(spark):
+    rng = random.Random(7)
+    bits = ["a@b.co", "x.y@z-1.example.com", "@", ".", "1.2.3.4", "256.1.1.1", "10.0.0.255.7", "4111111111111111", "4111 1111-1111 1111", "4111111111111112", "+1 (988) 555-2485", "+12", "12", "3", " ", "-", "é", "\U0001f600", "word", "\n", "+", "_", "%", "00012", "41111111111111110", "(5)"]
+    rows = [(k, "".join(rng.choices(bits, k=rng.randint(1, 14)))) for k in range(1500)] + ODD
+    rows += [(5000, "a@b" + ".c" * 30_000), (5001, "7" * 100_000), (5002, "z" * 200_000 + "@"), (5003, "1 " * 50_000), (5004, "a@b.c_d@e.f"), (5005, "+1" + " ." * 50_000)]
+    got = pii.find(frame(spark, rows)).select("doc_id", pii.rendered(list(pii.KINDS)).alias("s")).collect()
+    want = sorted(((i, brute_spans(t)) for i, t in rows), key=repr)
+    assert sorted(((r.doc_id, r.s) for r in got), key=repr) == want
+
+
+def test_context_finds_unseen_identifiers(spark):
+    seeds = [(k, f"Some prose here. Please write to mail{k}@host{k}.org about it.") for k in range(8)]
+    rows = [*seeds, (20, "Please write to user_77x about it."), (21, "We saw prose77x in the text."), (22, None)]
+    got = {r.doc_id: r.context for r in pii.find(frame(spark, rows)).collect()}
+    assert [s.value for s in got[20]] == ["user_77x"] and not got[21] and not got[22] and not got[0]
+
+
+# --- op6
+
+
+def jaccard(a, b, width=7):
+    x, y = linededup.shingles(a, width), linededup.shingles(b, width)
+    return len(x & y) / len(x | y)
+
+
+def brute_lines(rows, threshold=0.8):
+    lines = sorted({x for _, t in rows for x in (t or "").split("\n") if x.strip(" ")})
+    root = {x: x for x in lines}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(lines):
+        for b in lines[:k]:
+            if jaccard(a, b) >= threshold:
+                root[find(a)] = find(b)
+    least = {}
+    places = [((i is None, i or 0), p, x, (i, t)) for i, t in rows for p, x in enumerate((t or "").split("\n")) if x.strip(" ")]
+    for i, p, x, _ in places:
+        least[find(x)] = min(least.get(find(x), ((True, 1 << 62), 0)), (i, p))
+    kept = {}
+    for i, t in rows:
+        if t is None:
+            kept[(i, t)] = None
+        else:
+            kept[(i, t)] = "\n".join(x for p, x in enumerate(t.split("\n")) if not x.strip(" ") or least[find(x)] == ((i is None, i or 0), p))
+    return kept
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rng = random.Random(8)
+    base = [words(rng, rng.randint(8, 25), 400) for _ in range(40)]
+
+    def line():
+        x = rng.choice(base)
+        return x if rng.random() < 0.5 else x.replace(rng.choice(x.split()), "q%d" % rng.randrange(9), 1) if rng.random() < 0.6 else words(rng, 12, 900)
+
+    rows = [(k, "\n".join(line() for _ in range(rng.randint(1, 6))) + rng.choice(["", "\n", "\n\n"])) for k in range(60)] + ODD + [(905, "12345 67890")]
+    want = brute_lines(rows)
+    for block in (500, 3):
+        got = linededup.dedup_lines(frame(spark, rows).withColumn("n_lines", F.lit("clash")), bands=24, block=block).collect()
+        assert len(got) == len(rows)
+        wrong = [(r.doc_id, r.text, r.clean_text, want[(r.doc_id, r.text)]) for r in got if r.clean_text != want[(r.doc_id, r.text)]]
+        assert not wrong
+    assert linededup.dedup_lines(frame(spark, [])).collect() == []
+
+
+# --- op8
+
+
+def brute_fingerprint(text):
+    low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    ws = re.findall("[^\x20\x09-\x0d]+", low)
+    if not ws:
+        return 0
+    hs = [xxhash.xxh64_intdigest(" ".join(ws[k : k + 4]).encode(), 42) for k in range(max(1, len(ws) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_simhash_fingerprints(spark):
+    rng = random.Random(9)
+    for text in [words(rng, rng.randint(0, 90)) for _ in range(40)] + [t for _, t in ODD] + ["A b\u00a0c D", "ÀB c"]:
+        assert simhash.fingerprint(text) % (1 << 64) == brute_fingerprint(text)
+
+
+def test_key_positions_cover():
+    from itertools import combinations
+
+    for size in (3, 4):
+        keys = [set(k) for k in simhash.key_positions(size)]
+        assert all(any(k <= set(four) for k in keys) for four in combinations(range(8), 4))
+
+
+@pytest.mark.parametrize("block", [2000, 4])
+def test_simhash_components(spark, block, monkeypatch):
+    rng = random.Random(10)
+    fps = []
+    for _ in range(40):
+        x = rng.getrandbits(64)
+        fps.append(x)
+        for _ in range(rng.randint(0, 6)):
+            for b in rng.sample(range(64), rng.randint(1, 5)):
+                x ^= 1 << b
+            fps.append(x)
+    signed = [f - (1 << 64) if f >> 63 else f for f in set(fps)]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    for size in (3, 4):
+        got = {r.id: r.root for r in connected_components(simhash.links(df, block=block, key_bytes=size)).collect()}
+        root = {f: f for f in signed}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a in signed:
+            for b in signed:
+                if ((a ^ b) % (1 << 64)).bit_count() <= 4 and find(a) != find(b):
+                    root[max(find(a), find(b))] = min(find(a), find(b))
+        assert all(got.get(f, f) == find(f) for f in signed)
+
+
+def test_simhash_documents(spark):
+    rng = random.Random(11)
+    text = words(rng, 200, 1000)
+    rows = [(5, text), (3, text), (9, text.upper()), (4, words(rng, 200, 1000)), *ODD]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got[5] == got[3] == got[9] == 3 and got[4] == 4 and got[900] == got[901] == got[902] == 900 and got[904] == 903 and got[None] is None
+    left = simhash.drop_near_duplicates(frame(spark, [*rows, (3, text), (3, text)]).withColumn("fp", F.lit(1))).collect()
+    assert sorted((r.doc_id for r in left), key=repr) == sorted([3, 4, 900, 903, 905, 906, None], key=repr) and left[0].fp == 1
+    assert simhash.near_duplicates(frame(spark, [])).collect() == []
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(300) if k % 50] + [(7, 7)], "a long, b long").repartition(7)
+    got = {r.id: r.root for r in connected_components(edges).collect()}
+    assert got == {k: (k - 1) // 50 * 50 + 1 for k in range(1, 301)}
+
+
+# --- op9
+
+
+def test_fingerprints(spark):
+    import hashlib
+
+    rng = random.Random(12)
+    rows = [(k * 3, "\n".join(words(rng, rng.randint(3, 12), 300) for _ in range(rng.randint(1, 30)))) for k in range(60)]
+    rows += [(900, None), (901, ""), (902, rows[0][1]), (903, "é" * 900), (904, "\U0001f600ab")]
+    got = {r.doc_id: r for r in iblt.fingerprints(frame(spark, rows)).collect()}
+    order = sorted(rows)
+    cut = lambda t: {p for line in t.split("\n") for p in [line[k : k + 400] for k in range(0, len(line), 400)]}
+    like = lambda a, b: len(cut(a) & cut(b)) / len(cut(a) | cut(b)) if cut(a) | cut(b) else 1.0
+    for k, (i, t) in enumerate(order):
+        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert abs(r.near_edited - like(t, edited)) < 1e-9 and abs(r.near_next - like(t, nxt)) < 1e-9
+    assert got[0].fingerprint == got[902].fingerprint and got[900].fingerprint == got[901].fingerprint
+    assert iblt.fingerprints(frame(spark, [])).collect() == []
+
+
+def test_next_over_many_ranges(spark):
+    rows = [(k * k, f"text {k}") for k in range(200)] + [(None, "lost")]
+    got = {r.id: r.next for r in iblt.with_next(frame(spark, rows), "doc_id", "text", rows=7).collect()}
+    assert all(got[k * k] == f"text {(k + 1) % 200}" for k in range(200)) and got[None] == ""
+
+
+# --- op10
+
+
+def test_url_rules(spark):
+    urls = {
+        "http://a.net/x": ("a.net", "/x", "net/", "block"), "http://a.net": ("a.net", "", None, "allow"), "HTTP://WWW.Example.NET/en/1?q#f": ("www.example.net", "/en/1", "example.net/en/", "allow"),
+        "https://example.com/de/1": ("example.com", "/de/1", "example.com/de/", "block"), "https://badexample.com/de/1": ("badexample.com", "/de/1", None, "allow"),
+        "https://x.org/fr/": ("x.org", "/fr/", "org/fr/", "allow"), "https://spam-farm.example.org/en/": ("spam-farm.example.org", "/en/", None, "block"), "https://a.spam-farm.com/": ("a.spam-farm.com", "/", None, "block"),
+        "https://notspam-farm.com/": ("notspam-farm.com", "/", None, "allow"), "nothing": ("", "", None, "allow"), "": ("", "", None, "allow"), "https://h?x/y": ("h", "", None, "allow"), "a://b://c/d": ("b:", "//c/d", None, "allow"),
+        "https://h.com/wp-login.php?x": ("h.com", "/wp-login.php", None, "block"), "https://h.com/wp-login.phpx": ("h.com", "/wp-login.phpx", None, "allow"),
+    }
+    df = spark.createDataFrame([(k, u) for k, u in enumerate([*urls, None])], "page_id long, url string").withColumn("host", F.lit("clash"))
+    got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.filter_urls(df).collect()}
+    assert got == {**urls, None: ("", "", None, "allow")}
+
+
+def test_rule_tokens_are_whole():
+    assert urlfilter.rule_tokens("||spam-farm.") == ["spam", "farm"] and urlfilter.rule_tokens("utm_source=spam^") == ["source", "spam"] and urlfilter.rule_tokens("*ab*") == []
