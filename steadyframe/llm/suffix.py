@@ -27,7 +27,7 @@ from steadyframe.llm.common import materialize
 SHARD = 2 << 20  # bytes of text; one longer document is a shard of its own
 ANCHOR = 16
 LONGEST_RUN = 64
-ENTRIES = 1_500_000  # of one merging task
+ENTRIES = 500_000  # merged at a time
 BROADCAST_BYTES = 32 << 20
 NONE = np.iinfo(np.int64).max  # stands for a null id: no document is larger
 U = np.uint64
@@ -237,15 +237,38 @@ def merged(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def answers(rows: list[tuple]) -> pa.RecordBatch:
+    """The answers of one range; anchors are taken in parts of about ``ENTRIES`` entries, so that many entries cost time, not memory."""
     pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
-    anchor = np.concatenate([unfive(r[3][: 5 * r[2]]) for r in rows])
-    hashes = np.concatenate([unfive(r[3][5 * r[2] :]) for r in rows])
-    ids = np.concatenate([np.frombuffer(unpack(r[4]), dtype=np.int64) for r in rows])
+    anchors = lambda r: unfive(r[3][: 5 * r[2]])
+    parts = max(1, -(-sum(r[2] for r in rows) // ENTRIES))
+    flags = [np.zeros(r[2], dtype=np.uint8) for r in rows]
+    lower = [np.zeros(r[2], dtype=np.int64) for r in rows]
+    for part in range(parts):
+        own = [np.flatnonzero(anchors(r) % U(parts) == U(part)) for r in rows]
+        anchor = np.concatenate([anchors(r)[i] for r, i in zip(rows, own)])
+        if not len(anchor):
+            continue
+        hashes = np.concatenate([unfive(r[3][5 * r[2] :])[i] for r, i in zip(rows, own)])
+        ids = np.concatenate([np.frombuffer(unpack(r[4]), dtype=np.int64)[i] for r, i in zip(rows, own)])
+        least, several = merge(anchor, hashes, ids)
+        at = 0
+        for k, i in enumerate(own):
+            end = at + len(i)
+            flags[k][i] = (least[at:end] < ids[at:end]) | several[at:end].astype(np.uint8) << 1
+            lower[k][i] = least[at:end]
+            at = end
+    out = [(r[1], r[0], pack(f.tobytes()), pack(v[f & 1 > 0].tobytes())) for r, f, v in zip(rows, flags, lower)]
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["shard", "range", "flags", "ids"])
+
+
+def merge(anchor: np.ndarray, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each entry: the smallest id of equal ones, and whether its anchor has other entries of other ids."""
     rank = np.lexsort((hashes, anchor))
     a, h, d = anchor[rank], hashes[rank], ids[rank]
     new = np.ones(len(a), dtype=bool)
     new[1:] = (a[1:] != a[:-1]) | (h[1:] != h[:-1])
-    least = np.minimum.reduceat(d, np.flatnonzero(new))  # of each distinct pair
+    least = np.minimum.reduceat(d, np.flatnonzero(new))
     distinct = a[new]
     low, high = np.searchsorted(distinct, distinct, "left"), np.searchsorted(distinct, distinct, "right")
     group = np.flatnonzero(low == np.arange(len(distinct)))
@@ -254,14 +277,7 @@ def answers(rows: list[tuple]) -> pa.RecordBatch:
     several = (high - low > 1) & (floor[which] < ceiling[which])
     number = np.empty(len(rank), dtype=np.int64)
     number[rank] = np.cumsum(new) - 1
-    out, at = [], 0
-    for range_, shard, n, _, _ in rows:
-        own = number[at : at + n]
-        lower = least[own] < ids[at : at + n]
-        out.append((shard, range_, pack((lower | several[own].astype(np.uint8) << 1).astype(np.uint8).tobytes()), pack(least[own][lower].tobytes())))
-        at += n
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["shard", "range", "flags", "ids"])
+    return least[number], several[number]
 
 
 def read_answers(found: list | None, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,7 +354,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("windows must be longer than the anchors")
     table = shards(docs, id_col, text_col)
     total = table.agg(F.coalesce(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)")), F.lit(0))).first()[0]
-    ranges = max(1, -(-total // (18 * ENTRIES)))
+    ranges = max(1, -(-total // (50 * ENTRIES)))  # some 18 bytes a context: about three parts each
 
     def send_contexts(batches):
         for row, _, _, c in _each(batches, window):
@@ -354,9 +370,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 c.least, several = read_answers(row["one"], c.least)
                 s = singles(c, several, window)
                 if len(s.anchor):
-                    yield sent(row["shard"], s.anchor, s.hash, s.least, ranges)
+                    yield sent(row["shard"], s.anchor, s.hash, s.least, 2 * ranges)
 
-    two = _exchange(known.mapInArrow(send_windows, SENT), ranges)
+    two = _exchange(known.mapInArrow(send_windows, SENT), 2 * ranges)
 
     def finish(batches):
         for row, raw, sizes, c in _each(batches, window):
