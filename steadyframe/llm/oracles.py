@@ -39,5 +39,51 @@ from r
 """
 
 
+OP7 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+e as (select doc_id, o, substr(h, 2 * o + 1, 298) as h from (select doc_id, h, unnest(range(0, length(h) // 2, 100)) as o from d) v),
+w as (select doc_id, o + i as i, substr(h, 2 * i + 1, 100) as g from (select doc_id, o, h, unnest(range(0, least(100, length(h) // 2 - 49))) as i from e) x),
+m as (select g, min(doc_id) as least from w group by g having count(distinct doc_id) > 1),
+f as (select w.doc_id, w.i as p from w join m using (g) where least < w.doc_id),
+pos as (select doc_id, o + p as p, substr(h, 2 * p + 1, 2) as b from (select doc_id, o, h, unnest(range(0, least(100, length(h) // 2))) as p from e) y),
+c as (select pos.doc_id, pos.p, b, max((f.p is not null)::int) over (partition by pos.doc_id order by pos.p rows between 49 preceding and current row) as gone
+  from pos left join f on f.doc_id = pos.doc_id and f.p = pos.p),
+r as (select *, coalesce(lag(gone) over (partition by doc_id order by p), 0) as before from c),
+k as (select doc_id, cast(sum(gone) as bigint) as n, count(*) filter (gone = 1 and before = 0) as s, string_agg(b, '' order by p) filter (gone = 0) as k from r group by doc_id)
+select doc_id, length(h) // 2 as n_bytes, coalesce(n, 0) as n_removed, coalesce(s, 0) as n_spans, sha256(unhex(coalesce(k, ''))) as kept_sha256
+from d left join k using (doc_id)
+"""
+
+#: The plain patterns.
+_BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_TESTS = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(v, '.'), lambda p: cast(p as hugeint) > 255)) = 0",
+    "card": f"length({_DIGITS}) between 16 and 19 and list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda k: case when k % 2 = 0 then cast(substr(reverse({_DIGITS}), k, 1) as integer) * 2 // 10 + cast(substr(reverse({_DIGITS}), k, 1) as integer) * 2 % 10 else cast(substr(reverse({_DIGITS}), k, 1) as integer) end)) % 10 = 0",
+    "phone": f"length({_DIGITS}) between 8 and 15",
+}
+
+
+def _kind(kind: str, order: int) -> str:
+    found = f"regexp_extract_all(t, '{_BASE[kind]}')"
+    return f"""select doc_id, {order} as o, '{kind}' as kind, a, a + length(v) as b from (
+  select doc_id, m[k] as v, cast(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) as bigint) as a
+  from (select doc_id, m, g, unnest(range(1, len(m) + 1)) as k from (select doc_id, {found} as m, string_split_regex(t, '{_BASE[kind]}') as g from d) e) f) h where {_TESTS[kind]}"""
+
+
+#: Without patterns by context, which the test tables' random words do not have.
+OP5 = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents), s as ({" union all ".join(_kind(k, n) for n, k in enumerate(_BASE))}),
+j as (select doc_id, string_agg(kind || ':' || a || ':' || b, ',' order by o, a) as x, {", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in _BASE)} from s group by doc_id)
+select d.doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in _BASE)}, sha256(coalesce(x, '')) as base_sha256, coalesce(x, '') as spans from d left join j using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1, "op10_url_filters": OP10}
+    return {"op1_benchmark_decontamination": OP1, "op5_personal_data": OP5, "op7_suffix_dedup": OP7, "op10_url_filters": OP10}
