@@ -36,7 +36,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return resample.resample(docs, good, fraction=0.8).select("doc_id", "log_weight", "gumbel_key", "selected")
+    return resample.resample(docs, good, fraction=0.8, keep_text=False).select("doc_id", "log_weight", "gumbel_key", "selected")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

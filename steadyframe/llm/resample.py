@@ -61,6 +61,7 @@ def resample(
     target_rows: int = 20_000,
     temperature: float = 0.02,
     seed: int = 0,
+    keep_text: bool = True,
 ) -> DataFrame:
     """Add log_weight, gumbel_key and selected to ``docs``.
 
@@ -68,7 +69,8 @@ def resample(
     sample of about ``target_rows`` by a hash if there are more. ``log_weight`` is the log ratio a token of the
     text under the two; ``gumbel_key`` is log_weight / temperature plus Gumbel noise that is a function
     of id, text and seed. The ceil(fraction * rows) largest keys are selected, and with them rows whose key equals the last.
-    Texts without tokens (null, empty) have weight minus infinity and are never selected. Without targets all weights are 0. Input columns of
+    Texts without tokens (null, empty) have weight minus infinity and are never selected. Without targets all weights are 0. ``keep_text=False`` leaves the texts
+    out of the table that is written on the way. Input columns of
     these names are replaced.
     """
     ids = targets.select(F.col(targets.columns[0]).alias("__id")).where("__id is not null").distinct()
@@ -95,7 +97,8 @@ def resample(
 
     uniform = (F.expr(f"pmod(xxhash64(cast({id_col} as string), {text_col}, {seed}), 9007199254740992)") + 0.5) / 9007199254740992.0
     keyed = append_columns(docs.drop("gumbel_key", "selected"), [T.StructField("log_weight", T.DoubleType())], make)
-    keyed = materialize(keyed.withColumn("gumbel_key", F.col("log_weight") / temperature - F.log(-F.log(uniform))), "keys")
+    noise = keyed.withColumn("gumbel_key", F.col("log_weight") / temperature - F.log(-F.log(uniform)))
+    keyed = materialize(noise if keep_text else noise.drop(text_col), "keys")
     least = kth_largest(keyed, "gumbel_key", fraction)
     return keyed.withColumn("selected", F.lit(False) if least is None else (F.col("gumbel_key") >= least) & (F.col("log_weight") > float("-inf")))
 
