@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,11 +66,20 @@ def append_columns(
                 columns = [part.column(f.name).cast(arrow.field(f.name).type) for f in kept]
                 columns += [x if isinstance(x := added[n], pa.Array) else pa.array(x, type=arrow.field(n).type) for n in names]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def trim() -> None:
+    """Give memory that a finished task no longer needs back to the system, as idle Python workers stay alive."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a part holds about ``most`` bytes, one row at least."""
     step = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
     for at in range(0, batch.num_rows, step):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from itertools import repeat
@@ -202,10 +201,14 @@ def decontaminate(
     neither side is shuffled. Null or empty texts have no words and no hits; null item ids or texts are no items;
     equal ids count once; input columns named like an added one are replaced.
     """
-    out = docs.drop(*[f.name for f in FIELDS]).withColumn("__spans", F.lit(None).cast("array<array<long>>")).withColumn("__items", F.lit(None).cast("array<string>"))
-    for block in _blocks(benchmark, item_col, item_text_col, block_words):
-        out = _pass(out, text_col, Automaton(block, window))
-    return _finished(out, text_col).drop("__spans", "__items")
+    out, block = docs.drop(*[f.name for f in FIELDS]), None
+    for following in _blocks(benchmark, item_col, item_text_col, block_words):
+        if block:
+            if "__spans" not in out.columns:
+                out = out.withColumn("__spans", F.lit(None).cast("array<array<long>>")).withColumn("__items", F.lit(None).cast("array<string>"))
+            out = _pass(out, text_col, Automaton(block, window))
+        block = following
+    return _finished(out, text_col, Automaton(block or [], window)).drop("__spans", "__items")
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int):
@@ -222,37 +225,53 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
         yield block
 
 
+def _scanner(held):
+    own = Automaton.__new__(Automaton)
+    own.__dict__.update(held.value)
+    return own.scan
+
+
+def _found(scan, words: list[bytes], spans: list | None, items: list | None) -> tuple[list | None, list | None]:
+    """What earlier blocks found with what this block's automaton adds."""
+    more, names = scan(words)
+    if not more:
+        return spans, items
+    return [list(x) for x in _merged([*map(tuple, spans or []), *more])], sorted({*(items or []), *names})
+
+
 def _pass(docs: DataFrame, text_col: str, automaton: Automaton) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(vars(automaton))
     fields = [docs.schema["__spans"], docs.schema["__items"]]
 
     def make():
-        own = Automaton.__new__(Automaton)
-        own.__dict__.update(held.value)
-        scan = own.scan
+        scan = _scanner(held)
 
         def step(batch):
-            old_spans = batch.column("__spans").to_pylist()
-            old_items = batch.column("__items").to_pylist()
-            for k, text in enumerate(batch.column(text_col)):
-                spans, items = scan(words_of(text.as_py()))
-                if spans:
-                    old_spans[k] = [list(x) for x in _merged([*map(tuple, old_spans[k] or []), *spans])]
-                    old_items[k] = sorted({*(old_items[k] or []), *items})
-            return {"__spans": old_spans, "__items": old_items}
+            both = [_found(scan, words_of(t.as_py()), s, i) for t, s, i in zip(batch.column(text_col), batch.column("__spans").to_pylist(), batch.column("__items").to_pylist())]
+            return {"__spans": [x[0] for x in both], "__items": [x[1] for x in both]}
 
         return step
 
     return append_columns(docs, fields, make)
 
 
-def _finished(docs: DataFrame, text_col: str) -> DataFrame:
+def _finished(docs: DataFrame, text_col: str, automaton: Automaton) -> DataFrame:
+    """The last block's pass, with the columns that are given."""
+    held = docs.sparkSession.sparkContext.broadcast(vars(automaton))
+    earlier = "__spans" in docs.columns
+
     def make():
+        scan = _scanner(held)
+
         def step(batch):
             out: dict[str, list] = {f.name: [] for f in FIELDS}
-            for text, spans, items in zip(batch.column(text_col), batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()):
+            none = [None] * batch.num_rows
+            known = (batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()) if earlier else (none, none)
+            for text, spans, items in zip(batch.column(text_col), *known):
                 text = text.as_py()
-                n, hit, at, clean = len(words_of(text)), 0, [], text
+                words = words_of(text)
+                spans, items = _found(scan, words, spans, items)
+                n, hit, at, clean = len(words), 0, [], text
                 if spans:
                     places = [m.span() for m in WORD.finditer(text)]
                     at = [(places[a][0], places[b - 1][1]) for a, b in spans]
@@ -266,7 +285,3 @@ def _finished(docs: DataFrame, text_col: str) -> DataFrame:
         return step
 
     return append_columns(docs, FIELDS, make)
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steadyframe.llm.common import Forest, blocked_members, connected_components, group_starts, materialize, small, sorted_groups
+from steadyframe.llm.common import Forest, blocked_members, connected_components, group_starts, materialize, small, sorted_groups, trim
 
 SEED = 42  # of XXH64, as Spark's xxhash64 has it
 PAD = np.zeros(8, dtype=np.uint8)
@@ -98,6 +98,8 @@ def near_edges(docs: DataFrame, text_col: str, threshold: float, width: int, ban
                     seen.clear()
             if lines:
                 yield signed(lines, hashes)
+        seen.clear()
+        trim()
 
     def signed(lines, hashes):
         keys = band_keys(lines, width, bands, rows)
@@ -124,6 +126,7 @@ def near_edges(docs: DataFrame, text_col: str, threshold: float, width: int, ban
                     known = Verified(threshold, width)
                 found += known.links(ids[s:e], lines[s:e])
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        trim()
 
     return dealt.mapInPandas(verify, "a long, b long").distinct()
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steadyframe.llm.common import materialize, pieces
+from steadyframe.llm.common import materialize, pieces, trim
 
 PIECE = "id long, piece int, start long, length long, crc long"
 #: A bin on its way: its fill and its pieces in order.
@@ -73,6 +73,7 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, size: int, end_id: int
                     cuts = [0, *range((n - 1) % size + 1, n + 1, size)]
                     rows += [(id_, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["id", "piece", "start", "length", "crc"])
+        trim()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECE)
 
