@@ -268,7 +268,7 @@ def neighbor_support(s, d):
 
 @query
 def candidate_features(s, d):
-    c = candidates(s, d).where("candidate_rank <= 3").dropDuplicates(["segment_id", "frame_idx", *TIES])
+    c = candidates(s, d).dropDuplicates(["segment_id", "frame_idx", *TIES])
     return rounded(rerank.candidate_features(c, TIES).select("segment_id", "frame_idx", *TIES, "score_logit", "rank_reciprocal", "center_x", "center_y", "box_width", "box_height", "log_area", "log_aspect"))
 
 
@@ -279,8 +279,8 @@ def kfold_frames(s, d):
 
 @query
 def gbt_rerank(s, d):
-    c = candidates(s, d).where("candidate_rank <= 5").dropDuplicates(["segment_id", "frame_idx", *TIES])
-    return rerank.rerank(c, TIES, folds=5, trees=5).select("segment_id", "frame_idx", *TIES, "iou", "calibrated_iou")
+    c = candidates(s, d).dropDuplicates(["segment_id", "frame_idx", *TIES])
+    return rerank.rerank(c, TIES).select("segment_id", "frame_idx", *TIES, "iou", "calibrated_iou")
 
 
 @query
