@@ -239,7 +239,7 @@ def clip_boxes(s, d):
 
 @query
 def viterbi_path(s, d):
-    return rounded(temporal.select_paths(candidates(s, d), [temporal.Weights(3)], TIES).select("segment_id", "frame_idx", "score", *TIES, "temporal_rank"))
+    return rounded(temporal.select_paths(candidates(s, d), [temporal.Weights()], TIES).select("segment_id", "frame_idx", "score", *TIES, "temporal_rank"))
 
 
 @query
@@ -256,7 +256,7 @@ def grid_search(s, d):
 def temporal_evaluation(s, d):
     """Path against single best per frame, at each one's own summary."""
     c = candidates(s, d)
-    both = detection.with_iou(temporal.select_paths(c, [temporal.FRAMEWISE, temporal.Weights(3)], TIES))
+    both = detection.with_iou(temporal.select_paths(c, [temporal.FRAMEWISE, temporal.Weights()], TIES))
     return rounded(detection.selection_summary(both, THRESHOLD, ["param_id"]))
 
 
@@ -321,7 +321,7 @@ def spearman_p(s, d):
 
 @query
 def bootstrap_ci(s, d):
-    plan = ratings.bootstrap_plan([f"C{k}" for k in range(20)], 200, 42)
+    plan = ratings.bootstrap_plan([f"C{k}" for k in range(20)], 2000, 42)
     return rounded(ratings.bootstrap_interval(correlation_rows(s, d), s.createDataFrame(plan, "rep_id int, case_id string, times int")))
 
 
@@ -484,5 +484,5 @@ def quality_gate(s, d):
 
 @query
 def iou_tracker(s, d):
-    c = detection.top_k(candidates(s, d), 3, ["segment_id", "frame_idx"], TIES).withColumn("det_id", F.col("rank").cast("long"))
+    c = detection.top_k(candidates(s, d), 20, ["segment_id", "frame_idx"], TIES).withColumn("det_id", F.col("rank").cast("long"))
     return tracker.track(c)

@@ -49,3 +49,21 @@ def test_rerank_takes_every_candidate_and_all_trees(spark, monkeypatch):
     whole = catalog.candidates(spark, FOLDER)
     assert seen == {"rows": whole.select("segment_id", "frame_idx", *catalog.TIES).distinct().count(), "folds": 5, "trees": 120}
     assert whole.where("candidate_rank > 5").count() and frames == whole.select("segment_id", "frame_idx").distinct().count()
+
+
+@pytest.mark.parametrize("name", ["viterbi_path", "temporal_evaluation"])
+def test_paths_over_five_candidates(spark, name):
+    same(catalog.queries()[name](spark, FOLDER), lifted(name, "from c where candidate_rank <= 3", "from c where candidate_rank <= 5"))
+
+
+def test_bootstrap_of_2000_repetitions(spark, monkeypatch):
+    plan = oracles.bootstrap_plan
+    monkeypatch.setattr(oracles, "bootstrap_plan", lambda cases, _, seed: plan(cases, 2000, seed))
+    same(catalog.bootstrap_ci(spark, FOLDER), oracles.bootstrap())
+
+
+def test_twenty_detections_a_frame_are_tracked(spark):
+    want = catalog.candidates(spark, FOLDER).where("candidate_rank <= 20").selectExpr("segment_id", "frame_idx", "cast(candidate_rank as long) as det_id")
+    assert want.where("det_id > 3").count()
+    got = catalog.iou_tracker(spark, FOLDER)
+    assert sorted(map(tuple, got.select("segment_id", "frame_idx", "det_id").collect())) == sorted(map(tuple, want.collect()))
