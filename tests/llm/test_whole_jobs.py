@@ -1,6 +1,16 @@
 """The training-data operators do the whole job: cases that earlier versions left out."""
 
-from steadyframe.llm import packing
+import random
+import string
+
+from pyspark.sql import functions as F
+
+from steadyframe.llm import linededup, packing
+
+
+def jaccard(a, b, width=7):
+    x, y = linededup.shingles(a, width), linededup.shingles(b, width)
+    return len(x & y) / len(x | y)
 
 
 # --- op4
@@ -18,3 +28,22 @@ def test_added_tokens_inside_texts_as_in_tokenizers():
     assert got[0].tolist() == [505, 220, 50256, 734]
     for text, ids in zip(texts, got):
         assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+# --- op6
+
+
+def test_pairs_at_the_threshold_meet_by_default(spark):
+    """Lines in pairs a little above the threshold, each pair of words of its own: as many stay as by brute force."""
+    rng = random.Random(21)
+    rows, want = [], 0
+    for k in range(2000):
+        one = "".join(rng.choices(string.ascii_lowercase + " ", k=120)).strip()
+        at = rng.randrange(20, 60)
+        two = one[:at] + "".join(rng.choices(string.digits, k=rng.choice((11, 12, 13)))) + one[at:]
+        if 0.8 <= jaccard(one, two) < 0.84:
+            rows += [(2 * k, one), (2 * k + 1, two)]
+            want += 1
+    assert want > 1000
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got.agg(F.sum("n_removed")).first()[0] == want
