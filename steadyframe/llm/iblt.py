@@ -12,6 +12,21 @@ PARAGRAPH = r"[^\n]{1,400}"
 WIDTH = 8  # cells in each of the three subtables of a fingerprint
 
 
+#: A word of a text; scripts without blanks go by character, and a very long run goes in parts.
+WORD = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]{1,40}"
+
+
+def word_groups(text: Column) -> Column:
+    """Distinct digests of short groups of words: a group ends after each word whose hash divides by four.
+
+    Where a group ends depends on its words alone, so that an edit changes only the groups it touches.
+    """
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    marked = F.transform(words, lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(4)) == 0, F.concat(w, F.lit("\n"))).otherwise(w))
+    groups = F.filter(F.split(F.array_join(marked, " "), "\n ?"), lambda g: g != "")
+    return F.array_distinct(F.transform(groups, lambda g: F.xxhash64(g)))
+
+
 def digests(text: Column) -> Column:
     """Distinct 64-bit digests of a text's paragraphs."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
@@ -88,22 +103,25 @@ def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column
     their sizes ask for, and a part that fails once more four times as large. Should that fail too, the sets
     themselves are compared.
     """
-    parts = F.greatest(F.ceil((F.size(a) + F.size(b)) / 5), F.lit(1)).cast("int")
+    side = F.greatest(F.ceil(F.sqrt((F.size(a) + F.size(b)) / 5)), F.lit(1)).cast("int")
+    zero = F.struct(F.lit(True).alias("ok"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+    both = lambda s, x: F.struct((s["ok"] & x["ok"]).alias("ok"), (s["a"] + x["a"]).alias("a"), (s["b"] + x["b"]).alias("b"))
+    numbers = F.sequence(F.lit(0), side - 1)
 
-    def part(p: Column) -> Column:
-        own = lambda keys: F.filter(keys, lambda d: F.pmod(F.xxhash64(d, F.lit(5)), parts.cast("long")) == p.cast("long"))
+    def own(keys: Column, p: Column, seed: int) -> Column:
+        return F.filter(keys, lambda d: F.pmod(F.xxhash64(d, F.lit(seed)), side.cast("long")) == p.cast("long"))
 
-        def tried(sides: Column) -> Column:
-            at = lambda width: peel(subtract(sketch(sides["x"], width), sketch(sides["y"], width)), width)
-            return _or(at(WIDTH), at(4 * WIDTH))
+    def tried(sides: Column) -> Column:
+        at = lambda width: peel(subtract(sketch(sides["x"], width), sketch(sides["y"], width)), width)
+        return _or(at(WIDTH), at(4 * WIDTH))
 
-        return _let(F.struct(own(a).alias("x"), own(b).alias("y")), tried)
+    def split(x: Column, y: Column, p: Column, seed: int) -> Column:
+        return F.struct(own(x, p, seed).alias("x"), own(y, p, seed).alias("y"))
 
-    larger = F.aggregate(
-        F.transform(F.sequence(F.lit(0), parts - 1), part),
-        F.struct(F.lit(True).alias("ok"), F.lit(0).alias("a"), F.lit(0).alias("b")),
-        lambda s, x: F.struct((s["ok"] & x["ok"]).alias("ok"), (s["a"] + x["a"]).alias("a"), (s["b"] + x["b"]).alias("b")),
-    )
+    def row(p: Column) -> Column:  # parts of parts, as filtering the whole for each part would take the square of the size
+        return _let(split(a, b, p, 5), lambda r: F.aggregate(F.transform(numbers, lambda q: _let(split(r["x"], r["y"], q, 6), tried)), zero, both))
+
+    larger = F.aggregate(F.transform(numbers, row), zero, both)
     exact = F.struct(F.lit(True).alias("ok"), F.size(F.array_except(a, b)).alias("a"), F.size(F.array_except(b, a)).alias("b"))
     return _or(_or(peel(subtract(cells_a, cells_b), WIDTH), larger), exact)
 
@@ -162,11 +180,12 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, rows: int = 2000) ->
     return dealt.withColumn("next", F.lead("text").over(order)).where("not copy").select("id", "text", "next").unionAll(lost)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: Callable[[Column], Column] = digests) -> DataFrame:
     """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
 
     The edited text has its last floor(n/2) characters replaced by the first as many (or all) of the next document.
-    Null text is empty; an empty text's fingerprint has empty cells only. Blank lines are no paragraphs. Repeated rows each get a row.
+    ``cut`` gives the digests of a text: of lines and their parts, or of ``word_groups``, which also short and one-line texts
+    share with their edited texts. Null text is empty; an empty text's fingerprint has empty cells only. Blank lines are no paragraphs. Repeated rows each get a row.
     """
     half = F.floor(F.col("n_chars") / 2)
     keep = F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int"))
@@ -174,7 +193,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         with_next(docs, id_col, text_col)
         .withColumn("n_chars", F.length("text").cast("long"))
         .withColumn("edited", F.concat(keep, F.substring(F.coalesce("next", F.lit("")), F.lit(1), half.cast("int"))))
-        .select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("d"), digests(F.col("edited")).alias("e"), digests(F.coalesce("next", F.lit(""))).alias("x"))
+        .select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), cut(F.col("text")).alias("d"), cut(F.col("edited")).alias("e"), cut(F.coalesce("next", F.lit(""))).alias("x"))
         .withColumns({f"{c}_cells": sketch(F.col(c), WIDTH) for c in "dex"})
     )
     return rows.select(

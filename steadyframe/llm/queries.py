@@ -65,7 +65,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+    return iblt.fingerprints(table(spark, sf_dir, "documents"), cut=iblt.word_groups)
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

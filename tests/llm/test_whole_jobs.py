@@ -5,7 +5,7 @@ import string
 
 from pyspark.sql import functions as F
 
-from steadyframe.llm import linededup, packing
+from steadyframe.llm import iblt, linededup, packing, queries
 
 
 def jaccard(a, b, width=7):
@@ -47,3 +47,21 @@ def test_pairs_at_the_threshold_meet_by_default(spark):
     assert want > 1000
     got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert got.agg(F.sum("n_removed")).first()[0] == want
+
+
+# --- op9
+
+
+def test_edited_one_line_texts_stay_near(spark, tmp_path):
+    rng = random.Random(22)
+    text = lambda n: " ".join("".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(n))
+    sizes = [40, 60, 100, 300, 6000] * 6
+    rows = [(k, text(n)) for k, n in enumerate(sizes)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_document_fingerprints(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r.near_edited > r.near_next for r in got)
+    # one word more at the front leaves what follows alike, and the ladder gives the sets' exact likeness
+    pairs = spark.createDataFrame([(f"new {t}", t) for _, t in rows], "a string, b string").select(iblt.word_groups(F.col("a")).alias("a"), iblt.word_groups(F.col("b")).alias("b"))
+    cells = [iblt.sketch(F.col(c), iblt.WIDTH) for c in "ab"]
+    for r in pairs.select("a", "b", iblt.likeness(F.col("a"), F.col("b"), *cells).alias("v")).collect():
+        assert r.v > 0.5 and abs(r.v - len({*r.a} & {*r.b}) / len({*r.a} | {*r.b})) < 1e-9
