@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of two or three longs that may be broadcast (tens of MB); larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Estimated bytes of a side that may be broadcast; larger sides are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,13 +35,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at a table that outlives executors."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Hint a broadcast of a table of narrow rows if it is no larger than the bound; else leave the join to a shuffle."""
-    n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def release(table: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, when nothing will read it any more."""
+    session = table.sparkSession
+    folder = session._jvm.org.apache.hadoop.fs.Path(table._written)
+    folder.getFileSystem(session._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def row_bytes(kind: T.DataType) -> int:
+    """About how many bytes a value takes; texts and arrays are not bounded by their type and count as short ones."""
+    if isinstance(kind, T.StructType):
+        return 8 + sum(row_bytes(f.dataType) for f in kind.fields)
+    return 40 if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType)) else 8
+
+
+def small(df: DataFrame, more: int = 0) -> DataFrame:
+    """Hint a broadcast of a table that is no larger than the bound by its row count and types, and ``more`` bytes; else leave the join to a shuffle."""
+    most = max(0, BROADCAST_BYTES - more) // (16 + row_bytes(df.schema))
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def append_columns(
@@ -112,31 +128,77 @@ class Forest:
         return True
 
 
-def blocked_members(members: DataFrame, block: int) -> DataFrame:
-    """Rows (key, id) to (deal, key, i, j, id): the groups (key, i, j) in which the ids of a key meet pairwise.
+def linked(met: DataFrame, block: int, dress: Callable[[DataFrame], DataFrame], linker: Callable[[], Callable], kind: str) -> DataFrame:
+    """Edges (a, b) between ids that meet under a key and are similar: all of each component that the groups' links make.
 
-    Keys with one id go; of keys with the same set of ids one stays. A key with more than ``block`` ids
-    is dealt into blocks, and each pair of blocks is a group of its own, so that a group has at
-    most about twice ``block`` rows and still every pair of ids meets. ``deal`` is the same for groups of unblocked keys
-    with the same smallest id, which often overlap.
+    ``met`` has distinct rows (key long, id long) of keys with two ids or more; of keys with the same ids one is looked at. ``dress`` adds
+    to rows with ``id`` what is compared and ``uid``, the id of the edges (of SQL type ``kind``); ``linker()`` gives, once for each deal, a
+    function of a frame's columns and a group's first and last place in them to the edges, as two lists of row numbers in the group.
+
+    A group of more than ``block`` ids is dealt into blocks, each with the group's smallest id besides. What a block
+    joins to that id is one component already; only the ids that are left meet the other blocks, in groups of two
+    blocks. So a group of many near copies costs time in proportion to its size, and every pair still meets
+    or is joined. No task holds more than about two blocks.
     """
-    key = Window.partitionBy("key")
-    met = members.repartition("key").withColumns({"lo": F.min("id").over(key), "hi": F.max("id").over(key)}).where("lo < hi")
-    met = materialize(met.select("key", "id").distinct(), "met")
-    counts = (
-        met.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 7))").alias("y"))
-        .groupBy("n", "lo", "hi", "x", "y")
-        .agg(F.min("key").alias("key"))
-        .select("key", "lo", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
-    )
-    return (
-        met.join(counts, "key")
-        .withColumn("own", F.expr("pmod(xxhash64(id, 3), blocks)"))
-        .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        .select("key", "lo", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id")
-        .select(F.when(F.col("blocks") == 1, F.col("lo")).otherwise(F.xxhash64("key", "i", "j")).alias("deal"), "key", "i", "j", "id")
-    )
+    sums = [F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(7, id))").alias("y")]
+    keys = met.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), *sums)
+    once = keys.groupBy("n", "lo", "hi", "x", "y").agg(F.min("key").alias("key")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    once = materialize(once.select("key", "lo", "n", "blocks"), "keys")
+    rows = met.join(once, "key").withColumn("i", F.expr("cast(pmod(xxhash64(3, id), blocks) as int)"))
+    rows = materialize(rows.select("key", "id", "lo", "n", "blocks", "i"), "rows")
+    wide = rows.where("blocks > 1")
+    # groups of few ids that share the smallest one often overlap: dealt together, a line is prepared once for all
+    deal = F.when(F.col("n") <= 64, F.col("lo")).otherwise(F.xxhash64("key", "i"))
+    lone = wide.where("id = lo").withColumn("i", F.explode(F.expr("array_remove(sequence(0, blocks - 1), i)")))
+    first = rows.unionByName(lone).withColumn("j", F.col("i")).select(deal.alias("deal"), "key", "i", "j", "id", (F.col("blocks") > 1).alias("wide"), (F.col("id") == F.col("lo")).alias("lowest"))
+    found = _link_groups(dress(first), linker, kind)
+    found = materialize(found, "links")
+    left = found.where("key is not null").select("key", "id").distinct()
+    edges = found.where("key is null").select("a", "b")
+    if not left.isEmpty():
+        left = materialize(left, "left")
+        known = wide.join(left.withColumn("loose", F.lit(True)), ["key", "id"], "left").withColumn("loose", F.coalesce("loose", F.lit(False)))
+        loose = known.where("loose").select("key", F.col("i").alias("k")).distinct()  # blocks with ids that are left
+        pairs = known.join(loose, "key").where("i <> k")
+        # block i meets each block k with ids that are left; of block k's rows those that are left come along
+        mine = pairs.select("key", F.col("i"), F.col("k").alias("j"), "id", F.lit(False).alias("wide"), F.lit(False).alias("lowest"))
+        theirs = known.where("loose").withColumn("o", F.explode(F.expr("array_remove(sequence(0, blocks - 1), i)"))).select("key", F.col("o").alias("i"), F.col("i").alias("j"), "id", F.lit(False).alias("wide"), F.lit(False).alias("lowest"))
+        second = mine.unionByName(theirs).select(F.xxhash64("key", "i", "j").alias("deal"), "key", "i", "j", "id", "wide", "lowest")
+        edges = edges.unionByName(_link_groups(dress(second), linker, kind).where("key is null").select("a", "b"))
+    return edges.distinct()
+
+
+def _link_groups(dealt: DataFrame, linker: Callable[[], Callable], kind: str) -> DataFrame:
+    """Edges (a, b) of each group (deal, key, i, j), and rows (key, id) of the ids of wide groups that are not joined to the lowest."""
+    dealt = dealt.repartition("deal").sortWithinPartitions("deal", "key", "i", "j", "id")
+
+    def run(frames):
+        import pandas as pd
+
+        link, deal = None, None
+        for f in sorted_groups(frames, ["deal", "key", "i", "j"]):
+            cuts = group_starts(f, ["deal", "key", "i", "j"]).tolist()
+            columns = {c: f[c].to_numpy() for c in f.columns}
+            deals, keys, ids, uids, wide, lowest = (columns[c] for c in ("deal", "key", "id", "uid", "wide", "lowest"))
+            a, b, loose = [], [], []
+            for s, e in zip(cuts, cuts[1:]):
+                if deals[s] != deal:
+                    link, deal = linker(), deals[s]
+                x, y = link(columns, s, e)
+                a += [uids[s + k] for k in x]
+                b += [uids[s + k] for k in y]
+                if wide[s]:
+                    forest = Forest()
+                    for p, q in zip(x, y):
+                        forest.union(p, q)
+                    heads = {forest.find(k) for k in np.flatnonzero(lowest[s:e]).tolist()}
+                    loose += [s + k for k in range(e - s) if forest.find(k) not in heads]
+            none = [[None] * len(x) for x in (loose, a)]
+            edge = "Int64" if kind == "long" else object
+            yield pd.DataFrame({"a": pd.array(a + none[0], dtype=edge), "b": pd.array(b + none[0], dtype=edge), "key": pd.array(none[1] + keys[loose].tolist(), dtype="Int64"), "id": pd.array(none[1] + ids[loose].tolist(), dtype="Int64")})
+        trim()
+
+    return dealt.mapInPandas(run, f"a {kind}, b {kind}, key long, id long")
 
 
 def sorted_groups(frames: Iterator, keys: list[str]) -> Iterator:
@@ -169,12 +231,14 @@ def group_starts(frame, keys: list[str]) -> np.ndarray:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) of longs to (id, root): root is the smallest id reachable. Ids without an edge don't appear.
+    """Edges (a, b) of ids (longs or binaries) to (id, root): root is the smallest id reachable. Ids without an edge don't appear.
 
     Each task first reduces its edges to a forest; large-star and small-star rounds follow, each
-    ending in a written table, until nothing changes.
+    ending in a written table, until nothing changes. A round's table is deleted when the next one is written.
     """
-    schema = "a long, b long"
+    kind = edges.schema["a"].dataType
+    arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.int64()
+    schema = f"a {kind.simpleString().replace('bigint', 'long')}, b {kind.simpleString().replace('bigint', 'long')}"
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Forest()
@@ -190,7 +254,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     def star(f: Forest) -> pa.RecordBatch:
         pairs = [(x, r) for x in f.up if (r := f.find(x)) != x]
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], arrow), pa.array([p[1] for p in pairs], arrow)], names=["a", "b"])
 
     def mark(df: DataFrame) -> tuple:
         r = df.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1))")).first()
@@ -204,8 +268,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         tight = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        now = materialize(tight, "edges")
+        before, now = now, materialize(tight, "edges")
         last, seen = seen, mark(now)
+        release(before)
         if last == seen:
             break
     roots = now.select(F.col("a").alias("id"), F.col("b").alias("root"))

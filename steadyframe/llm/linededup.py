@@ -7,9 +7,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from steadyframe.llm.common import Forest, blocked_members, connected_components, group_starts, materialize, small, sorted_groups, trim
+from steadyframe.llm.common import Forest, connected_components, linked, materialize, small, trim
 
 SEED = 42  # of XXH64, as Spark's xxhash64 has it
 PAD = np.zeros(8, dtype=np.uint8)
@@ -46,14 +45,13 @@ def band_keys(lines: list[bytes], width: int, bands: int, rows: int) -> np.ndarr
         h[at[ok]] = h[begin[ok]]
     rng = np.random.default_rng(11)
     mul = (rng.integers(0, 1 << 31, bands * rows, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-    add = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
+    x = np.empty_like(h)
     out = np.empty((len(lines), bands), dtype=np.uint64)
     mix = np.uint64(0x9E3779B97F4A7C15)
     for b in range(bands):
         key = np.full(len(lines), b + 1, dtype=np.uint64)
         for r in range(rows):
-            x = h * mul[b * rows + r]
-            x += add[b * rows + r]
+            np.multiply(h, mul[b * rows + r], out=x)
             key ^= np.minimum.reduceat(x, begin)
             key *= mix
             key ^= key >> np.uint64(29)
@@ -61,24 +59,94 @@ def band_keys(lines: list[bytes], width: int, bands: int, rows: int) -> np.ndarr
     return out
 
 
-def shingles(line: str, width: int) -> set[bytes]:
-    raw = line.encode("utf-8", "surrogatepass")
-    return {raw[k : k + width] for k in range(max(1, len(raw) - width + 1))}
+def shingles(raw: bytes, width: int) -> np.ndarray:
+    """Sorted distinct windows of ``width`` <= 8 bytes as numbers, exactly; a shorter line is one window, padded by zeros."""
+    buf = np.frombuffer(raw if len(raw) >= width else raw.ljust(width, b"\0"), dtype=np.uint8)
+    n = len(buf) - width + 1
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(width):
+        out = (out << np.uint64(8)) | buf[k : k + n]
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def _lines(docs: DataFrame, text_col: str, *more: str) -> DataFrame:
-    """Rows of each line that has other than blanks: ``more``, pos, line and its hash h."""
+    """Rows of each line that has other than blanks: ``more``, pos, line and the two halves h and g of its 128-bit hash."""
     cut = F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line")
-    return docs.select(*more, cut).where(F.trim("line") != "").withColumn("h", F.xxhash64("line"))
+    return docs.select(*more, cut).where(F.trim("line") != "").withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(7), "line"))
 
 
-def near_edges(docs: DataFrame, text_col: str, threshold: float, width: int, bands: int, rows: int, block: int) -> DataFrame:
-    """Edges (a, b) between hashes of distinct lines whose byte shingles' Jaccard similarity reaches ``threshold``."""
+# --- band keys travel as blobs of sorted numbers, one for each range of keys: (range, several, 5 bytes a key, 8 bytes an id)
+
+SENT = "range int, several boolean, keys binary, ids binary"
+ENTRIES = 2_000_000  # band keys in a range, about
+FLUSH = 60_000  # lines signed before their keys are sent
+
+
+def _sent(keys: np.ndarray, ids: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Keys of this task's distinct lines by range. What shares a key here already is sent as ``several``, and one of it also as a single."""
+    order = np.argsort(keys)
+    keys, ids = keys[order], ids[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    size = np.diff(np.append(np.flatnonzero(new), len(keys)))
+    rows = []
+    for several, which in ((False, new), (True, np.repeat(size > 1, size))):
+        k, i = keys[which], ids[which]
+        of = (k >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+        cuts = np.searchsorted(of, np.arange(ranges + 1, dtype=np.uint64)).tolist()
+        low = np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+        rows += [(r, several, low[a:b].tobytes(), i[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate(kinds)], names=["range", "several", "keys", "ids"])
+
+
+def _unpacked(r: int, keys: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+    out = np.zeros((len(keys) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(keys, dtype=np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view("<i8") | (r << 40), np.frombuffer(ids, dtype=np.int64)
+
+
+def _met(batches):
+    """Blobs sorted by range to rows (key, id) of keys that two ids or more have. Only singles, one a key and task's flush, are held."""
+
+    def rows(keys, ids):
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "id"])
+
+    def shared(held):
+        keys, ids = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        same = keys[1:] == keys[:-1]
+        which = np.zeros(len(keys), dtype=bool)
+        which[1:] = same
+        which[:-1] |= same
+        return rows(keys[which], ids[which])
+
+    at, held = None, []
+    for batch in batches:
+        for r, several, keys, ids in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            if r != at and held:
+                yield shared(held)
+                held = []
+            at = r
+            if several:
+                yield rows(*_unpacked(r, keys, ids))
+            else:
+                held.append(_unpacked(r, keys, ids))
+    if held:
+        yield shared(held)
+    trim()
+
+
+def band_members(docs: DataFrame, text_col: str, n_lines: int, width: int, bands: int, rows: int) -> DataFrame:
+    """Distinct rows (key, id): the band keys that two distinct lines or more have, with the hashes of these lines."""
+    ranges = max(1, -(-n_lines * bands // ENTRIES))
 
     def sign(batches):
         seen: set[int] = set()
+        lines, hashes, size, keys, ids = [], [], 0, [], []
         for batch in batches:
-            lines, hashes, size = [], [], 0
             for text in batch.column(0):
                 for line in (text.as_py() or "").split("\n"):
                     if not line.strip(" "):
@@ -92,43 +160,42 @@ def near_edges(docs: DataFrame, text_col: str, threshold: float, width: int, ban
                     hashes.append(h)
                     size += len(raw)
                     if size > 256 << 10:
-                        yield signed(lines, hashes)
+                        keys.append(band_keys(lines, width, bands, rows))
+                        ids += hashes
                         lines, hashes, size = [], [], 0
-                if len(seen) > 250_000:
-                    seen.clear()
-            if lines:
-                yield signed(lines, hashes)
+                        if len(ids) >= FLUSH:
+                            yield _sent(np.concatenate(keys).ravel(), np.repeat(np.array(ids, dtype=np.uint64).view(np.int64), bands), ranges)
+                            keys, ids = [], []
+                            seen.clear()
+        if lines:
+            keys.append(band_keys(lines, width, bands, rows))
+            ids += hashes
+        if ids:
+            yield _sent(np.concatenate(keys).ravel(), np.repeat(np.array(ids, dtype=np.uint64).view(np.int64), bands), ranges)
         seen.clear()
         trim()
 
-    def signed(lines, hashes):
-        keys = band_keys(lines, width, bands, rows)
-        ids = np.repeat(np.array(hashes, dtype=np.uint64), bands)
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids.view(np.int64))], names=["key", "id"])
-
-    members = docs.select(text_col).mapInArrow(sign, "key long, id long")
-    groups = materialize(blocked_members(members, block), "groups")
-    wanted = materialize(groups.select("id").distinct(), "wanted")
-    texts = _lines(docs, text_col).join(small(wanted), F.col("h") == F.col("id"), "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    dealt = groups.join(texts, F.col("id") == F.col("h")).select("deal", "key", "i", "j", "id", "line").repartition("deal").sortWithinPartitions("deal", "key", "i", "j", "id")
-
-    def verify(frames):
-        import pandas as pd
-
-        for f in sorted_groups(frames, ["deal"]):
-            deals, cuts = group_starts(f, ["deal"]).tolist(), group_starts(f, ["deal", "key", "i", "j"]).tolist()
-            ids, lines = f["id"].tolist(), f["line"].tolist()
-            found: list[tuple[int, int]] = []
-            known = Verified(threshold, width)
-            for s, e in zip(cuts, cuts[1:]):
-                if s >= deals[0]:  # the next deal: other lines
-                    deals.pop(0)
-                    known = Verified(threshold, width)
-                found += known.links(ids[s:e], lines[s:e])
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        trim()
+    sent = docs.select(text_col).mapInArrow(sign, SENT)
+    met = sent.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_met, "key long, id long").distinct()
+    # a line that several tasks have met itself alone
+    return materialize(met, "met")
+
+
+def near_edges(docs: DataFrame, text_col: str, n_lines: int, threshold: float, width: int, bands: int, rows: int, block: int) -> DataFrame:
+    """Edges (a, b) between the 16-byte hashes of distinct lines whose byte shingles' Jaccard similarity reaches ``threshold``."""
+    met = band_members(docs, text_col, n_lines, width, bands, rows)
+    wanted = materialize(met.select("id").distinct(), "wanted")
+    texts = _lines(docs, text_col).join(small(wanted), F.col("h") == F.col("id"), "left_semi").groupBy("h", "g").agg(F.first("line").alias("line"))
+    texts = materialize(texts.select("h", "line", _uid("h", "g").alias("uid")), "texts")
 
-    return dealt.mapInPandas(verify, "a long, b long").distinct()
+    def dress(groups):
+        return groups.join(texts, F.col("id") == F.col("h")).drop("h")
+
+    return linked(met, block, dress, lambda: Verified(threshold, width).links, "binary")
+
+
+def _uid(h: str, g: str):
+    return F.unhex(F.concat(F.lpad(F.hex(h), 16, "0"), F.lpad(F.hex(g), 16, "0")))
 
 
 class Verified:
@@ -138,35 +205,66 @@ class Verified:
         self.threshold, self.width = threshold, width
         self.forest, self.sets = Forest(), {}
 
-    def similar(self, x: int, y: int) -> bool:
-        a, b = self.sets[x], self.sets[y]
-        if min(len(a), len(b)) < self.threshold * max(len(a), len(b)):
-            return False
-        both = len(a & b)
-        return both >= self.threshold * (len(a) + len(b) - both)
-
-    def links(self, ids: list[int], lines: list[str]) -> list[tuple[int, int]]:
-        """New links that join what is similar: a line is held against each component until one of its lines is similar."""
-        lines_of = dict(zip(ids, lines))
-        parts: dict[int, list[int]] = {}
-        for x in lines_of:
-            parts.setdefault(self.forest.find(x), []).append(x)
-        if len(parts) == 1:
-            return []
-        for x, line in lines_of.items():
-            if x not in self.sets:
-                self.sets[x] = shingles(line, self.width)
-        out, done = [], []
-        for mine in parts.values():
-            for other in [*done]:
-                link = next(((x, y) for x in mine for y in other if self.similar(x, y)), None)
-                if link:
-                    out.append(link)
-                    self.forest.union(*link)
-                    mine = mine + other
-                    done.remove(other)
-            done.append(mine)
-        return out
+    def links(self, columns: dict[str, np.ndarray], s: int, e: int) -> tuple[list[int], list[int]]:
+        """Row numbers of pairs that join what is similar, each component by a spanning tree; components known from other groups by one line each."""
+        ids, lines = columns["uid"][s:e], columns["line"][s:e]
+        heads = [self.forest.find(x) for x in ids]
+        parts: dict[bytes, list[int]] = {}
+        for k, head in enumerate(heads):
+            parts.setdefault(head, []).append(k)
+        a: list[int] = []
+        b: list[int] = []
+        for mine in parts.values():  # the group's own links, which need not be in another group
+            a += mine[:1] * (len(mine) - 1)
+            b += mine[1:]
+        if len(parts) > 1:
+            sets = []
+            for x, line in zip(ids, lines):
+                if (own := self.sets.get(x)) is None:
+                    own = self.sets[x] = shingles(line.encode("utf-8", "surrogatepass"), self.width)
+                sets.append(own)
+            for p, q in spread(sets, list(parts.values()), self.threshold):
+                a.append(p)
+                b.append(q)
+                self.forest.union(ids[p], ids[q])
+        return a, b
+
+
+def spread(sets: list[np.ndarray], parts: list[list[int]], threshold: float) -> list[tuple[int, int]]:
+    """Links (p, q) that join all parts that similar sets connect: breadth first, each set against all that are not reached yet."""
+    size = np.array([len(x) for x in sets])
+    part = np.empty(len(sets), dtype=np.int64)
+    for n, members in enumerate(parts):
+        part[members] = n
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    cuts = np.concatenate(([0], np.cumsum(size)))
+    mark = np.zeros(int(code.max()) + 1, dtype=np.uint8)
+    left = np.arange(len(sets))
+    flat, starts = code, cuts[:-1]
+    links: list[tuple[int, int]] = []
+    while len(left):
+        front = list(parts[part[left[0]]])
+        left = left[part[left] != part[left[0]]]
+        while front and len(left):
+            if 2 * len(left) < len(starts):  # look at what is left only
+                flat = np.concatenate([code[cuts[k] : cuts[k + 1]] for k in left])
+                starts = np.concatenate(([0], np.cumsum(size[left])[:-1]))
+                held = left
+            elif len(starts) == len(sets):
+                held = np.arange(len(sets))
+            p = front.pop()
+            own = code[cuts[p] : cuts[p + 1]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[own] = 0
+            near = held[both >= threshold * (size[p] + size[held] - both)]
+            found = near[np.isin(near, left)]
+            if len(found):
+                for n in dict.fromkeys(part[found].tolist()):
+                    links.append((p, int(found[part[found] == n][0])))
+                    front += parts[n]
+                left = left[~np.isin(part[left], part[found])]
+    return links
 
 
 def dedup_lines(
@@ -177,34 +275,38 @@ def dedup_lines(
     width: int = 7,
     bands: int = 24,
     rows: int = 4,
-    block: int = 500,
+    block: int = 2000,
 ) -> DataFrame:
     """Add n_lines, n_removed and clean_text to ``docs``, keeping one line per component of similar lines.
 
-    Lines are cut at ``\\n``; blank ones are kept and link to nothing. Equal lines are one; lines whose sets of
+    Lines are cut at ``\\n``; blank ones are kept and link to nothing. Equal lines (128 bits of hashes) are one; lines whose sets of
     ``width``-byte shingles have a Jaccard similarity of ``threshold`` or more are linked if one of the MinHash
     bands agrees (at 0.8, all but three pairs in a million; above, fewer are missed). Of each component the line with the smallest (id, position)
     stays; rows equal in id and text count as one row, and keep the same lines. Null texts have no lines and stay
-    null. Null ids come last. Input columns named like an added one are replaced.
+    null; an empty text has no line and stays. A very long text or line is taken whole, in one task's memory. Null ids come last. An empty table gives an empty one.
+    Input columns named like an added one are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "clean_text")
-    edges = near_edges(docs, text_col, threshold, width, bands, rows, block)
-    roots = materialize(connected_components(edges), "roots")
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
-    at = materialize(_lines(own, "t", "id", "th").select("id", "th", "pos", "h"), "lines")
+    th, tg = F.xxhash64(text_col), F.xxhash64(F.lit(7), text_col)
+    own = docs.select(F.col(id_col).alias("id"), th.alias("th"), tg.alias("tg"), F.col(text_col).alias("t"))
+    at = materialize(_lines(own, "t", "id", "th", "tg").select("id", "th", "tg", "pos", "h", "g"), "lines")
+    edges = near_edges(docs, text_col, at.count(), threshold, width, bands, rows, block)
+    half = lambda c, k: F.conv(F.hex(F.substring(c, k, 8)), 16, -10).cast("long")
+    roots = materialize(connected_components(edges).select(half("id", 1).alias("h"), half("id", 9).alias("g"), "root"), "roots")
     # one row per distinct line first, so that a very common line is never gathered; missing ids sort last
     place = F.struct(F.col("id").isNull().alias("none"), "id", "pos", "th")
-    firsts = at.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    named = firsts.join(small(roots.withColumnRenamed("id", "h")), "h", "left").select("h", "first", "n", "root")
+    firsts = at.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    named = firsts.join(small(roots), ["h", "g"], "left").select("h", "g", "first", "n", "root")
     keep = named.where("root is not null").groupBy("root").agg(F.min("first").alias("keep"))
-    alone = named.where("root is null and n > 1").select("h", F.col("first").alias("keep"))
-    linked = named.where("root is not null").select("h", "root").join(keep, "root").select("h", "keep")
-    keepers = materialize(alone.unionAll(linked), "keepers")
-    gone = at.join(small(keepers), "h").where(~place.eqNullSafe(F.col("keep"))).groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
+    alone = named.where("root is null and n > 1").select("h", "g", F.col("first").alias("keep"))
+    linked_ = named.where("root is not null").select("h", "g", "root").join(keep, "root").select("h", "g", "keep")
+    keepers = materialize(alone.unionAll(linked_), "keepers")
+    gone = at.join(small(keepers), ["h", "g"]).where(~place.eqNullSafe(F.col("keep"))).groupBy(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("tg").alias("__tg")).agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
     gone = materialize(gone, "gone")
-    many = gone.agg(F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()[0]
-    joined = docs.join(small(gone, many), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left").withColumn("__lines", F.split(F.col(text_col), "\n"))
+    many = 4 * gone.agg(F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()[0]
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (th == F.col("__th")) & (tg == F.col("__tg"))
+    joined = docs.join(small(gone, many), same, "left").withColumn("__lines", F.split(F.col(text_col), "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda k: F.get("__lines", k)), "\n"))
     n_lines = F.coalesce(F.size(F.filter("__lines", lambda x: F.trim(x) != "")), F.lit(0)).cast("long")
-    return joined.withColumns({"clean_text": text, "n_lines": n_lines, "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}).drop("__gone", "__id", "__th", "__lines")
+    return joined.withColumns({"clean_text": text, "n_lines": n_lines, "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}).drop("__gone", "__id", "__th", "__tg", "__lines")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steadyframe.llm.common import append_columns, blocked_members, connected_components, group_starts, materialize, small, sorted_groups
+from steadyframe.llm.common import append_columns, connected_components, linked, materialize, small
 
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 #: Bit k of byte b, lowest first: turns counts of byte values into counts of bits.
@@ -76,24 +76,19 @@ def links(fps: DataFrame, most: int = 4, block: int = 2000, key_bytes: int | Non
             value = F.shiftleft(value, 8).bitwiseOR(byte[p])
         keys.append(value)
     members = fps.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("id"))
-    groups = blocked_members(members, block).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    shared = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    met = materialize(members.join(small(materialize(shared, "shared")), "key"), "met")
     least = 8 - most
 
-    def find(frames):
-        for f in sorted_groups(frames, ["key", "i", "j"]):
-            cuts, ids = group_starts(f, ["key", "i", "j"]), f["id"].to_numpy()
-            sizes = np.diff(cuts)
-            two = cuts[:-1][sizes == 2]
-            a, b = ids[two], ids[two + 1]
-            near = _linked(a ^ b, least, most)
-            out_a, out_b = [a[near]], [b[near]]
-            for s, e in zip(cuts[:-1][sizes > 2], cuts[1:][sizes > 2]):
-                x, y = _forest(ids[s:e], least, most)
-                out_a.append(x)
-                out_b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"]).to_pandas()
+    def linker():
+        def link(columns, s, e):
+            if e - s == 2:
+                return ([0], [1]) if _linked(columns["id"][s : s + 1] ^ columns["id"][s + 1], least, most)[0] else ([], [])
+            return _forest(columns["id"][s:e], least, most)
 
-    return groups.mapInPandas(find, "a long, b long").distinct()
+        return link
+
+    return linked(met, block, lambda groups: groups.withColumn("uid", F.col("id")), linker, "long")
 
 
 def _linked(x: np.ndarray, least: int, most: int) -> np.ndarray:
@@ -102,20 +97,19 @@ def _linked(x: np.ndarray, least: int, most: int) -> np.ndarray:
     return equal & (np.bitwise_count(x.view(np.uint64)) <= most)
 
 
-def _forest(ids: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(ids: np.ndarray, least: int, most: int) -> tuple[list[int], list[int]]:
     """Breadth first from each fingerprint not yet reached: every link inside the group is looked at, one edge a fingerprint is kept."""
-    left, a, b = np.unique(ids), [], []
+    left, a, b = np.arange(len(ids)), [], []
     while len(left):
-        front, left = left[:1], left[1:]
-        while len(front) and len(left):
-            here, front = front[0], front[1:]
-            near = _linked(left ^ here, least, most)
-            found, left = left[near], left[~near]
-            a.append(np.full(len(found), here))
-            b.append(found)
-            front = np.concatenate([front, found])
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate(a or [none]), np.concatenate(b or [none])
+        front, left = left[:1].tolist(), left[1:]
+        while front and len(left):
+            here = front.pop()
+            near = _linked(ids[left] ^ ids[here], least, most)
+            found, left = left[near].tolist(), left[~near]
+            a += [here] * len(found)
+            b += found
+            front += found
+    return a, b
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:

@@ -9,7 +9,8 @@ from steadyframe.llm import iblt, linededup, packing, queries
 
 
 def jaccard(a, b, width=7):
-    x, y = linededup.shingles(a, width), linededup.shingles(b, width)
+    cut = lambda raw: {raw[k : k + width] for k in range(max(1, len(raw) - width + 1))}
+    x, y = cut(a.encode()), cut(b.encode())
     return len(x & y) / len(x | y)
 
 
