@@ -79,8 +79,8 @@ def _lines(docs: DataFrame, text_col: str, *more: str) -> DataFrame:
 # --- band keys travel as blobs of sorted numbers, one for each range of keys: (range, several, 5 bytes a key, 8 bytes an id)
 
 SENT = "range int, several boolean, keys binary, ids binary"
-ENTRIES = 2_000_000  # band keys in a range, about
-FLUSH = 60_000  # lines signed before their keys are sent
+ENTRIES = 1_000_000  # band keys in a range, about
+FLUSH = 40_000  # lines signed before their keys are sent
 
 
 def _sent(keys: np.ndarray, ids: np.ndarray, ranges: int) -> pa.RecordBatch:
@@ -223,13 +223,33 @@ class Verified:
                 if (own := self.sets.get(x)) is None:
                     own = self.sets[x] = shingles(line.encode("utf-8", "surrogatepass"), self.width)
                 sets.append(own)
-            for p, q in spread(sets, list(parts.values()), self.threshold):
+            for p, q in (pairwise if len(sets) <= 8 else spread)(sets, list(parts.values()), self.threshold):
                 a.append(p)
                 b.append(q)
                 self.forest.union(ids[p], ids[q])
         return a, b
 
 
+def pairwise(sets: list[np.ndarray], parts: list[list[int]], threshold: float) -> list[tuple[int, int]]:
+    """What ``spread`` gives, for a few sets: each pair of parts that are not joined yet."""
+    forest, links = Forest(), []
+    for n, mine in enumerate(parts):
+        for m, other in enumerate(parts[:n]):
+            if forest.find(n) == forest.find(m):
+                continue
+            for p, q in ((p, q) for p in mine for q in other):
+                few, many = sorted((len(sets[p]), len(sets[q])))
+                if few < threshold * many:
+                    continue
+                both = np.sort(np.concatenate((sets[p], sets[q])))
+                both = int((both[1:] == both[:-1]).sum())
+                if both >= threshold * (few + many - both):
+                    links.append((p, q))
+                    forest.union(n, m)
+                    break
+    return links
+
+
 def spread(sets: list[np.ndarray], parts: list[list[int]], threshold: float) -> list[tuple[int, int]]:
     """Links (p, q) that join all parts that similar sets connect: breadth first, each set against all that are not reached yet."""
     size = np.array([len(x) for x in sets])
