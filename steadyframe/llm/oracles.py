@@ -72,16 +72,59 @@ _TESTS = {
 
 def _kind(kind: str, order: int) -> str:
     found = f"regexp_extract_all(t, '{_BASE[kind]}')"
-    return f"""select doc_id, {order} as o, '{kind}' as kind, a, a + length(v) as b from (
-  select doc_id, m[k] as v, cast(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) as bigint) as a
-  from (select doc_id, m, g, unnest(range(1, len(m) + 1)) as k from (select doc_id, {found} as m, string_split_regex(t, '{_BASE[kind]}') as g from d) e) f) h where {_TESTS[kind]}"""
+    return f"""select rid, {order} as o, '{kind}' as kind, a, a + length(v) as b, v from (
+  select rid, m[k] as v, cast(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) as bigint) as a
+  from (select rid, m, g, unnest(range(1, len(m) + 1)) as k from (select rid, {found} as m, string_split_regex(t, '{_BASE[kind]}') as g from d) e) f) h where {_TESTS[kind]}"""
 
 
-#: Without patterns by context, which the test tables' random words do not have.
-OP5 = f"""
-with d as (select doc_id, coalesce(text, '') as t from documents), s as ({" union all ".join(_kind(k, n) for n, k in enumerate(_BASE))}),
-j as (select doc_id, string_agg(kind || ':' || a || ':' || b, ',' order by o, a) as x, {", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in _BASE)} from s group by doc_id)
-select d.doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in _BASE)}, sha256(coalesce(x, '')) as base_sha256, coalesce(x, '') as spans from d left join j using (doc_id)
+#: Tokens and lexical patterns; DuckDB's regular expressions need no guard against long runs.
+_RUN = r"[A-Za-z._+-]*[0-9@][A-Za-z0-9._@+-]*"
+_LABEL = r"(\p{L}[\p{L}0-9_]{0,31})[ \t]{0,4}([:=])[ \t]{0,4}[\x22\x27]?\z"
+_OPENING = r"\n[^\p{L}\p{N}]{0,4}(\p{L}+)[^\p{L}\p{N}\n]{1,4}\z"
+_PAIR = r"(\p{L}+)[^\p{L}\p{N}]{1,4}(\p{L}+)[^\p{L}\p{N}]{1,4}\z"
+_LABEL_USE = r"(\p{L}[\p{L}0-9_]{0,31})[ \t]{0,4}([:=])"
+_OPENING_USE = r"^[^\p{L}\p{N}]{0,4}(\p{L}+)"
+
+
+def _round(n: int) -> str:
+    """Round n of the scores: patterns with three trusted instances, then instances by their best pattern."""
+    return f"""
+conf{n} as (select pattern, sum(g.n * x.score) / any_value(u.uses) as c from graph g join score{n - 1} x using (value) join uses u using (pattern)
+  group by pattern having count(*) filter (x.score >= 0.5) >= 3),
+score{n} as (select value, case when bool_or(known) then 1.0::double else least(coalesce(max(c), 0.0), 1.0) end as score from graph left join conf{n} using (pattern) group by value)"""
+
+
+OP5 = rf"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+s as ({" union all ".join(_kind(k, n) for n, k in enumerate(_BASE))}),
+runs as (select rid, k, v, sum(length(gap)) over w + sum(length(v)) over w - length(v) as a
+  from (select rid, unnest(range(1, len(m) + 1)) as k, unnest(m) as v, unnest(g[1:len(m)]) as gap
+    from (select rid, regexp_extract_all(t, '{_RUN}') as m, string_split_regex(t, '{_RUN}') as g from d) x) y window w as (partition by rid order by k)),
+cores as (select rid, cast(a + length(regexp_extract(v, '^[._@+-]*')) as bigint) as a, regexp_extract(v, '[A-Za-z0-9](.*[A-Za-z0-9])?') as v from runs),
+free as (select rid, a, a + length(v) as b, v from cores where length(v) >= 5 and regexp_matches(v, '[0-9@]')
+  and not exists (select 1 from s where s.rid = cores.rid and s.a < cores.a + length(v) and cores.a < s.b)),
+tokens as (select rid, a, b, v, false as base, regexp_matches(v, '^(AKIA|ASIA)[0-9A-Z]{{16}}\z') as is_key,
+    regexp_matches(v, '^(AKIA|ASIA)[0-9A-Z]{{16}}\z') or regexp_matches(v, '^[0-9a-f]{{16,}}\z') and regexp_matches(v, '[a-f]') and regexp_matches(v, '[0-9]') as seed from free
+  union all select rid, a, b, v, true, false, true from s),
+lefts as (select tokens.*, lower(case when a <= 48 then chr(10) else '' end || substr(t, greatest(a - 47, 1)::bigint, least(a, 48)::bigint)) as l from tokens join d using (rid)),
+named as (select *, case when regexp_extract(l, '{_LABEL}', 1) <> '' then regexp_extract(l, '{_LABEL}', 1) || regexp_extract(l, '{_LABEL}', 2)
+  when regexp_extract(l, '{_OPENING}', 1) <> '' then '^' || regexp_extract(l, '{_OPENING}', 1)
+  when regexp_extract(l, '{_PAIR}', 1) <> '' then regexp_extract(l, '{_PAIR}', 1) || ' ' || regexp_extract(l, '{_PAIR}', 2) else '' end as pattern from lefts),
+edges as (select pattern, lower(v) as value, bool_or(seed) as seed, count(*) as n from named where pattern <> '' group by all),
+seeds as (select distinct value from edges where seed),
+graph as (select pattern, value, n, value in (select value from seeds) as known from edges where pattern in (select pattern from edges group by pattern having count(*) >= 3)),
+holds as (select lower(t) as t from d where regexp_matches(t, '[0-9@]')),
+used as (select unnest(list_transform(range(1, len(x) + 1), lambda k: x[k] || y[k])) as pattern from (select regexp_extract_all(t, '{_LABEL_USE}', 1) as x, regexp_extract_all(t, '{_LABEL_USE}', 2) as y from holds) q
+  union all select '^' || w from (select regexp_extract(unnest(string_split(t, chr(10))), '{_OPENING_USE}', 1) as w from holds) q where w <> ''
+  union all select unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) from (select string_split_regex(t, '[^\p{{L}}]+') as w from holds) q),
+uses as (select pattern, greatest(sum(n), coalesce(any_value(c), 0)) as uses from graph left join (select pattern, count(*) as c from used group by pattern) z using (pattern) group by pattern),
+score0 as (select value, case when bool_or(known) then 1.0::double else 0.0 end as score from graph group by value),{",".join(_round(n) for n in (1, 2, 3))},
+good as (select pattern from conf3 where c >= 0.5),
+found as (select rid, o, kind, a, b from s
+  union all select rid, case when is_key then 4 else 5 end, case when is_key then 'key' else 'context' end, a, b from named where not base and (is_key or pattern in (select pattern from good))),
+j as (select rid, string_agg(kind || ':' || a || ':' || b, ',' order by o, a) as x, string_agg(kind || ':' || a || ':' || b, ',' order by o, a) filter (o < 4) as base,
+  {", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in (*_BASE, "key", "context"))} from found group by rid)
+select d.doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in (*_BASE, "key", "context"))}, sha256(coalesce(base, '')) as base_sha256, coalesce(x, '') as spans from d left join j using (rid)
 """
 
 

@@ -45,9 +45,9 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in (*pii.KINDS, "key", "context")]
     base = pii.rendered(list(pii.KINDS))
-    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.rendered([*pii.KINDS, "context"]).alias("spans"))
+    return found.select("doc_id", *counts[:4], F.sha2(base, 256).alias("base_sha256"), pii.rendered([*pii.KINDS, "key", "context"]).alias("spans"), *counts[4:])
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
