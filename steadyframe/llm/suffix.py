@@ -2,9 +2,11 @@
 
 A shard holds whole documents, about ``SHARD`` bytes of them. Windows of 50 bytes fall into runs that share their least
 hashed 16-byte string (the anchor), which depends on the window alone, so equal windows have equal anchors
-wherever they stand. Per shard the runs' first suffixes are sorted by Larsson-Sadakane refinement, and neighbours
-with a common prefix as long as the run are one context. Shards send their contexts, sorted
-by anchor, to the task of the anchor's range, which merges them by binary search and answers with each context's smallest
+wherever they stand. Per shard the runs' first suffixes are sorted by refining groups, and neighbours
+with a common prefix as long as the run are one context. The refinement is that of Larsson and Sadakane in that only groups still unsorted are
+sorted again; it goes by successive eight-byte words of the text and not by doubled ranks, because a sparse array has no rank
+for the place where a suffix goes on. Shards send their contexts, sorted
+by anchor, to the task of the anchor's range, which sorts them together by (anchor, hash), bounds equal anchors by binary search, and answers with each context's smallest
 document id. Only anchors that meet in different contexts send single windows in a second merge. Very common passages are one
 context a shard, however often they occur.
 """
@@ -80,8 +82,8 @@ class Hashed:
 def suffix_order(raw: bytes, at: np.ndarray, length: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``at`` by their first ``length`` bytes, and the group of equal ones of each place in it.
 
-    Larsson-Sadakane refinement: after a sort by the first eight bytes only groups that are still unsorted are sorted
-    again, by the next eight; within the first ``depth`` bytes all suffixes are in plain order, then equal lengths
+    Group refinement: after a sort by the first eight bytes only groups that are still unsorted are sorted
+    again, by the next eight (a sparse array has no ranks that could be doubled); within the first ``depth`` bytes all suffixes are in plain order, then equal lengths
     stand together.
     """
     word = np.ndarray(shape=(max(1, len(raw) - 7),), dtype=">u8", buffer=raw, strides=(1,))
@@ -196,7 +198,7 @@ def singles(c: Contexts, several: np.ndarray, window: int) -> Singles:
     return Singles(places, of, a[new], h[new], least, owner)
 
 
-# --- what goes between shards and merging tasks: sorted (anchor, hash, least id), 40 bits of each hash within a range
+# --- what goes between shards and merging tasks: sorted (anchor, hash, least id): 40 bits of the anchor within a range, all 64 of the hash
 
 
 def five(x: np.ndarray) -> bytes:
@@ -214,7 +216,7 @@ def sent(shard: int, anchor: np.ndarray, hashes: np.ndarray, least: np.ndarray,
     pack = zstandard.ZstdCompressor(level=1).compress
     bounds = np.searchsorted(anchor, [U((r << 64) // ranges) for r in range(1, ranges)]) if ranges > 1 else np.zeros(0, dtype=np.int64)
     cuts = [0, *bounds.tolist(), len(anchor)]
-    rows = [(r, shard, b - a, five(anchor[a:b] >> U(16)) + five(hashes[a:b] >> U(24)), pack(least[a:b].tobytes())) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    rows = [(r, shard, b - a, five(anchor[a:b] >> U(16)) + hashes[a:b].astype("<u8").tobytes(), pack(least[a:b].tobytes())) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names=["range", "shard", "n", "keys", "ids"])
 
@@ -248,7 +250,7 @@ def answers(rows: list[tuple]) -> pa.RecordBatch:
         anchor = np.concatenate([anchors(r)[i] for r, i in zip(rows, own)])
         if not len(anchor):
             continue
-        hashes = np.concatenate([unfive(r[3][5 * r[2] :])[i] for r, i in zip(rows, own)])
+        hashes = np.concatenate([np.frombuffer(r[3][5 * r[2] :], dtype="<u8")[i] for r, i in zip(rows, own)])
         ids = np.concatenate([np.frombuffer(unpack(r[4]), dtype=np.int64)[i] for r, i in zip(rows, own)])
         least, several = merge(anchor, hashes, ids)
         at = 0
@@ -347,7 +349,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Bytes go that are covered by a string of ``window`` bytes that also starts in a document with a smaller id, judged on the
     input. Null texts are empty; null ids count as larger than all others and remove nothing from each other, nor do equal
-    ids. Texts shorter than the window are kept. Equality of strings between shards is that of 80 bits of hashes in a range; a shard's own
+    ids. Texts shorter than the window are kept. Equality of strings between shards is that of 64 bits of the string's hash within those of one anchor (40 bits more); a shard's own
     are compared byte by byte.
     """
     if window < ANCHOR + 8:
