@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from steadyframe.llm.common import append_columns
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 BUCKETS = 1 << 14
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
@@ -64,7 +64,8 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample:
 
     Each bit's classifier is a naive Bayes ratio of the n-grams of the languages on either side of the split; its scale and each
     language's trust in it come from the same sample. What reaches the driver is a table of
-    languages x buckets. None without labelled rows.
+    languages x buckets. Languages whose texts have no n-gram (empty ones) are not learned. Repeated rows count as often as they
+    occur; very long texts count as whole texts and weigh as much as short ones. None without labelled rows.
     """
     rows = labelled.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("l is not null and t is not null")
     n = rows.count()
@@ -105,7 +106,10 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample:
         rows_ = np.zeros(len(languages))
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
-                c, k = ngram_counts(text.as_py()), number[lang.as_py()]
+                k = number.get(lang.as_py())
+                if k is None:  # its texts have no n-gram
+                    continue
+                c = ngram_counts(text.as_py())
                 m = c @ draft.weights / max(c.sum(), 1.0)
                 size[k] += np.abs(m)
                 right[k] += m * codes[k] > 0
@@ -124,8 +128,9 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample:
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", ambiguity: float = 0.02) -> DataFrame:
     """Add lang_pred, score (0 to 1) and ambiguous (the two best losses differ by less than ``ambiguity``).
 
-    A null text or one without a letter is ``und`` with score 0 and ambiguous, as is every text without a model.
-    Input columns of these names are replaced.
+    A null text or one without a letter (Unicode category L) is ``und`` with score 0 and ambiguous, as is every text without a model.
+    Of languages with equal loss the first by name is given, marked ambiguous. Texts of any length are counted whole; equal texts get
+    equal results; an empty table gives an empty one. Input columns of these names are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(vars(model) if model else None)
 
