@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from steadyframe.functions.geometry import BOX
-from steadyframe.operators.tracker import OUT, run_frames
+from steadyframe.operators.tracker import OUT, Tracks
 
 
 def track_stream(detections: DataFrame, least: float = 0.25, most_age: int = 15) -> DataFrame:
@@ -22,12 +21,10 @@ def track_stream(detections: DataFrame, least: float = 0.25, most_age: int = 15)
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        live, next_id, last = json.loads(state.get[0]) if state.exists else ([], 1, None)
-        live = [(t[0], t[1], tuple(t[2])) for t in live]
-        pdf = pd.concat(list(frames), ignore_index=True)
-        live, next_id, rows = run_frames(pdf, live, next_id, least, most_age, last)
-        state.update((json.dumps([live, next_id, int(pdf.frame_idx.max())]),))
-        yield pd.DataFrame([(key[0], *r) for r in rows], columns=["segment_id", "frame_idx", "det_id", "track_id"])
+        tracks = Tracks.load(state.get[0]) if state.exists else Tracks()
+        rows = tracks.run(pd.concat(list(frames), ignore_index=True), least, most_age)
+        state.update((tracks.dump(),))
+        yield pd.DataFrame([(key[0], *r) for r in rows], columns=OUT.names)
 
     wanted = detections.select("segment_id", "frame_idx", "det_id", *BOX)
     return wanted.groupBy("segment_id").applyInPandasWithState(run, OUT, "tracks string", "append", GroupStateTimeout.NoTimeout)
