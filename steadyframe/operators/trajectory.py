@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,18 +98,21 @@ def interpolate(frames: DataFrame, *columns: str) -> DataFrame:
     return frames
 
 
-def smoothing_matrix(width: int) -> np.ndarray:
-    """Weights of a local parabola over ``width`` values; row r gives the smoothed value at place r."""
-    x = np.arange(width) - width // 2
-    a = np.vander(x, 3, increasing=True).astype(float)
-    return a @ np.linalg.pinv(a)
+def parabola_weight(m: Column, j: Column, t: Column) -> Column:
+    """Weight of the value at place ``j`` of -m..m in the value at place ``t`` of the parabola of least squares: a sum over orthogonal polynomials."""
+    n = 2 * m + 1
+    mean = m * (m + 1) / 3.0
+    second = n * mean
+    spread = second * (3 * m * m + 3 * m - 1) / 5.0 - n * mean * mean
+    return F.lit(1.0) / n + t * j / second + (t * t - mean) * (j * j - mean) / spread
 
 
-def smooth(frames: DataFrame, *columns: str, widths: list[int] | None = None) -> DataFrame:
+def smooth(frames: DataFrame, *columns: str) -> DataFrame:
     """Second-order Savitzky-Golay over the non-missing values in order; adds ``<c>_s``.
 
     Under five values, or if fewer than five fit the width, values stay as they are. The first and last half
-    widths take the end windows' parabola. ``widths`` are those that occur; if not given they are looked up (a few integers).
+    widths take the end windows' parabola. A row's neighbours come from a range window over its place divided by the half width, which
+    makes one bound fit every segment's width; no job runs before the query does.
     """
     for c in columns:
         has = F.col(c).isNotNull()
@@ -120,22 +122,18 @@ def smooth(frames: DataFrame, *columns: str, widths: list[int] | None = None) ->
             frames.withColumn("k", F.row_number().over(w) - 1)
             .withColumn("nv", F.count("*").over(Window.partitionBy(*KEYS, has)))
             .withColumn("w", F.least(odd.cast("int"), (F.floor(F.col("nv") / 2) * 2 - 1).cast("int")))
+            .withColumn("m", F.greatest(F.floor(F.col("w") / 2), F.lit(2)).cast("int"))
+            .withColumn("at", F.floor(F.col("k") * 1_000_000 / F.col("m")))
         )
+        near = Window.partitionBy(*KEYS, has).orderBy("at").rangeBetween(-2_000_002, 2_000_002)  # two half widths, and what rounding takes
+        out = out.withColumn("near", F.collect_list(c).over(near))
+        k, m = F.col("k"), F.col("m")
+        middle = F.least(F.greatest(k, m), F.col("nv") - 1 - m)  # of the window that the row's parabola is fitted to
+        own = F.slice("near", F.greatest(middle - m - F.greatest(k - 2 * m, F.lit(0)) + 1, F.lit(1)).cast("int"), 2 * m + 1)
+        parts = F.transform(own, lambda v, i: v * parabola_weight(m, i - m, k - middle))
+        value = F.aggregate(parts, F.lit(0.0), lambda total, v: total + v)
         on = has & (F.col("nv") >= 5) & (F.col("w") >= 5)
-        found = widths or [r[0] for r in out.where(on).select("w").distinct().collect()]
-        value = F.when(F.lit(False), F.lit(0.0))
-        for width in sorted(found):
-            m, table = width // 2, smoothing_matrix(width)
-            first = F.col("k") < m
-            last = F.col("k") >= F.col("nv") - m
-            middle = sum((F.lit(float(table[m, m + d])) * F.lag(c, -d).over(w) for d in range(-m, m + 1)), F.lit(0.0))
-            own = F.when(~first & ~last, middle)
-            for r in range(m):  # ends: place r of the first window, place width - 1 - r of the last
-                head = sum((F.lit(float(table[r, j])) * F.lag(c, r - j).over(w) for j in range(width)), F.lit(0.0))
-                tail = sum((F.lit(float(table[width - 1 - r, j])) * F.lag(c, width - 1 - r - j).over(w) for j in range(width)), F.lit(0.0))
-                own = own.when(F.col("k") == r, head).when(F.col("k") == F.col("nv") - 1 - r, tail)
-            value = value.when(F.col("w") == width, own)
-        frames = out.withColumn(f"{c}_s", F.when(on, value).otherwise(F.col(c))).drop("k", "nv", "w")
+        frames = out.withColumn(f"{c}_s", F.when(on, value).otherwise(F.col(c))).drop("k", "nv", "w", "m", "at", "near")
     return frames
 
 
