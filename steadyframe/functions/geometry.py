@@ -48,6 +48,12 @@ def corners(cx: Column, cy: Column, w: Column, h: Column) -> list[Column]:
     return [cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2]
 
 
+def pixel_corners(cx: Column, cy: Column, w: Column, h: Column, width: Column, height: Column) -> list[Column]:
+    """Normalized centre and size to corners in pixels, not clipped."""
+    x1, y1, x2, y2 = corners(cx, cy, w, h)
+    return [x1 * width, y1 * height, x2 * width, y2 * height]
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0 or missing."""
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))

@@ -100,11 +100,18 @@ def numbered(rows: DataFrame, name: str, keys: list[str], per_bucket: str) -> Da
     return rows.withColumn("__k", inner).join(offsets, per_bucket).withColumn(name, F.col("__k") + F.col("__before")).drop("__k", "__before")
 
 
-def coco_documents(images: DataFrame, annotations: DataFrame) -> DataFrame:
-    """One row per split: images and annotations as sorted arrays of structs; unused and unassigned splits go."""
-    i = images.where(~F.col("split").isin("unused", "unassigned")).groupBy("split").agg(F.sort_array(F.collect_list(F.struct("image_id", "file_name", "width", "height", "segment_id", "frame_idx"))).alias("images"))
-    a = annotations.groupBy("split").agg(F.sort_array(F.collect_list(F.struct("annotation_id", "image_id", "bbox", "area"))).alias("annotations"))
-    return i.join(a, "split", "left")
+def coco_documents(images: DataFrame, annotations: DataFrame, per_segment: bool = False) -> DataFrame:
+    """One row per split: images and annotations as sorted arrays of structs; unused and unassigned splits go.
+
+    A split must fit in a row. ``per_segment`` gives a row for each segment of a split in place of that, so that a row is as large as a video.
+    """
+    keys = ["split", "segment_id"] if per_segment else ["split"]
+    used = images.where(~F.col("split").isin("unused", "unassigned"))
+    i = used.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("image_id", "file_name", "width", "height", F.col("segment_id").alias("segment_id"), "frame_idx"))).alias("images"))
+    if per_segment:
+        annotations = annotations.join(used.select("image_id", "segment_id").distinct(), "image_id")
+    a = annotations.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("annotation_id", "image_id", "bbox", "area"))).alias("annotations"))
+    return i.join(a, keys, "left")
 
 
 def split_by_segment(manifest: DataFrame, scheme: dict[str, list[str]]) -> DataFrame:
@@ -139,6 +146,62 @@ def split_by_case(manifest: DataFrame, splits: dict[str, str]) -> DataFrame:
     return manifest.join(F.broadcast(table), "case_id", "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
+def smoke_split(manifest: DataFrame, most: int = 24, seed: int = 42) -> DataFrame:
+    """Add ``split`` for a smoke run: up to ``most`` images of each segment, evenly spread; a seeded fifth of them (one at least) is smoke_val, the
+    others smoke_train, and all other images unused."""
+    images = manifest.select("image_id", "segment_id", "frame_idx").distinct()
+    picked = even_sample(images, ["segment_id"], ["frame_idx", "image_id"], most).select("image_id").distinct()
+    n = picked.count()
+    held = picked.orderBy(F.xxhash64(F.lit(seed), "image_id"), "image_id").limit(max(1, n // 5)).withColumn("held", F.lit(True))
+    chosen = picked.join(held, "image_id", "left").select("image_id", F.when(F.col("held"), "smoke_val").otherwise("smoke_train").alias("split"))
+    return manifest.join(chosen, "image_id", "left").withColumn("split", F.coalesce("split", F.lit("unused")))
+
+
+def assign_splits(manifest: DataFrame, settings: dict, smoke: bool = False, segment_holdout: bool = False) -> DataFrame:
+    """Add ``split`` by the config's rules: by segment, for a smoke run, or else by whole cases.
+
+    ``settings`` has seed, test, val, minimum_cases and, for segments, segment_holdout.
+    """
+    if smoke and segment_holdout:
+        raise ValueError("a smoke run and a segment hold-out exclude each other")
+    if segment_holdout:
+        return split_by_segment(manifest, settings["segment_holdout"])
+    if smoke:
+        return smoke_split(manifest, seed=settings["seed"])
+    cases = [r[0] for r in manifest.select("case_id").distinct().collect()]
+    return split_by_case(manifest, case_splits(cases, settings["test"], settings["val"], settings["minimum_cases"], settings["seed"]))
+
+
+def images_per_split(manifest: DataFrame) -> DataFrame:
+    return manifest.groupBy("split").agg(F.countDistinct("image_id").alias("images"))
+
+
+def complete_join(labelled: DataFrame, decoded: DataFrame, keys: list[str]) -> DataFrame:
+    """Labelled frames with their decoded ones; raises if a labelled frame was not decoded."""
+    lost = labelled.select(*keys).distinct().join(decoded, keys, "left_anti").limit(20).collect()
+    if lost:
+        raise ValueError(f"Labelled frames that were not decoded: {sorted(tuple(r) for r in lost)}")
+    return labelled.join(decoded, keys)
+
+
+def run_metadata(manifest: DataFrame, train: str, val: str, smoke: bool = False) -> DataFrame:
+    """One row: each split's sorted cases, whether they share none, and the type of experiment that makes."""
+    of = lambda split: F.sort_array(F.collect_set(F.when(F.col("split") == split, F.col("case_id"))))
+    out = manifest.agg(of(train).alias("train_cases"), of(val).alias("val_cases")).withColumn("independent", ~F.arrays_overlap("train_cases", "val_cases"))
+    kind = F.when(F.lit(smoke), "smoke").when(F.col("independent"), "case_holdout").otherwise("single_case_segment_holdout")
+    return out.withColumns({"smoke": F.lit(smoke), "formal_result": ~F.lit(smoke) & F.col("independent"), "experiment_type": kind})
+
+
+def first_ready_video(videos: DataFrame) -> DataFrame:
+    """The first readable video, by path, whose segment is not its whole case."""
+    return videos.where("readable and segment_id <> case_id").orderBy("path").limit(1)
+
+
+def throughput(frames: Column, seconds: Column) -> Column:
+    """Frames a second of model time, 0 without any."""
+    return F.coalesce(F.try_divide(frames, seconds), F.lit(0.0))
+
+
 def split_purity(manifest: DataFrame) -> DataFrame:
     """Per split its sorted cases, and whether no other split has any of them."""
     cases = manifest.groupBy("split").agg(F.array_join(F.sort_array(F.collect_set("case_id")), ",").alias("cases"))
@@ -216,6 +279,14 @@ REASONS = [
 ]
 
 
+def scored(rows: DataFrame) -> DataFrame:
+    """Labels with all measures that reasons look at: shape, movement and their z scores per segment; image statistics if they are there."""
+    out = position_speed(box_shape(rows))
+    pairs = {"area_z": "box_area_norm", "aspect_z": "aspect_ratio", "speed_z": "position_speed", "brightness_z": "brightness", "blur_z": "blur_variance"}
+    out = with_robust_z(out, {z: c for z, c in pairs.items() if c in out.columns}, "segment_id")
+    return out.withColumn("aspect_z_abs", F.abs("aspect_z"))
+
+
 def anomalies(scored: DataFrame, k: int = 4, reasons: list[tuple[str, str, bool]] = REASONS) -> DataFrame:
     """The ``k`` oddest rows of each segment by each reason whose column is there: reason, rank, reason_score."""
     here = [r for r in reasons if r[1] in scored.columns]

@@ -119,12 +119,53 @@ def with_buckets(rows: DataFrame, edges: DataFrame, keys: list[str] | None = Non
     return time_quartile(out, keys or ["split"]).drop("e0", "e1")
 
 
+def value_ranges(rows: DataFrame, keys: list[str], by: str, ranges: int = 64) -> DataFrame:
+    """Add ``__b``: the range of ``by`` within its group, cut at approximate quantiles; equal values share a range.
+
+    Ranks and running sums over a group then need one window for each range, and the ranges' totals. There is one row of cuts for each group.
+    """
+    shares = F.lit([k / ranges for k in range(1, ranges)])
+    cuts = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.array_distinct(F.percentile_approx(by, shares, 10_000)).alias("__cuts"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return rows.join(cuts, same).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(by)))).drop("__cuts", *[f"__{k}" for k in keys])
+
+
+def _with_totals(rows: DataFrame, keys: list[str], totals: dict[str, Column], over: dict[str, Column]) -> DataFrame:
+    """Rows with what windows over their groups' ranges give, from one row of totals for each range."""
+    at = [*keys, "__b"]
+    known = rows.groupBy(*at).agg(*[c.alias(n) for n, c in totals.items()]).withColumns(over)
+    return rows.join(known.select(*[F.col(k).alias(f"__{k}") for k in at], *over), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in at]).drop(*[f"__{k}" for k in at])
+
+
+def running_sums(rows: DataFrame, keys: list[str], by: str, sums: dict[str, str]) -> DataFrame:
+    """Rows of ``value_ranges`` with sums (new name: column) over the group's rows of this value of ``by`` and higher ones."""
+    above = Window.partitionBy(*keys).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    out = _with_totals(rows, keys, {f"__t_{n}": F.sum(c) for n, c in sums.items()}, {f"__o_{n}": F.coalesce(F.sum(f"__t_{n}").over(above), F.lit(0)) for n in sums})
+    inner = Window.partitionBy(*keys, "__b").orderBy(F.desc(by))
+    return out.withColumns({n: F.sum(c).over(inner) + F.col(f"__o_{n}") for n, c in sums.items()}).drop(*[f"__o_{n}" for n in sums])
+
+
+def falling_max(rows: DataFrame, keys: list[str], by: str, value: str) -> DataFrame:
+    """Rows of ``value_ranges`` with ``value`` raised to the most that rows of its group have at this ``by`` or a lower one."""
+    below = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    out = _with_totals(rows, keys, {"__most": F.max(value)}, {"__low": F.max("__most").over(below)})
+    inner = Window.partitionBy(*keys, "__b").orderBy(by)
+    return out.withColumn(value, F.greatest(F.max(value).over(inner), F.col("__low"))).drop("__low")
+
+
+def places(rows: DataFrame, keys: list[str], by: str, ties: list[str] | None = None) -> DataFrame:
+    """Rows of ``value_ranges`` with ``__r`` and ``__n``: the place from 1 by ``by`` (and ``ties``; without, the rank) and the group's size."""
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    out = _with_totals(rows, keys, {"__m": F.count("*")}, {"__o": F.coalesce(F.sum("__m").over(before), F.lit(0)), "__n": F.sum("__m").over(Window.partitionBy(*keys))})
+    inner = Window.partitionBy(*keys, "__b").orderBy(by, *(ties or []))
+    return out.withColumn("__r", (F.row_number() if ties else F.rank()).over(inner) + F.col("__o")).drop("__o")
+
+
 def time_quartile(rows: DataFrame, keys: list[str], order: tuple[str, ...] = ("frame_idx", "segment_id")) -> DataFrame:
     """Quartile of the rank by frame within each group, cut where interpolated quantiles of the ranks lie."""
-    w = Window.partitionBy(*keys)
-    r, n = F.row_number().over(w.orderBy(*order)), F.count("*").over(w)
+    ranked = places(value_ranges(rows, keys, order[0]), keys, order[0], list(order[1:]))
     q = F.greatest(F.lit(1), F.ceil(4 * (F.col("__r") - 1) / F.greatest(F.col("__n") - 1, F.lit(1))).cast("int"))
-    return rows.withColumn("__r", r).withColumn("__n", n).withColumn("time_quartile", F.concat(F.lit("Q"), q.cast("string"))).drop("__r", "__n")
+    return ranked.withColumn("time_quartile", F.concat(F.lit("Q"), q.cast("string"))).drop("__r", "__n", "__b")
 
 
 def group_diagnostics(rows: DataFrame, threshold: float) -> DataFrame:
@@ -141,39 +182,50 @@ def worst_errors(rows: DataFrame, threshold: float, n: int, ties: list[str]) ->
     return rows.withColumn("error_priority", p).orderBy(F.desc(F.round("error_priority", 9)), *ties).limit(n)
 
 
-AREAS = {"all": (0.0, float("inf")), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, float("inf"))}
+#: Areas of ground truth in square pixels, ends included, and the most detections an image counts with.
+AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
+MOST = (1, 10, 100)
 
 
-def mean_average_precision(candidates: DataFrame, image: list[str], ties: list[str], max_detections: int = 100) -> DataFrame:
-    """COCO average precision and recall with one ground-truth box an image, one row: map, map_50, map_75, mar_1, mar_10, mar_100.
+def mean_average_precision(candidates: DataFrame, image: list[str], ties: list[str]) -> DataFrame:
+    """The twelve COCO statistics with one ground-truth box an image, one row: map, map_50, map_75, mar_1, mar_10, mar_100, and map_ and mar_ of
+    small, medium and large.
 
-    At each of ten overlaps an image's best-scored box that reaches it is the match. Precision over all
-    boxes by score is made to fall only, and read at 101 recalls. -1 without ground truth. The running counts over all boxes go
-    through a histogram of the distinct scores, so that no task holds all boxes.
+    At each of ten overlaps an image's best-scored box that reaches it is the match. In an area range, ground truth outside it and the
+    match of such do not count, nor do unmatched boxes outside it. Precision over all
+    boxes by score is made to fall only, and read at 101 recalls. -1 where a range has no ground truth. Running counts over all boxes go by
+    ranges of scores, so that no task holds all of them.
     """
     overlaps = [round(0.5 + 0.05 * k, 2) for k in range(10)]
-    ranked = top_k(with_iou(candidates), max_detections, image, ties)
-    steps = F.explode(F.lit(overlaps))
-    hits = ranked.withColumn("t", steps)
+    ranked = top_k(with_iou(candidates), MOST[-1], image, ties)
+    within = lambda a, low, high: (a >= low) & (a <= high)
+    ranges = F.array(*[F.struct(F.lit(n).alias("area"), within(area(box("gt_")), *r).alias("counts"), within(area(box()), *r).alias("inside")) for n, r in AREAS.items()])
+    truths = ranked.select(*image, F.explode(F.transform(ranges, lambda r: F.struct(r["area"].alias("area"), r["counts"].alias("counts")))).alias("__range")).where("__range.counts")
+    images = truths.select(*image, "__range.area").distinct().groupBy("area").agg(F.count("*").alias("n"))
     first = Window.partitionBy(*image, "t").orderBy("rank")
-    hits = hits.withColumn("fits", F.col("iou") >= F.col("t")).withColumn("nth", F.sum(F.col("fits").cast("int")).over(first))
-    hits = hits.withColumn("hit", F.col("fits") & (F.col("nth") == 1))
-    images = ranked.select(*image).distinct().agg(F.count("*").alias("n"))
-    by_score = hits.groupBy("t", "score").agg(F.count_if("hit").alias("tp"), F.count("*").alias("all"))
-    run = Window.partitionBy("t").orderBy(F.desc("score"))
-    curve = by_score.withColumn("ctp", F.sum("tp").over(run)).withColumn("call", F.sum("all").over(run)).crossJoin(F.broadcast(images))
-    curve = curve.withColumn("recall", F.col("ctp") / F.col("n")).withColumn("p", F.col("ctp") / F.col("call"))
-    curve = curve.withColumn("p", F.max("p").over(Window.partitionBy("t").orderBy(F.desc("recall"), "score").rowsBetween(Window.unboundedPreceding, 0)))
-    at = curve.where("tp > 0").withColumn("before", F.coalesce(F.lag("recall").over(Window.partitionBy("t").orderBy("recall")), F.lit(-1.0)))
-    # recall points r/100 in (before, recall] read this row's precision
-    points = F.floor(F.col("recall") * 100 + 1e-9) - F.floor(F.col("before") * 100 + 1e-9)
-    ap = at.groupBy("t").agg((F.sum(F.when(F.col("before") < 0, F.floor(F.col("recall") * 100 + 1e-9) + 1).otherwise(points) * F.col("p")) / 101).alias("ap"))
-    recall = hits.groupBy("t").agg(*[(F.count_if(F.col("hit") & (F.col("rank") <= k))).alias(f"r{k}") for k in (1, 10, 100)])
-    both = recall.join(ap, "t", "left").crossJoin(F.broadcast(images))
-    mean = lambda c: F.coalesce(F.avg(c), F.lit(-1.0))
+    hits = ranked.withColumn("t", F.explode(F.lit(overlaps))).withColumn("fits", F.col("iou") >= F.col("t"))
+    hits = hits.withColumn("match", F.col("fits") & (F.sum(F.col("fits").cast("int")).over(first) == 1))
+    hits = hits.withColumn("__range", F.explode(ranges)).select("t", "score", "rank", "match", "__range.*")
+    hits = hits.where(F.when(F.col("match"), F.col("counts")).otherwise(F.col("inside"))).withColumn("hit", F.col("match") & F.col("counts"))
+    keys = ["area", "t"]
+    by_score = hits.groupBy(*keys, "score").agg(F.count_if("hit").alias("tp"), F.count("*").alias("all"))
+    curve = running_sums(value_ranges(by_score, keys, "score"), keys, "score", {"ctp": "tp", "call": "all"}).where("tp > 0").join(F.broadcast(images), "area")
+    at = falling_max(curve.withColumn("p", F.col("ctp") / F.col("call")), keys, "score", "p")
+    # recall points r/100 after the recall that was reached before, up to this row's, read this row's precision
+    point = lambda found: F.floor(found / F.col("n") * 100 + 1e-9)
+    before = F.col("ctp") - F.col("tp")
+    points = point(F.col("ctp")) - F.when(before > 0, point(before)).otherwise(-1)
+    ap = at.groupBy(*keys).agg((F.sum(points * F.col("p")) / 101).alias("ap"))
+    recall = hits.groupBy(*keys).agg(*[F.count_if(F.col("hit") & (F.col("rank") <= k)).alias(f"r{k}") for k in MOST])
+    grid_ = images.withColumn("t", F.explode(F.lit(overlaps)))
+    both = grid_.join(recall, keys, "left").join(ap, keys, "left").fillna(0)
+    of = lambda name, c: F.coalesce(F.avg(F.when(F.col("area") == name, c)), F.lit(-1.0))
+    at_level = lambda t: F.coalesce(F.avg(F.when((F.col("area") == "all") & (F.col("t") == t), F.col("ap"))), F.lit(-1.0))
     return both.agg(
-        mean(F.coalesce("ap", F.lit(0.0))).alias("map"),
-        mean(F.when(F.col("t") == 0.5, F.coalesce("ap", F.lit(0.0)))).alias("map_50"),
-        mean(F.when(F.col("t") == 0.75, F.coalesce("ap", F.lit(0.0)))).alias("map_75"),
-        *[mean(F.col(f"r{k}") / F.col("n")).alias(f"mar_{k}") for k in (1, 10, 100)],
+        of("all", F.col("ap")).alias("map"),
+        at_level(0.5).alias("map_50"),
+        at_level(0.75).alias("map_75"),
+        *[of(n, F.col("ap")).alias(f"map_{n}") for n in list(AREAS)[1:]],
+        *[of("all", F.col(f"r{k}") / F.col("n")).alias(f"mar_{k}") for k in MOST],
+        *[of(n, F.col(f"r{MOST[-1]}") / F.col("n")).alias(f"mar_{n}") for n in list(AREAS)[1:]],
     )

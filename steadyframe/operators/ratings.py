@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from steadyframe.operators.detection import places, value_ranges
+
 KEYS = ["case_id", "segment_id"]
 SCORES = ["salas_total", "osa_cns_total"]
 NOT_FEATURES = {"case_id", "segment_id", "frame_count", "duration_s"}
@@ -43,10 +45,11 @@ def icc_2_1(ratings: DataFrame, score: str) -> DataFrame:
     return sums.select("n", "k", F.when((n >= 2) & (k >= 2), F.try_divide(msr - mse, msr + (k - 1) * mse + k * (msc - mse) / n)).alias("icc"))
 
 
-def average_rank(c: str | Column, keys: list[str]) -> Column:
-    """Rank from 1 within the group; equal values share the mean of their ranks."""
+def with_average_rank(rows: DataFrame, keys: list[str], c: str, name: str) -> DataFrame:
+    """Add the rank from 1 within the group; equal values share the mean of their ranks. Ranks go by ranges of values, not by one window a group."""
     same = Window.partitionBy(*keys, c)
-    return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(same) - 1) / 2
+    ranked = places(value_ranges(rows, keys, c), keys, c)
+    return ranked.withColumn(name, F.col("__r") + (F.count("*").over(same) - 1) / 2).drop("__r", "__n", "__b")
 
 
 def pearson(x: str, y: str) -> Column:
@@ -74,7 +77,7 @@ def feature_score_rows(metrics: DataFrame, ratings: DataFrame, features: list[st
 def spearman(rows: DataFrame) -> DataFrame:
     """Per (feature, score): rho (NULL under three rows or if constant), two-sided p, n and independent_cases."""
     keys = ["feature", "score"]
-    ranked = rows.withColumn("rx", average_rank("x", keys)).withColumn("ry", average_rank("y", keys))
+    ranked = with_average_rank(with_average_rank(rows, keys, "x", "rx"), keys, "y", "ry")
     out = ranked.groupBy(*keys).agg(pearson("rx", "ry").alias("rho"), F.count("*").alias("n"), F.countDistinct("case_id").alias("independent_cases"))
     p = F.pandas_udf(_p_values, T.DoubleType())
     return out.withColumn("spearman_rho", F.when(F.col("n") >= 3, F.col("rho"))).drop("rho").withColumn("p_value", p("spearman_rho", "n"))
@@ -120,10 +123,11 @@ def bootstrap_plan(cases: list[str], repetitions: int = 2000, seed: int = 42) ->
 def bootstrap_interval(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Per (feature, score): the 2.5 and 97.5 percentiles of rho over the plan's repetitions, without constant ones.
 
-    A row drawn t times is a weight t: its average rank is that of t equal rows, so nothing is replicated. NULL under three cases.
+    A row drawn t times is a weight t: its average rank is that of t equal rows, so that a row comes once for each repetition that draws it.
+    The plan has a row for each repetition and case drawn; how it is joined is left to its size. NULL under three cases.
     """
     keys = ["feature", "score", "rep_id"]
-    drawn = rows.join(F.broadcast(plan), "case_id")
+    drawn = rows.join(plan, "case_id")
     for v, r in (("x", "rx"), ("y", "ry")):
         upto = F.sum("times").over(Window.partitionBy(*keys).orderBy(v))
         same = F.sum("times").over(Window.partitionBy(*keys, v))
@@ -187,5 +191,5 @@ def prediction_scores(rows: DataFrame, target: str) -> DataFrame:
 
 
 def rating_template(spark) -> DataFrame:
-    """The empty table that raters fill in."""
+    """The empty table that raters fill in; ``files.write_template`` writes its header."""
     return spark.createDataFrame([], "case_id string, osa_cns_total double, rater_id string, salas_total double, segment_id string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +14,20 @@ from steadyframe.operators.detection import best_row
 COCO_STATS = ["map", "map_50", "map_75", "map_small", "map_medium", "map_large", "mar_1", "mar_10", "mar_100", "mar_small", "mar_medium", "mar_large"]
 
 
+RECORD = "name string, architecture string, checkpoint string, config string, metrics map<string,map<string,double>>, notes string, registered_at string"
+
+
 def upsert(registry: DataFrame, records: DataFrame, key: str = "name") -> DataFrame:
     """The registry with ``records`` in place of those of the same name."""
     return registry.join(records.select(key), key, "left_anti").unionByName(records)
 
 
+def record(spark, name: str, architecture: str, checkpoint: str, metrics: dict[str, dict[str, float]], config: str | None = None, notes: str = "") -> DataFrame:
+    """One experiment's row, with the time at which it was registered in UTC."""
+    now = datetime.now(timezone.utc).isoformat()
+    return spark.createDataFrame([(name, architecture, checkpoint, config, metrics, notes, now)], RECORD)
+
+
 def best_experiment(registry: DataFrame, order: str = "registered_at") -> DataFrame:
     """The experiment with the highest validation map, then map_75; without validation metrics none is eligible, a missing value counts as -1."""
     val = F.col("metrics")["val"]
@@ -65,6 +75,17 @@ def report_html(title: str, sections: dict[str, list[dict]]) -> str:
     return "\n".join(parts)
 
 
+def report_markdown(title: str, sections: dict[str, list[dict]]) -> str:
+    """The same report in Markdown."""
+    plain = lambda v: str(v).replace("|", "\\|").replace("\n", " ")
+    parts = [f"# {title}"]
+    for name, rows in sections.items():
+        head = list(rows[0]) if rows else []
+        lines = [" | ".join(plain(c) for c in head), " | ".join("---" for _ in head)] + [" | ".join(plain(r[c]) for c in head) for r in rows]
+        parts.append(f"## {name}\n\n" + "\n".join(f"| {x} |" for x in lines if head))
+    return "\n\n".join(parts) + "\n"
+
+
 def report_title(smoke: bool, passes: bool, independent: bool) -> str:
     """Which kind of report the results allow."""
     if smoke:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadyframe.functions.geometry import box, clip, iou
-from steadyframe.operators.detection import best_row, with_iou
+from steadyframe.operators.detection import best_row, selection_summary, threshold_sweep, thresholds, with_iou
 
+# The features, in the model's order.
 FEATURES = [
     "f_score", "score_logit", "rank_reciprocal", "center_x", "center_y", "box_width", "box_height", "log_area", "log_aspect",
     "previous_support", "next_support", "previous_overlap", "next_overlap",
@@ -62,17 +65,33 @@ def select_by_prediction(candidates: DataFrame, ties: list[str]) -> DataFrame:
     return candidates.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def out_of_fold(candidates: DataFrame, key: list[str], folds: int = 5, trees: int = 120) -> DataFrame:
-    """Candidates with features, iou and calibrated_iou, predicted by boosted trees that did not see their fold."""
-    from pyspark.ml.feature import VectorAssembler
+def _trees(trees: int):
     from pyspark.ml.regression import GBTRegressor
 
-    rows = with_iou(candidate_features(candidates, key)).join(contiguous_folds(candidates, folds), ["segment_id", "frame_idx"])
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).persist()
+    return GBTRegressor(labelCol="iou", featuresCol="features", predictionCol="calibrated_iou", maxIter=trees, stepSize=0.05, maxDepth=4, minInstancesPerNode=40, seed=42)
+
+
+def _with_features(candidates: DataFrame, key: list[str]) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_iou(candidate_features(candidates, key)))
+
+
+def out_of_fold(candidates: DataFrame, key: list[str], folds: int = 5, trees: int = 120) -> DataFrame:
+    """Candidates with features, iou and calibrated_iou, predicted by boosted trees that did not see their fold.
+
+    The folds' fits are independent jobs on the same rows and run side by side.
+    """
+    rows = _with_features(candidates, key).join(contiguous_folds(candidates, folds), ["segment_id", "frame_idx"])
+    held = rows.select("fold", "features", "iou").persist()
+    try:
+        with ThreadPool(folds) as pool:
+            models = pool.map(lambda fold: _trees(trees).fit(held.where(F.col("fold") != fold)), range(folds))
+    finally:
+        held.unpersist()
     out = None
-    for fold in range(folds):
-        model = GBTRegressor(labelCol="iou", featuresCol="features", predictionCol="calibrated_iou", maxIter=trees, stepSize=0.05, maxDepth=4, minInstancesPerNode=40, seed=42)
-        part = model.fit(rows.where(F.col("fold") != fold)).transform(rows.where(F.col("fold") == fold))
+    for fold, model in enumerate(models):
+        part = model.transform(rows.where(F.col("fold") == fold))
         out = part if out is None else out.unionByName(part)
     return out.drop("features")
 
@@ -82,4 +101,17 @@ def rerank(candidates: DataFrame, key: list[str], folds: int = 5, trees: int = 1
     return select_by_prediction(out_of_fold(candidates, key, folds, trees), key)
 
 
-__all__ = ["best_row", "candidate_features", "contiguous_folds", "neighbor_support", "out_of_fold", "rerank", "select_by_prediction"]
+def learn(validation: DataFrame, test: DataFrame, key: list[str], folds: int = 5, trees: int = 120) -> tuple[DataFrame, DataFrame, float, DataFrame]:
+    """(selected validation rows, selected test rows, threshold, summary): the whole protocol of the reranker.
+
+    The threshold is that of the best (f1, precision) over the rows selected out of fold. A model of all validation rows then selects the test
+    rows, whose ground truth is used for the summary alone: frames, mean_iou, rates and confusions of either.
+    """
+    chosen = rerank(validation, key, folds, trees)
+    best = best_row(threshold_sweep(chosen, thresholds(0.01, 0.99, 99)), ["f1", "precision"], "threshold").first()
+    if best is None:
+        raise ValueError("learning needs validation candidates")
+    model = _trees(trees).fit(_with_features(validation, key).select("features", "iou"))
+    applied = select_by_prediction(model.transform(_with_features(test, key)).drop("features"), key)
+    parts = [selection_summary(rows, best["threshold"]).withColumns({"split": F.lit(split), "threshold": F.lit(best["threshold"])}) for split, rows in (("val", chosen), ("test", applied))]
+    return chosen, applied, best["threshold"], parts[0].unionByName(parts[1])
