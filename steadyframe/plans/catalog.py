@@ -146,10 +146,7 @@ def gated_track(s, d):
     best = top_one(s, d).select("segment_id", "frame_idx", "score", "x1", "y1", "x2", "y2")
     ends = best.groupBy("segment_id").agg(F.max("frame_idx").alias("hi"))
     spine = ends.select("segment_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("hi"))).alias("frame_idx"))
-    on = F.col("score") >= THRESHOLD
-    gated = {c: F.when(on, F.col(c)) for c in ("x1", "y1", "x2", "y2")}
-    out = spine.join(best, ["segment_id", "frame_idx"], "left").withColumns({**gated, "track_id": F.when(on, 1), "confidence": F.when(on, F.col("score"))})
-    return rounded(out.drop("score"))
+    return rounded(temporal.gate(spine.join(best, ["segment_id", "frame_idx"], "left"), THRESHOLD).drop("score"))
 
 
 @query
@@ -316,7 +313,7 @@ def spearman(s, d):
 
 @query
 def spearman_p(s, d):
-    return ratings.spearman(correlation_rows(s, d)).select("feature", "score", "p_value")
+    return rounded(ratings.spearman(correlation_rows(s, d)).select("feature", "score", "p_value"))
 
 
 @query
@@ -335,7 +332,7 @@ def loco_ridge(s, d):
 @query
 def loco_ridge_scores(s, d):
     data = fixture(s, d, "segment_features").join(ratings.mean_ratings(fixture(s, d, "ratings")), ratings.KEYS)
-    return ratings.prediction_scores(ratings.leave_one_case_out(data, ["n_orders", "key_mass", "key_top"], "salas_total"), "salas_total")
+    return rounded(ratings.prediction_scores(ratings.leave_one_case_out(data, ["n_orders", "key_mass", "key_top"], "salas_total"), "salas_total"))
 
 
 # --- audit, splits and anomalies
@@ -409,9 +406,10 @@ def even_sample(s, d):
 
 
 def scored(s: SparkSession, d: str) -> DataFrame:
-    rows = audit.position_speed(audit.box_shape(good_labels(s, d)))
-    out = audit.with_robust_z(rows, {"area_z": "box_area_norm", "aspect_z": "aspect_ratio", "speed_z": "position_speed"}, "segment_id")
-    return out.withColumn("aspect_z_abs", F.abs("aspect_z"))
+    """Labels with the statistics of an image each, of the images by number modulo their count."""
+    stats = audit.image_statistics(fixture(s, d, "images")).withColumn("n", F.col("image_id") % 100).groupBy("n").agg(F.min("brightness").alias("brightness"), F.min("blur_variance").alias("blur_variance"))
+    rows = good_labels(s, d).withColumn("n", F.col("frame_idx") % 100)
+    return audit.scored(rows.join(stats, "n", "left").drop("n"))
 
 
 @query

@@ -181,7 +181,7 @@ def summary(source: str, key: str) -> str:
 
 
 PATH = f"""with recursive c as ({fixtures.CANDIDATES}),
-k as (select *, dense_rank() over (partition by segment_id order by frame_idx) as pos, greatest(x2-x1, 1e-6::double) * greatest(y2-y1, 1e-6::double) as size from c where candidate_rank <= 3),
+k as (select *, dense_rank() over (partition by segment_id order by frame_idx) as pos, greatest(x2-x1, 1e-6::double) * greatest(y2-y1, 1e-6::double) as size from c where candidate_rank <= 5),
 walk as (
  select segment_id, pos, candidate_rank as r, ln(score) as total, [candidate_rank] as path from k where pos = 1
  union all
@@ -195,15 +195,21 @@ walk as (
 ends as (select segment_id, arg_max(path, total) as path from walk where (segment_id, pos) in (select (segment_id, max(pos)) from k group by segment_id) group by segment_id),
 chosen as (select k.*, {iou('k.', 'k.gt_')} as iou from ends join k on k.segment_id = ends.segment_id and k.candidate_rank = ends.path[k.pos])"""
 
+_AREAS = "(values ('all', 0.0::double, 1e10::double), ('small', 0.0, 1024.0), ('medium', 1024.0, 9216.0), ('large', 9216.0, 1e10)) v(area, low, high)"
 COCO = f"""{ctes(*CAND)},
 h as (select s.*, t, iou >= t as fits from s, (select unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]::double[]) as t) o where candidate_rank <= 100),
-m as (select *, fits and sum(fits::int) over (partition by segment_id, frame_idx, t order by candidate_rank) = 1 as hit from h),
-i as (select count(*)::double as n from (select distinct segment_id, frame_idx from s)),
-g as (select t, score, sum(hit::int) as tp, count(*) as k from m group by all),
-r as (select t, sum(tp) over w / n as recall, sum(tp) over w / sum(k) over w::double as p from g, i window w as (partition by t order by score desc)),
-ap as (select o.t, avg(coalesce((select max(p) from r where r.t = o.t and recall * 100 + 1e-9 >= q), 0)) as ap from (select distinct t from h) o, range(0, 101) x(q) group by o.t),
-mr as (select t, sum((hit and candidate_rank <= 1)::int) / max(n) as r1, sum((hit and candidate_rank <= 10)::int) / max(n) as r10, sum((hit and candidate_rank <= 100)::int) / max(n) as r100 from m, i group by t)
-select {rd('avg(ap)', 'map')}, {rd("max(case when t = 0.5::double then ap end)", 'map_50')}, {rd("max(case when t = 0.75::double then ap end)", 'map_75')}, {rd('avg(r1)', 'mar_1')}, {rd('avg(r10)', 'mar_10')}, {rd('avg(r100)', 'mar_100')} from ap join mr using (t)"""
+f as (select *, fits and sum(fits::int) over (partition by segment_id, frame_idx, t order by candidate_rank) = 1 as match, greatest(x2 - x1, 0) * greatest(y2 - y1, 0) as own, greatest(gt_x2 - gt_x1, 0) * greatest(gt_y2 - gt_y1, 0) as gt from h),
+m as (select f.*, area, match as hit from f, {_AREAS} where case when match then gt between low and high else own between low and high end),
+i as (select area, count(*)::double as n from (select distinct segment_id, frame_idx, area from f, {_AREAS} where gt between low and high) q group by area),
+g as (select area, t, score, sum(hit::int) as tp, count(*) as k from m group by all),
+r as (select area, t, sum(tp) over w / n as recall, sum(tp) over w / sum(k) over w::double as p from g join i using (area) window w as (partition by area, t order by score desc)),
+o as (select area, n, t from i, (select distinct t from h) q),
+ap as (select o.area, o.t, avg(coalesce((select max(p) from r where r.area = o.area and r.t = o.t and recall * 100 + 1e-9 >= q), 0)) as ap from o, range(0, 101) x(q) group by all),
+mr as (select o.area, o.t, coalesce(sum((hit and candidate_rank <= 1)::int), 0) / max(n) as r1, coalesce(sum((hit and candidate_rank <= 10)::int), 0) / max(n) as r10, coalesce(sum((hit and candidate_rank <= 100)::int), 0) / max(n) as r100 from o left join m using (area, t) group by all),
+b as (select * from ap join mr using (area, t))
+select {rd("coalesce(avg(ap) filter (area = 'all'), -1)", 'map')}, {rd("coalesce(max(ap) filter (area = 'all' and t = 0.5::double), -1)", 'map_50')}, {rd("coalesce(max(ap) filter (area = 'all' and t = 0.75::double), -1)", 'map_75')},
+ {", ".join(rd(f"coalesce(avg(ap) filter (area = '{x}'), -1)", f"map_{x}") for x in ("small", "medium", "large"))}, {", ".join(rd(f"coalesce(avg(r{k}) filter (area = 'all'), -1)", f"mar_{k}") for k in (1, 10, 100))},
+ {", ".join(rd(f"coalesce(avg(r100) filter (area = '{x}'), -1)", f"mar_{x}") for x in ("small", "medium", "large"))} from b"""
 
 
 def side(name: str, step: int) -> str:
@@ -243,7 +249,7 @@ def pearson(x: str, y: str, t: str = "1") -> str:
 
 
 def bootstrap() -> str:
-    plan = ", ".join(f"({r}, '{c}', {t})" for r, c, t in bootstrap_plan([f"C{k}" for k in range(20)], 200, 42))
+    plan = ", ".join(f"({r}, '{c}', {t})" for r, c, t in bootstrap_plan([f"C{k}" for k in range(20)], 2000, 42))
     rank = lambda v: f"sum(times) over (partition by feature, score, rep order by {v}) - (sum(times) over (partition by feature, score, rep, {v}) - 1) / 2"
     return f"""{ctes(RATINGS, FEATURES, LONG)}, plan(rep, case_id, times) as (values {plan}),
 d as (select feature, score, rep, times, {rank('x')} as rx, {rank('y')} as ry from long join plan using (case_id)),
@@ -278,14 +284,58 @@ def zscore(source: str, target: str, c: str, name: str) -> tuple[str, str]:
 
 
 LABELS = [LINES, PARSED, GOOD]
-SCORES = [*LABELS, SHAPE, SPEED, zscore("speed", "z1", "box_area_norm", "area_z"), zscore("z1", "z2", "aspect_ratio", "aspect_z"), zscore("z2", "z3", "position_speed", "speed_z")]
-_REASONS = [("small_box", "area_z", 1), ("large_box", "area_z", -1), ("extreme_aspect", "abs(aspect_z)", -1), ("boundary_box", "boundary_margin", 1), ("position_jump", "speed_z", -1)]
-
-IMAGE = """with i as (select vec_id as image_id, list_transform(embedding, lambda v: v::double) as p from embeddings),
-l as (select image_id, p, list_transform(range(0, 64), lambda k:
+_PIXELS = """select vec_id as image_id, list_transform(embedding, lambda v: v::double) as p from embeddings"""
+_LAPLACE = """select image_id, p, list_transform(range(0, 64), lambda k:
   p[case when k // 8 = 0 then 1 else k // 8 - 1 end * 8 + k % 8 + 1] + p[case when k // 8 = 7 then 6 else k // 8 + 1 end * 8 + k % 8 + 1]
-  + p[k // 8 * 8 + case when k % 8 = 0 then 1 else k % 8 - 1 end + 1] + p[k // 8 * 8 + case when k % 8 = 7 then 6 else k % 8 + 1 end + 1] - 4 * p[k + 1]) as lap from i)
-select image_id, round(list_avg(p) + 3e-8, 6) + 0.0 as brightness, round(list_stddev_pop(p) + 3e-8, 6) + 0.0 as contrast, round(list_var_pop(lap) + 3e-8, 6) + 0.0 as blur_variance from l"""
+  + p[k // 8 * 8 + case when k % 8 = 0 then 1 else k % 8 - 1 end + 1] + p[k // 8 * 8 + case when k % 8 = 7 then 6 else k % 8 + 1 end + 1] - 4 * p[k + 1]) as lap from i"""
+PICTURES = [("i", _PIXELS), ("l8", _LAPLACE), ("pics", "select image_id % 100 as n, min(list_avg(p)) as brightness, min(list_var_pop(lap)) as blur_variance from l8 group by 1")]
+SEEN = ("seen", "select speed.*, brightness, blur_variance from speed left join pics on n = frame_idx % 100")
+LIGHT = [zscore("seen", "za", "brightness", "brightness_z"), zscore("za", "zb", "blur_variance", "blur_z")]
+SCORES = [*LABELS, SHAPE, SPEED, *PICTURES, SEEN, *LIGHT, zscore("zb", "z1", "box_area_norm", "area_z"), zscore("z1", "z2", "aspect_ratio", "aspect_z"), zscore("z2", "z3", "position_speed", "speed_z")]
+_REASONS = [("small_box", "area_z", 1), ("large_box", "area_z", -1), ("extreme_aspect", "abs(aspect_z)", -1), ("boundary_box", "boundary_margin", 1), ("position_jump", "speed_z", -1), ("dark_frame", "brightness_z", 1), ("bright_frame", "brightness_z", -1), ("blurred_frame", "blur_z", 1)]
+
+IMAGE = f"""{ctes(*PICTURES[:2])}
+select image_id, round(list_avg(p) + 3e-8, 6) + 0.0 as brightness, round(list_stddev_pop(p) + 3e-8, 6) + 0.0 as contrast, round(list_var_pop(lap) + 3e-8, 6) + 0.0 as blur_variance from l8"""
+
+
+SPEARMAN = f"{ctes(RATINGS, FEATURES, LONG)}, k as (select *, rank() over (partition by feature, score order by x) + (count(*) over (partition by feature, score, x) - 1) / 2 as rx, rank() over (partition by feature, score order by y) + (count(*) over (partition by feature, score, y) - 1) / 2 as ry from long)"
+
+
+def beta(a: str, b: str, x: str) -> str:
+    """The regularized incomplete beta function by its continued fraction, for x up to (a + 1) / (a + b + 2)."""
+    even, odd = f"m * ({b} - m) * ({x}) / (({a} + 2 * m - 1) * ({a} + 2 * m))", f"-({a} + m - 1) * ({a} + {b} + m - 1) * ({x}) / (({a} + 2 * m - 2) * ({a} + 2 * m - 1))"
+    value = f"list_reduce(list_transform(range(300, 0, -1), lambda k: k::double), lambda v, m: 1 + ({odd}) / (1 + ({even}) / v), 1.0::double)"
+    return f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({x}) + {b} * ln(1 - ({x}))) / ({a} * ({value}))"
+
+
+def student(rho: str, n: str) -> str:
+    """Two-sided p of a correlation."""
+    a, x = f"(({n} - 2) / 2.0::double)", f"(1 - {rho} * {rho})"
+    low, high = beta(a, "0.5::double", x), beta("0.5::double", a, f"({rho} * {rho})")
+    return f"case when {n} <= 2 then 1.0 when abs({rho}) >= 1 then 0.0 when {x} > ({a} + 1) / ({a} + 2.5) then 1 - {high} else {low} end"
+
+
+def ridge() -> str:
+    """Each case's ridge of three standardized features on all other cases, solved by determinants, with its predictions."""
+    c = ["1.0::double", "n_orders", "key_mass", "key_top", "salas_total"]
+    at = [(i, j) for i in range(5) for j in range(i, 5)]
+    m = lambda i, j: f"m{min(i, j)}{max(i, j)}"
+    cov = lambda i, j: f"({m(i, j)} / m00 - m0{i} / m00 * (m0{j} / m00))"
+    sd = ", ".join(f"case when sqrt(greatest({cov(k, k)}, 0)) < 1e-12 then 1.0 else sqrt(greatest({cov(k, k)}, 0)) end as s{k}" for k in (1, 2, 3))
+    z = [[f"{cov(i, j)} / (s{i} * s{j}) * m00" + (" + 1.0" if i == j else "") for j in (1, 2, 3)] for i in (1, 2, 3)]
+    y = [f"{cov(i, 4)} / s{i} * m00" for i in (1, 2, 3)]
+    cells = ", ".join(f"{z[i][j]} as z{i}{j}" for i in range(3) for j in range(3)) + ", " + ", ".join(f"{y[i]} as y{i}" for i in range(3))
+
+    def det(column: int | None) -> str:
+        e = [[f"y{i}" if j == column else f"z{i}{j}" for j in range(3)] for i in range(3)]
+        return " + ".join(f"{e[0][j]} * ({e[1][(j + 1) % 3]} * {e[2][(j + 2) % 3]} - {e[1][(j + 2) % 3]} * {e[2][(j + 1) % 3]})" for j in range(3))
+
+    b = ", ".join(f"({det(k)}) / ({det(None)}) / s{k + 1} as b{k + 1}" for k in range(3))
+    return f"""{ctes(RATINGS, FEATURES)}, d as (select f.*, y.salas_total from features f join (select case_id, segment_id, avg(salas_total) as salas_total from ratings group by all) y using (case_id, segment_id) where y.salas_total is not null),
+own as (select case_id, {", ".join(f"sum({c[i]} * {c[j]}) as o{i}{j}" for i, j in at)} from d group by case_id),
+rest as (select case_id, {", ".join(f"sum(o{i}{j}) over () - o{i}{j} as m{i}{j}" for i, j in at)} from own),
+s as (select *, {sd} from rest), z as (select *, {cells} from s), b as (select *, {b} from z),
+p as (select d.*, m04 / m00 + b1 * (n_orders - m01 / m00) + b2 * (key_mass - m02 / m00) + b3 * (key_top - m03 / m00) as predicted from d join b using (case_id))"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -323,12 +373,15 @@ def oracle_sql() -> dict[str, str]:
         "framewise_baseline": f"{ctes(*CAND, TOP)} select segment_id, frame_idx, {rd('score')}, k1, k2, k3 from top",
         "temporal_evaluation": f"{PATH}, top as (select *, {iou()} as iou from c where candidate_rank = 1), both_ as (select 0 as param_id, score, iou from top union all select 1, score, iou from chosen) {summary('both_', 'param_id')}",
         "neighbor_support": SUPPORT,
-        "candidate_features": f"{ctes(CANDIDATES)}, d as (select segment_id, frame_idx, k1, k2, k3, min(candidate_rank) as candidate_rank, min(greatest(1e-6::double, least(1 - 1e-6::double, score))) as fs, min(x1) as x1, min(y1) as y1, min(x2) as x2, min(y2) as y2 from c where candidate_rank <= 3 group by all) select segment_id, frame_idx, k1, k2, k3, {rd('ln(fs / (1 - fs))', 'score_logit')}, {rd('1 / candidate_rank::double', 'rank_reciprocal')}, {rd('(x1 + x2) / 3840', 'center_x')}, {rd('(y1 + y2) / 2160', 'center_y')}, {rd('(x2 - x1) / 1920', 'box_width')}, {rd('(y2 - y1) / 1080', 'box_height')}, {rd('ln((x2 - x1) / 1920 * ((y2 - y1) / 1080) + 1e-8::double)', 'log_area')}, {rd('ln((x2 - x1) / 1920 / ((y2 - y1) / 1080))', 'log_aspect')} from d",
+        "candidate_features": f"{ctes(CANDIDATES)}, d as (select segment_id, frame_idx, k1, k2, k3, min(candidate_rank) as candidate_rank, min(greatest(1e-6::double, least(1 - 1e-6::double, score))) as fs, min(x1) as x1, min(y1) as y1, min(x2) as x2, min(y2) as y2 from c group by all) select segment_id, frame_idx, k1, k2, k3, {rd('ln(fs / (1 - fs))', 'score_logit')}, {rd('1 / candidate_rank::double', 'rank_reciprocal')}, {rd('(x1 + x2) / 3840', 'center_x')}, {rd('(y1 + y2) / 2160', 'center_y')}, {rd('(x2 - x1) / 1920', 'box_width')}, {rd('(y2 - y1) / 1080', 'box_height')}, {rd('ln((x2 - x1) / 1920 * ((y2 - y1) / 1080) + 1e-8::double)', 'log_area')}, {rd('ln((x2 - x1) / 1920 / ((y2 - y1) / 1080))', 'log_aspect')} from d",
         "kfold_frames": f"{ctes(CANDIDATES)} select segment_id, frame_idx, cast(ntile(5) over (partition by segment_id order by frame_idx) - 1 as integer) as fold from (select distinct segment_id, frame_idx from c) a",
         "oracle_selection": f"{ctes(*CAND)} select segment_id, frame_idx, k1, k2, k3, {rd('iou')} from s qualify row_number() over (partition by segment_id, frame_idx order by round(iou, 9) desc, k1, k2, k3) = 1",
         "mean_ratings": f"{ctes(RATINGS)} select case_id, segment_id, {rd('avg(salas_total)', 'salas_total')}, {rd('avg(osa_cns_total)', 'osa_cns_total')} from ratings group by case_id, segment_id",
         "icc_2_1": f"{ctes(RATINGS)} {icc('salas_total')} union all {icc('osa_cns_total')}",
-        "spearman": f"{ctes(RATINGS, FEATURES, LONG)}, k as (select *, rank() over (partition by feature, score order by x) + (count(*) over (partition by feature, score, x) - 1) / 2 as rx, rank() over (partition by feature, score order by y) + (count(*) over (partition by feature, score, y) - 1) / 2 as ry from long) select feature, score, count(*) as n, count(distinct case_id) as independent_cases, {rd(pearson('rx', 'ry'), 'spearman_rho')} from k group by feature, score",
+        "spearman": f"{SPEARMAN} select feature, score, count(*) as n, count(distinct case_id) as independent_cases, {rd(pearson('rx', 'ry'), 'spearman_rho')} from k group by feature, score",
+        "spearman_p": f"{SPEARMAN} select feature, score, {rd(student('rho', 'n'), 'p_value')} from (select feature, score, count(*) as n, {pearson('rx', 'ry')} as rho from k group by feature, score) q",
+        "loco_ridge": f"{ridge()} select case_id, segment_id, {rd('salas_total')}, {rd('predicted')} from p",
+        "loco_ridge_scores": f"{ridge()} select {rd('avg(abs(salas_total - predicted))', 'mae')}, {rd('1 - sum(pow(salas_total - predicted, 2)) / (count(*) * var_pop(salas_total))', 'r2')} from p",
         "bootstrap_ci": bootstrap(),
         "parse_labels": f"{ctes(LINES, PARSED)} select segment_id, frame_idx, coalesce(class_id, -1) as class_id, coalesce(object_id, -1) as object_id, cx, cy, width, height, error from parsed",
         "parse_identity": "with n as (select concat('VID', lpad(cast(s_suppkey as varchar), 3, '0'), case s_suppkey % 3 when 0 then '' when 1 then '_B_5fps' else '_5fps' end, '.mp4') as name from supplier union all values ('clip.mp4'), ('CH2001.mp4')), m as (select name, regexp_replace(name, '\\.mp4$', '') as stem from n), e as (select name, stem, regexp_extract(stem, '^(VID\\d+)(?:_([A-Za-z0-9]+))?(?:_\\d+fps)?$', 1) as c, regexp_extract(stem, '^(VID\\d+)(?:_([A-Za-z0-9]+))?(?:_\\d+fps)?$', 2) as p from m) select name, case when name = 'CH2001.mp4' then 'CH2001' when c = '' then stem else c end as case_id, case when name = 'CH2001.mp4' then 'CH2001_CH001' when c = '' then stem when p = '' then c else c || '_' || p end as segment_id from e",
