@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -60,6 +60,19 @@ def small(df: DataFrame, more: int = 0) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def pair_id(h: str, g: str) -> Column:
+    """Two longs as one binary of 16 bytes."""
+    return F.unhex(F.concat(F.lpad(F.hex(h), 16, "0"), F.lpad(F.hex(g), 16, "0")))
+
+
+def first_half(c: str) -> Column:
+    return F.conv(F.hex(F.substring(c, 1, 8)), 16, -10).cast("long")
+
+
+def second_half(c: str) -> Column:
+    return F.conv(F.hex(F.substring(c, 9, 8)), 16, -10).cast("long")
+
+
 def append_columns(
     df: DataFrame,
     fields: list[T.StructField],
@@ -128,6 +141,73 @@ class Forest:
         return True
 
 
+# --- keys of an index travel as blobs of sorted numbers, one for each range of keys: 5 bytes a key, 8 bytes an id
+
+SENT_KEYS = "range int, several boolean, keys binary, ids binary"
+
+
+def sent_keys(keys: np.ndarray, ids: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Keys of a task's distinct items by range. What shares a key here already is sent as ``several``, and one of it also as a single."""
+    order = np.argsort(keys)
+    keys, ids = keys[order], ids[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    size = np.diff(np.append(np.flatnonzero(new), len(keys)))
+    rows = []
+    for several, which in ((False, new), (True, np.repeat(size > 1, size))):
+        k, i = keys[which], ids[which]
+        of = (k >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+        cuts = np.searchsorted(of, np.arange(ranges + 1, dtype=np.uint64)).tolist()
+        low = np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+        rows += [(r, several, low[a:b].tobytes(), i[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate(kinds)], names=["range", "several", "keys", "ids"])
+
+
+def _unpacked(r: int, keys: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+    out = np.zeros((len(keys) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(keys, dtype=np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view("<i8") | (r << 40), np.frombuffer(ids, dtype=np.int64)
+
+
+def _met(batches):
+    """Blobs sorted by range to rows (key, id) of keys that two ids or more have. Only singles, one a key and task's flush, are held."""
+
+    def rows(keys, ids):
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "id"])
+
+    def shared(held):
+        keys, ids = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = keys[1:] != keys[:-1]
+        starts = np.flatnonzero(new)
+        differ = np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts)  # one id may come from several tasks
+        which = np.repeat(differ, np.diff(np.append(starts, len(keys))))
+        return rows(keys[which], ids[which])
+
+    at, held = None, []
+    for batch in batches:
+        for r, several, keys, ids in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            if r != at and held:
+                yield shared(held)
+                held = []
+            at = r
+            if several:
+                yield rows(*_unpacked(r, keys, ids))
+            else:
+                held.append(_unpacked(r, keys, ids))
+    if held:
+        yield shared(held)
+    trim()
+
+
+def shared_keys(sent: DataFrame, ranges: int) -> DataFrame:
+    """Rows of ``sent_keys`` to distinct rows (key long, id long): the keys that two ids or more have, with these ids."""
+    return sent.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_met, "key long, id long").distinct()
+
+
 def linked(met: DataFrame, block: int, dress: Callable[[DataFrame], DataFrame], linker: Callable[[], Callable], kind: str) -> DataFrame:
     """Edges (a, b) between ids that meet under a key and are similar: all of each component that the groups' links make.
 
@@ -141,7 +221,7 @@ def linked(met: DataFrame, block: int, dress: Callable[[DataFrame], DataFrame],
     or is joined. No task holds more than about two blocks.
     """
     sums = [F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(7, id))").alias("y")]
-    keys = met.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), *sums)
+    keys = met.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), *sums).where("n > 1")
     once = keys.groupBy("n", "lo", "hi", "x", "y").agg(F.min("key").alias("key")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     once = materialize(once.select("key", "lo", "n", "blocks"), "keys")
     rows = met.join(once, "key").withColumn("i", F.expr("cast(pmod(xxhash64(3, id), blocks) as int)"))

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from steadyframe.llm.common import Forest, connected_components, linked, materialize, small, trim
+from steadyframe.llm.common import SENT_KEYS, Forest, connected_components, first_half, linked, materialize, pair_id, second_half, sent_keys, shared_keys, small, trim
 
 SEED = 42  # of XXH64, as Spark's xxhash64 has it
 PAD = np.zeros(8, dtype=np.uint8)
@@ -76,69 +76,10 @@ def _lines(docs: DataFrame, text_col: str, *more: str) -> DataFrame:
     return docs.select(*more, cut).where(F.trim("line") != "").withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(7), "line"))
 
 
-# --- band keys travel as blobs of sorted numbers, one for each range of keys: (range, several, 5 bytes a key, 8 bytes an id)
-
-SENT = "range int, several boolean, keys binary, ids binary"
 ENTRIES = 1_000_000  # band keys in a range, about
 FLUSH = 40_000  # lines signed before their keys are sent
 
 
-def _sent(keys: np.ndarray, ids: np.ndarray, ranges: int) -> pa.RecordBatch:
-    """Keys of this task's distinct lines by range. What shares a key here already is sent as ``several``, and one of it also as a single."""
-    order = np.argsort(keys)
-    keys, ids = keys[order], ids[order]
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = keys[1:] != keys[:-1]
-    size = np.diff(np.append(np.flatnonzero(new), len(keys)))
-    rows = []
-    for several, which in ((False, new), (True, np.repeat(size > 1, size))):
-        k, i = keys[which], ids[which]
-        of = (k >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-        cuts = np.searchsorted(of, np.arange(ranges + 1, dtype=np.uint64)).tolist()
-        low = np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-        rows += [(r, several, low[a:b].tobytes(), i[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate(kinds)], names=["range", "several", "keys", "ids"])
-
-
-def _unpacked(r: int, keys: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
-    out = np.zeros((len(keys) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(keys, dtype=np.uint8).reshape(-1, 5)
-    return out.reshape(-1).view("<i8") | (r << 40), np.frombuffer(ids, dtype=np.int64)
-
-
-def _met(batches):
-    """Blobs sorted by range to rows (key, id) of keys that two ids or more have. Only singles, one a key and task's flush, are held."""
-
-    def rows(keys, ids):
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "id"])
-
-    def shared(held):
-        keys, ids = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(keys)
-        keys, ids = keys[order], ids[order]
-        same = keys[1:] == keys[:-1]
-        which = np.zeros(len(keys), dtype=bool)
-        which[1:] = same
-        which[:-1] |= same
-        return rows(keys[which], ids[which])
-
-    at, held = None, []
-    for batch in batches:
-        for r, several, keys, ids in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            if r != at and held:
-                yield shared(held)
-                held = []
-            at = r
-            if several:
-                yield rows(*_unpacked(r, keys, ids))
-            else:
-                held.append(_unpacked(r, keys, ids))
-    if held:
-        yield shared(held)
-    trim()
-
-
 def band_members(docs: DataFrame, text_col: str, n_lines: int, width: int, bands: int, rows: int) -> DataFrame:
     """Distinct rows (key, id): the band keys that two distinct lines or more have, with the hashes of these lines."""
     ranges = max(1, -(-n_lines * bands // ENTRIES))
@@ -164,21 +105,19 @@ def band_members(docs: DataFrame, text_col: str, n_lines: int, width: int, bands
                         ids += hashes
                         lines, hashes, size = [], [], 0
                         if len(ids) >= FLUSH:
-                            yield _sent(np.concatenate(keys).ravel(), np.repeat(np.array(ids, dtype=np.uint64).view(np.int64), bands), ranges)
+                            yield sent_keys(np.concatenate(keys).ravel(), np.repeat(np.array(ids, dtype=np.uint64).view(np.int64), bands), ranges)
                             keys, ids = [], []
                             seen.clear()
         if lines:
             keys.append(band_keys(lines, width, bands, rows))
             ids += hashes
         if ids:
-            yield _sent(np.concatenate(keys).ravel(), np.repeat(np.array(ids, dtype=np.uint64).view(np.int64), bands), ranges)
+            yield sent_keys(np.concatenate(keys).ravel(), np.repeat(np.array(ids, dtype=np.uint64).view(np.int64), bands), ranges)
         seen.clear()
         trim()
 
-    sent = docs.select(text_col).mapInArrow(sign, SENT)
-    met = sent.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_met, "key long, id long").distinct()
-    # a line that several tasks have met itself alone
-    return materialize(met, "met")
+    sent = docs.select(text_col).mapInArrow(sign, SENT_KEYS)
+    return materialize(shared_keys(sent, ranges), "met")
 
 
 def near_edges(docs: DataFrame, text_col: str, n_lines: int, threshold: float, width: int, bands: int, rows: int, block: int) -> DataFrame:
@@ -186,7 +125,7 @@ def near_edges(docs: DataFrame, text_col: str, n_lines: int, threshold: float, w
     met = band_members(docs, text_col, n_lines, width, bands, rows)
     wanted = materialize(met.select("id").distinct(), "wanted")
     texts = _lines(docs, text_col).join(small(wanted), F.col("h") == F.col("id"), "left_semi").groupBy("h", "g").agg(F.first("line").alias("line"))
-    texts = materialize(texts.select("h", "line", _uid("h", "g").alias("uid")), "texts")
+    texts = materialize(texts.select("h", "line", pair_id("h", "g").alias("uid")), "texts")
 
     def dress(groups):
         return groups.join(texts, F.col("id") == F.col("h")).drop("h")
@@ -194,10 +133,6 @@ def near_edges(docs: DataFrame, text_col: str, n_lines: int, threshold: float, w
     return linked(met, block, dress, lambda: Verified(threshold, width).links, "binary")
 
 
-def _uid(h: str, g: str):
-    return F.unhex(F.concat(F.lpad(F.hex(h), 16, "0"), F.lpad(F.hex(g), 16, "0")))
-
-
 class Verified:
     """Exact similarity of the lines of groups that may overlap: what one group joined, another need not compare again."""
 
@@ -205,6 +140,9 @@ class Verified:
         self.threshold, self.width = threshold, width
         self.forest, self.sets = Forest(), {}
 
+    def prepare(self, line: str) -> np.ndarray:
+        return shingles(line.encode("utf-8", "surrogatepass"), self.width)
+
     def links(self, columns: dict[str, np.ndarray], s: int, e: int) -> tuple[list[int], list[int]]:
         """Row numbers of pairs that join what is similar, each component by a spanning tree; components known from other groups by one line each."""
         ids, lines = columns["uid"][s:e], columns["line"][s:e]
@@ -221,7 +159,7 @@ class Verified:
             sets = []
             for x, line in zip(ids, lines):
                 if (own := self.sets.get(x)) is None:
-                    own = self.sets[x] = shingles(line.encode("utf-8", "surrogatepass"), self.width)
+                    own = self.sets[x] = self.prepare(line)
                 sets.append(own)
             for p, q in (pairwise if len(sets) <= 8 else spread)(sets, list(parts.values()), self.threshold):
                 a.append(p)
@@ -311,8 +249,7 @@ def dedup_lines(
     own = docs.select(F.col(id_col).alias("id"), th.alias("th"), tg.alias("tg"), F.col(text_col).alias("t"))
     at = materialize(_lines(own, "t", "id", "th", "tg").select("id", "th", "tg", "pos", "h", "g"), "lines")
     edges = near_edges(docs, text_col, at.count(), threshold, width, bands, rows, block)
-    half = lambda c, k: F.conv(F.hex(F.substring(c, k, 8)), 16, -10).cast("long")
-    roots = materialize(connected_components(edges).select(half("id", 1).alias("h"), half("id", 9).alias("g"), "root"), "roots")
+    roots = materialize(connected_components(edges).select(first_half("id").alias("h"), second_half("id").alias("g"), "root"), "roots")
     # one row per distinct line first, so that a very common line is never gathered; missing ids sort last
     place = F.struct(F.col("id").isNull().alias("none"), "id", "pos", "th")
     firsts = at.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n"))

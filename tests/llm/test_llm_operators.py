@@ -396,6 +396,66 @@ def test_simhash_documents(spark):
     assert simhash.near_duplicates(frame(spark, [])).collect() == []
 
 
+def brute_copies(rows, threshold=0.8, shingle=5):
+    """Ids that stay: of each component of similar texts the smallest (null last)."""
+
+    def cut(t):
+        ws = re.findall("[^\x20\x09-\x0d]+", (t or "").lower())
+        return {tuple(ws[k : k + shingle]) for k in range(max(1, len(ws) - shingle + 1))}
+
+    sets = [cut(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least.setdefault(find(k), []).append((i is None, i))
+    return sorted((min(x)[1] for x in least.values()), key=repr)
+
+
+@pytest.mark.parametrize("block", [500, 3])
+def test_near_copies_match_brute_force(spark, block, monkeypatch):
+    """Copies changed more and more, with so many tables that the index misses none; its recall as it is has a test of its own."""
+    monkeypatch.setitem(simhash.TABLES, 3, 4000)
+    rng = random.Random(51)
+    rows = []
+    for k in range(30):
+        own = words(rng, rng.randint(20, 150), 5000).split()
+        rows.append((10 * k, " ".join(own)))
+        for j in range(rng.randint(0, 6)):
+            now = list(own)
+            for _ in range(rng.choice((0, 1, len(now) // 100, len(now) // 4))):
+                now[rng.randrange(len(now))] = f"new{rng.randrange(9999)}"
+            rows.append((10 * k + 1 + j, " ".join(now).upper() if j == 2 else " ".join(now)))
+    rows += ODD + [(907, ""), (908, "two words"), (909, "Two  words")]
+    rng.shuffle(rows)
+    twice = [*rows, rows[0], rows[0]]
+    got = simhash.drop_near_copies(frame(spark, twice).withColumn("fp", F.lit(1)).withColumn("h", F.lit("clash")), block=block, most_bits=90).collect()
+    assert sorted((r.doc_id for r in got), key=repr) == brute_copies(rows) and got[0].fp == 1 and got[0].h == "clash"
+
+
+def test_near_copies_recall_by_similarity(spark):
+    """Pairs a little above the threshold, each of words of its own: 96 of 100 meet at 0.8, more above."""
+    rng = random.Random(52)
+    rows = []
+    for k in range(400):
+        own = [f"p{k}w{j}" for j in range(204)]
+        now = own[: 204 - 22] if k % 2 else own[: 204 - 12]  # of 200 shingles 22 or 12 more: 0.89 and 0.94 of the sets are shared
+        now = now + [f"q{k}w{j}" for j in range(0 if k % 2 else 12)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(now))]
+    got = simhash.drop_near_copies(frame(spark, rows)).count()
+    assert 400 <= got <= 404
+    assert simhash.drop_near_copies(frame(spark, [])).collect() == []
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300) if k % 50] + [(7, 7)], "a long, b long").repartition(7)
     got = {r.id: r.root for r in connected_components(edges).collect()}
