@@ -10,21 +10,32 @@ from pyspark.sql import functions as F
 #: A paragraph: a line, or a part of 400 characters of a longer one.
 PARAGRAPH = r"[^\n]{1,400}"
 WIDTH = 8  # cells in each of the three subtables of a fingerprint
+PART = 30  # digests of both sides in a part of a retry, whose sketch has twice the fingerprint's cells
 
 
-#: A word of a text; scripts without blanks go by character, and a very long run goes in parts.
-WORD = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]{1,40}"
+#: Groups of words end at the blanks after a word whose last letter or sign is one of about a quarter of those of common scripts;
+#: a group of more than 160 characters goes in parts of 80. Where a group ends depends on its words alone.
+GROUP_END = r"\s(?<=[dhlptxDHLPTX048.,;:!?)\u00e0-\u00e4\u0431-\u0437]\s)\s*"
+OPENING = 6  # groups of a text that have digests of their own
+CHAIN = 16  # groups in a chain, on average
 
 
 def word_groups(text: Column) -> Column:
-    """Digests of short groups of words: a group ends after each word whose hash divides by four.
+    """Digests of groups of words: the first ``OPENING`` groups one by one, what follows in chains that end after each group whose hash divides by ``CHAIN``.
 
-    Where a group ends depends on its words alone, so that an edit changes only the groups it touches.
+    So an edit changes only the groups and chains that it touches, a short text has fine digests, and a long one has few.
     """
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    marked = F.transform(words, lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(4)) == 0, F.concat(w, F.lit("\n"))).otherwise(w))
-    groups = F.filter(F.split(F.array_join(marked, " "), "\n ?"), lambda g: g != "")
-    return occurrences(F.transform(groups, lambda g: F.xxhash64(g)), text)
+    parts = lambda g: F.regexp_extract_all(g, F.lit("(?s).{1,80}"), F.lit(0))
+    cut = lambda gs: F.flatten(F.transform(gs, lambda g: F.when(F.length(g) > 160, parts(g)).otherwise(F.array(g))))
+    groups = _let(F.split(text, GROUP_END), lambda gs: F.when(F.exists(gs, lambda g: F.length(g) > 160), cut(gs)).otherwise(gs))
+    hashes = F.transform(F.filter(groups, lambda g: g.rlike(r"\S")), lambda g: F.xxhash64(g))
+
+    def chained(own: Column) -> Column:
+        rest = F.transform(F.slice(own, OPENING + 1, F.greatest(F.size(own) - OPENING, F.lit(0))), lambda h: F.concat(F.hex(h), F.when(F.pmod(h, F.lit(CHAIN)) == 0, "\n").otherwise(" ")))
+        chains = F.filter(F.split(F.array_join(rest, ""), "\n"), lambda c: c != "")
+        return F.concat(F.slice(own, 1, OPENING), F.transform(chains, lambda c: F.xxhash64(c)))
+
+    return occurrences(_let(hashes, chained), text)
 
 
 def digests(text: Column) -> Column:
@@ -79,10 +90,11 @@ def sketch(keys: Column, width: int | Column, seed: Column | None = None) -> Col
     width = width if isinstance(width, Column) else F.lit(width)
 
     def cells(own: Column) -> Column:
-        def cell(j: Column) -> Column:
-            return F.aggregate(own, _cell(F.lit(0), F.lit(0), F.lit(0)), lambda a, x: F.when(_hits(x, j), _cell(a["n"] + 1, a["k"].bitwiseXOR(x["k"]), a["c"].bitwiseXOR(x["c"]))).otherwise(a))
+        def subtable(t: int) -> Column:
+            hits = lambda j: F.filter(own, lambda x: x[f"p{t}"] == j)
+            return F.transform(F.sequence(t * width, (t + 1) * width - 1), lambda j: F.aggregate(hits(j), _cell(F.lit(0), F.lit(0), F.lit(0)), lambda a, x: _cell(a["n"] + 1, a["k"].bitwiseXOR(x["k"]), a["c"].bitwiseXOR(x["c"]))))
 
-        return F.transform(F.sequence(F.lit(0), 3 * width - 1), cell)
+        return F.concat(*[subtable(t) for t in range(3)])
 
     return _let(F.transform(keys, lambda d: _key(d, width, seed)), cells)
 
@@ -98,21 +110,16 @@ def peel(cells: Column, width: int | Column, seed: Column | None = None, rounds:
     """
     width = width if isinstance(width, Column) else F.lit(width)
 
-    def found(cells_: Column) -> Column:
-        marked = F.transform(F.filter(cells_, lambda x: (x["n"] == 1) | (x["n"] == -1)), lambda x: F.struct(x["n"].alias("n"), x["c"].alias("c"), _key(x["k"], width, seed).alias("key")))
-        return F.array_distinct(F.transform(F.filter(marked, lambda x: x["c"] == x["key"]["c"]), lambda x: F.struct(x["n"].alias("n"), *[x["key"][f].alias(f) for f in ("k", "c", "p0", "p1", "p2")])))
+    def found(cells_: Column, side: int) -> Column:
+        pure = F.filter(cells_, lambda x: (x["n"] == side) & (F.xxhash64(x["k"], F.lit(17)) == x["c"]))
+        return F.array_distinct(F.transform(pure, lambda x: x["k"]))
 
     def state(cells_: Column, a: Column, b: Column) -> Column:
-        return _let(cells_, lambda c: F.struct(c.alias("cells"), found(c).alias("keys"), a.alias("a"), b.alias("b")))
+        return _let(cells_, lambda c: F.struct(c.alias("cells"), found(c, 1).alias("more"), found(c, -1).alias("less"), a.alias("a"), b.alias("b")))
 
     def step(s: Column, _: Column) -> Column:
-        keys = s["keys"]
-        left = F.transform(
-            s["cells"],
-            lambda x, j: F.aggregate(keys, x, lambda a, k: F.when(_hits(k, j), _cell(a["n"] - k["n"], a["k"].bitwiseXOR(k["k"]), a["c"].bitwiseXOR(k["c"]))).otherwise(a)),
-        )
-        own = lambda side: F.transform(F.filter(keys, lambda k: k["n"] == side), lambda k: k["k"])
-        return F.when(F.size(keys) == 0, s).otherwise(state(left, F.concat(s["a"], own(1)), F.concat(s["b"], own(-1))))
+        left = subtract(s["cells"], subtract(sketch(s["more"], width, seed), sketch(s["less"], width, seed)))
+        return F.when((F.size(s["more"]) == 0) & (F.size(s["less"]) == 0), s).otherwise(state(left, F.concat(s["a"], s["more"]), F.concat(s["b"], s["less"])))
 
     def done(s: Column) -> Column:
         empty = ~F.exists(s["cells"], lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["c"] != 0))
@@ -124,18 +131,18 @@ def peel(cells: Column, width: int | Column, seed: Column | None = None, rounds:
 def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     """(a, b): the digests that only the one and only the other array has, recovered from sketches.
 
-    First the fingerprints are subtracted and peeled; if that fails, larger sketches of both, in as many parts as
-    their sizes ask for, and a part that fails again four times as large, three times dealt anew. A part that no sketch peels (it takes
-    digests that share all three cells four times, less than one part in 10**9) is compared as sets.
+    First the fingerprints are subtracted and peeled; if that fails, sketches twice as large, in as many parts as
+    the sizes ask for, and a part that fails again in ever larger ones, each time dealt anew. A part that no sketch peels (it takes
+    digests that share all three cells four times over, less than one part in 10**9) is compared as sets.
     Parts are cut in two steps, so that time grows with the power 1.5 of the number of digests.
     """
-    side = F.greatest(F.ceil(F.sqrt((F.size(a) + F.size(b)) / 8)), F.lit(1)).cast("int")
+    side = F.greatest(F.ceil(F.sqrt((F.size(a) + F.size(b)) / PART)), F.lit(1)).cast("int")
     numbers = F.sequence(F.lit(0), side - 1)
 
     def own(keys: Column, p: Column, seed: int) -> Column:
         return F.filter(keys, lambda d: F.pmod(F.xxhash64(d, F.lit(seed)), side.cast("long")) == p.cast("long"))
 
-    tries = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(seed).alias("seed")) for w, seed in ((WIDTH, 20), (4 * WIDTH, 21), (4 * WIDTH, 22), (4 * WIDTH, 23))])
+    tries = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(seed).alias("seed")) for w, seed in ((2 * WIDTH, 20), (4 * WIDTH, 21), (8 * WIDTH, 22), (8 * WIDTH, 23))])
 
     def tried(sides: Column) -> Column:
         x, y = sides["x"], sides["y"]
