@@ -82,7 +82,7 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample:
                 sums[lang.as_py()] += c / max(1.0, c.sum())
         for lang, c in sums.items():
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(c[at])], names=["l", "b", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at])], names=["l", "b", "c"])
 
     table: dict[str, np.ndarray] = {}
     for r in take.select("l", "t").mapInArrow(partial, "l string, b int, c double").groupBy("l", "b").agg(F.sum("c").alias("c")).collect():

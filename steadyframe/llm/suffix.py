@@ -356,7 +356,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("windows must be longer than the anchors")
     table = shards(docs, id_col, text_col)
     total = table.agg(F.coalesce(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)")), F.lit(0))).first()[0]
-    ranges = max(1, -(-total // (50 * ENTRIES)))  # some 18 bytes a context: about three parts each
+    ranges = max(1, -(-total // (30 * ENTRIES)))  # some 18 bytes of text a context: about two parts each
 
     def send_contexts(batches):
         for row, _, _, c in _each(batches, window):
