@@ -220,7 +220,7 @@ def drop_near_copies(
     threshold: float = 0.8,
     most_bits: int = 62,
     key_bytes: int | None = None,
-    block: int = 500,
+    block: int = 100,
 ) -> DataFrame:
     """``docs`` with one row of each component of near copies: the one with the smallest id (null last), then text hash.
 
@@ -248,8 +248,8 @@ def drop_near_copies(
 
     def file(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 3000):
-                part = batch.slice(at, 3000)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
                 fps = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(-1, WIDE)
                 ids = np.repeat(part.column(0).to_numpy(), len(positions))
                 yield sent_keys(index_keys(fps, positions).ravel(), ids, ranges)
@@ -263,7 +263,7 @@ def drop_near_copies(
     wanted = families.select(first_half("id").alias("h"), second_half("id").alias("g"))
     whole = slim.join(small(wanted), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("__t").alias("line"))
     whole = materialize(whole.select(F.col("h").alias("id"), pair_id("h", "g").alias("uid"), "line"), "whole")
-    links_ = linked(materialize(members, "members"), block, lambda groups: groups.join(whole, "id"), lambda: _Copies(threshold, shingle).links, "binary")
+    links_ = linked(materialize(members, "members"), block, lambda groups: groups.join(whole, "id"), lambda: _Copies(threshold, shingle).links, "binary", batch=100)
     roots = materialize(connected_components(links_).select(first_half("id").alias("h"), second_half("id").alias("g"), "root"), "roots")
 
     wordless = F.col("fp") == F.lit(NO_WORD)
