@@ -191,14 +191,14 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
-    block_words: int = 2_000_000,
+    block_words: int = 100_000,
 ) -> DataFrame:
     """Add n_words, n_hit, item_ids, spans (characters), clean_text, coverage and contaminated to ``docs``.
 
     A document word is hit inside any occurrence of ``window`` consecutive words of an item, or of a whole
     shorter item. ``clean_text`` lacks the hit spans. The items are taken in blocks of about ``block_words`` words (one
-    item may be longer); a block's automaton is broadcast, and documents stream past one after the other, so
-    neither side is shuffled. Null or empty texts have no words and no hits; null item ids or texts are no items;
+    item may be longer), which bounds the automaton that is broadcast (about 1 KB a word, so 100 MB in each Python worker); documents stream past one after the other, so
+    neither side is shuffled, and an empty table of documents gives an empty one. Very long texts are scanned whole; repeated rows are each marked. Null or empty texts have no words and no hits; null item ids or texts are no items;
     equal ids count once; input columns named like an added one are replaced.
     """
     out, block = docs.drop(*[f.name for f in FIELDS]), None

@@ -70,10 +70,10 @@ def filter_urls(
     Site rules decide first (longest host and path wins). Other URLs are held against the pattern rules:
     each rule is filed under the literal token that is rarest among all URLs' tokens, a URL's tokens
     fetch candidates, and only those run. Rules without a literal token run on every URL. A null or
-    empty URL has empty host and path, no rule, and is allowed. Both rule lists are parameters held on the
+    empty URL has empty host and path, no rule, and is allowed. Repeated rows each get their verdict, ties of equally long rules can't
+    differ in it, very long URLs are looked at whole, and an empty table gives an empty one. Both rule lists are parameters held on the
     driver, so the index that is broadcast is as large as the list that was passed in.
     """
-    spark = pages.sparkSession
     u = F.col(url_col)
     base = pages.drop("host", "path", "rule", "verdict").withColumn("host", F.coalesce(url_host(u), F.lit(""))).withColumn("path", F.coalesce(url_path(u), F.lit("")))
     best = F.lit(None).cast("string")
@@ -82,8 +82,11 @@ def filter_urls(
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         best, decided = F.when(fits, host + path).otherwise(best), F.when(fits, verdict).otherwise(decided)
     base = base.withColumn("rule", best)
-    hit = pattern_matches(base.where("rule is null").select(u.alias("__url")).distinct(), pattern_rules)
-    joined = base.withColumn("__url", u).join(hit, "__url", "left")
+    base = base.withColumn("__url", u)
+    # what is decided, and null URLs, need no join: as null keys they would all go to one task
+    open_ = F.col("rule").isNull() & F.col("__url").isNotNull()
+    hit = pattern_matches(base.where(open_).select("__url").distinct(), pattern_rules)
+    joined = base.where(open_).join(hit, "__url", "left").unionByName(base.where(~open_).withColumn("__hit", F.lit(False)))
     blocked = F.coalesce(F.col("__hit"), F.lit(False)) & F.col("rule").isNull()
     return joined.withColumn("verdict", F.coalesce(decided, F.when(blocked, "block").otherwise("allow"))).drop("__url", "__hit")
 

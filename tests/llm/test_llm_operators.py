@@ -63,6 +63,11 @@ def test_decontamination_matches_brute_force(spark, block):
 def test_decontamination_without_items(spark):
     got = decontam.decontaminate(frame(spark, ODD), spark.createDataFrame([], "item_id long, text string")).collect()
     assert [r.n_hit for r in got] == [0] * len(ODD)
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    assert decontam.decontaminate(frame(spark, []), items).collect() == []
+    long_ = "word " * 50_000 + "one two three"
+    got = decontam.decontaminate(frame(spark, [(1, long_), (1, long_)]), items).collect()
+    assert [(r.n_words, r.n_hit) for r in got] == [(50_003, 3)] * 2
 
 
 # --- op2
@@ -532,7 +537,9 @@ def test_url_rules(spark):
         "https://notspam-farm.com/": ("notspam-farm.com", "/", None, "allow"), "nothing": ("", "", None, "allow"), "": ("", "", None, "allow"), "https://h?x/y": ("h", "", None, "allow"), "a://b://c/d": ("b:", "//c/d", None, "allow"),
         "https://h.com/wp-login.php?x": ("h.com", "/wp-login.php", None, "block"), "https://h.com/wp-login.phpx": ("h.com", "/wp-login.phpx", None, "allow"),
     }
-    df = spark.createDataFrame([(k, u) for k, u in enumerate([*urls, None])], "page_id long, url string").withColumn("host", F.lit("clash"))
+    df = spark.createDataFrame([(k, u) for k, u in enumerate([*urls, None, None, "https://a.spam-farm.com/", "https://h.com/" + "x" * 100_000])], "page_id long, url string").withColumn("host", F.lit("clash"))
+    assert urlfilter.filter_urls(df).count() == len(urls) + 4 and urlfilter.filter_urls(df.where("false")).collect() == []
+    urls["https://h.com/" + "x" * 100_000] = ("h.com", "/" + "x" * 100_000, None, "allow")
     got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.filter_urls(df).collect()}
     assert got == {**urls, None: ("", "", None, "allow")}
 
