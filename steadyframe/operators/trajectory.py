@@ -88,10 +88,10 @@ def add_step(frames: DataFrame, s: Settings) -> DataFrame:
 def interpolate(frames: DataFrame, *columns: str) -> DataFrame:
     """Fill inner gaps linearly in the row number, at most ``max_gap`` rows of each; adds ``<c>_i``."""
     before = in_order().rowsBetween(Window.unboundedPreceding, 0)
-    after = in_order().rowsBetween(0, Window.unboundedFollowing)
+    after = segment().orderBy(F.desc("frame_idx")).rowsBetween(Window.unboundedPreceding, 0)  # backwards, as frames that only grow cost linear time
     for c in columns:
         known = F.when(F.col(c).isNotNull(), F.struct(F.col("rn").alias("i"), F.col(c).alias("v")))
-        frames = frames.withColumn("p", F.last(known, ignorenulls=True).over(before)).withColumn("n", F.first(known, ignorenulls=True).over(after))
+        frames = frames.withColumn("p", F.last(known, ignorenulls=True).over(before)).withColumn("n", F.last(known, ignorenulls=True).over(after))
         inside = F.col("p").isNotNull() & F.col("n").isNotNull() & (F.col("rn") - F.col("p.i") <= F.col("max_gap"))
         line = F.col("p.v") + (F.col("n.v") - F.col("p.v")) * (F.col("rn") - F.col("p.i")) / (F.col("n.i") - F.col("p.i"))
         frames = frames.withColumn(f"{c}_i", F.when(F.col(c).isNotNull(), F.col(c)).when(inside, line)).drop("p", "n")
