@@ -117,7 +117,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: its id, ``fp`` and ``component_id``, the smallest id that links reach.
 
     Documents link at ``most`` or fewer differing bits. Empty and null texts share fingerprint zero and link like
-    others; null ids never become a component's name unless it has no other.
+    others; null ids never become a component's name unless it has no other. Very long texts are fingerprinted whole; repeated rows each get their row;
+    an empty table gives an empty one. Only the id and text columns are read, so that other names can't clash.
     """
     rows = materialize(add_fingerprints(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), "__t").drop("__t"), "fingerprints")
     return rows.join(small(components(rows, most)), "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
