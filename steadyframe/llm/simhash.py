@@ -202,9 +202,9 @@ def drawn_positions(size: int, tables: int) -> np.ndarray:
     return np.array(list(found))
 
 
-def index_keys(fps: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    """Keys, fingerprints x tables: a hash of the table's number and its positional bytes."""
-    out = np.repeat(np.arange(1, len(positions) + 1, dtype=np.uint64)[None], len(fps), axis=0)
+def index_keys(fps: np.ndarray, positions: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Keys, fingerprints x tables: a hash of the text's class of sizes, the table's number and its positional bytes."""
+    out = np.arange(1, len(positions) + 1, dtype=np.uint64)[None] | (kinds.astype(np.uint64) << np.uint64(16))[:, None]
     for column in positions.T:
         out = (out << np.uint64(8)) | fps[:, column]
     out *= np.uint64(0x9E3779B97F4A7C15)
@@ -226,7 +226,7 @@ def drop_near_copies(
     """``docs`` with one row of each component of near copies: the one with the smallest id (null last), then text hash.
 
     Texts are near copies if their sets of ``shingle`` words have a Jaccard similarity of ``threshold`` or more. Each distinct text has a SimHash of 256 bits.
-    The index files it under drawn sets of its positional bytes; where fingerprints meet, those within ``most_bits`` (four deviations above what
+    The index files it, among texts of like size, under drawn sets of its positional bytes; where fingerprints meet, those within ``most_bits`` (four deviations above what
     is expected at 0.8) make families, and within a family similarities are computed exactly. A pair at 0.8 meets in 96 of 100 cases, at 0.85 in more than 99,
     at 0.9 in all but three in ten thousand; a component needs one meeting for each of its links. ``key_bytes`` (3; 4 beyond four million texts, 5 beyond
     a thousand million) keeps keys rare however many texts there are, with more sets of positions for the same chance.
@@ -238,10 +238,15 @@ def drop_near_copies(
     slim = docs.select(F.col(id_col).alias("__id"), th.alias("h"), tg.alias("g"), F.col(text_col).alias("__t"))
 
     def make():
-        return lambda batch: {"fp": [wide_fingerprint(shingle_set(t.as_py(), shingle)) for t in batch.column("__t")]}
+        def step(batch):
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column("__t")]
+            return {"fp": [wide_fingerprint(x) for x in sets], "size": [len(x) for x in sets]}
 
-    rows = materialize(append_columns(slim, [T.StructField("fp", T.BinaryType())], make).drop("__t"), "fingerprints")
-    texts = materialize(rows.groupBy("h", "g").agg(F.first("fp").alias("fp")), "texts")
+        return step
+
+    fields = [T.StructField("fp", T.BinaryType()), T.StructField("size", T.LongType())]
+    rows = materialize(append_columns(slim, fields, make).drop("__t"), "fingerprints")
+    texts = materialize(rows.groupBy("h", "g").agg(F.first("fp").alias("fp"), F.first("size").alias("size")), "texts")
     n = texts.count()
     size = key_bytes or (3 if n < 1 << 22 else 4 if n < 1 << 30 else 5)
     positions = drawn_positions(size, TABLES[size])
@@ -252,11 +257,15 @@ def drop_near_copies(
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 fps = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(-1, WIDE)
-                ids = np.repeat(part.column(0).to_numpy(), len(positions))
-                yield sent_keys(index_keys(fps, positions).ravel(), ids, ranges)
+                ids, sizes = part.column(0).to_numpy(), part.column(2).to_numpy()
+                # similar sets differ little in size: only texts of a class of sizes meet, and one near its end is filed in the next as well
+                low, high = (np.floor(np.log(n) / np.log(4) + 1e-9).astype(np.int64) for n in (sizes, sizes / threshold))
+                for which, kinds in ((np.ones(len(ids), dtype=bool), low), (high > low, high)):
+                    if which.any():
+                        yield sent_keys(index_keys(fps[which], positions, kinds[which]).ravel(), np.repeat(ids[which], len(positions)), ranges)
         trim()
 
-    met = materialize(shared_keys(texts.select("h", "fp").mapInArrow(file, SENT_KEYS), ranges), "met")
+    met = materialize(shared_keys(texts.select("h", "fp", "size").mapInArrow(file, SENT_KEYS), ranges), "met")
     named = materialize(texts.select(F.col("h").alias("id"), pair_id("h", "g").alias("uid"), "fp"), "named")
     near = linked(met, 2000, lambda groups: groups.join(named, "id"), lambda: _near_bits(most_bits), "binary")
     families = materialize(connected_components(near), "families")
