@@ -60,6 +60,17 @@ def small(df: DataFrame, more: int = 0) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str, salts: int = 32) -> DataFrame:
+    """Join with a ``right`` of one row a key, however many rows of ``left`` share a key: a small right side is broadcast, a larger one is
+    repeated ``salts`` times and the left rows are dealt over the copies."""
+    hinted = small(right)
+    if hinted is not right:
+        return left.join(hinted, on, how)
+    dealt = left.withColumn("salt_", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    copies = right.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*on, "salt_"], how).drop("salt_")
+
+
 def pair_id(h: str, g: str) -> Column:
     """Two longs as one binary of 16 bytes."""
     return F.unhex(F.concat(F.lpad(F.hex(h), 16, "0"), F.lpad(F.hex(g), 16, "0")))
@@ -77,13 +88,14 @@ def append_columns(
     df: DataFrame,
     fields: list[T.StructField],
     make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]],
+    without: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add Arrow-computed columns. ``make`` runs once a task and gives the function for each batch.
 
-    Input columns named like an added one are replaced.
+    Input columns named like an added one are replaced; those of ``without`` are read only.
     """
     names = [f.name for f in fields]
-    kept = [f for f in df.schema.fields if f.name not in names]
+    kept = [f for f in df.schema.fields if f.name not in names and f.name not in without]
     schema = T.StructType(kept + fields)
     arrow = to_arrow_schema(schema)
 
