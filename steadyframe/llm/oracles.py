@@ -128,5 +128,61 @@ select d.doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in (*_BASE, "ke
 """
 
 
+OP11 = """
+with v as (select row_number() over () as uid, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(256 * cast(x as double)))) = 0),
+s as (select q.uid, q.vec_id as query_id, v.vec_id, cast(coalesce(list_sum(list_transform(list_zip(q.e, v.e, true), lambda z: z[1] * z[2])), 0) as bigint) as score
+  from v q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0),
+r as (select query_id, cast(row_number() over (partition by uid order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+select * from r where rank <= 5
+"""
+
+
+def _crc32(codes: str) -> str:
+    """The CRC-32 of a list of byte values, bit by bit."""
+    step = "list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(c, b))"
+    return f"xor(list_reduce({codes}, lambda c, b: {step}, cast(4294967295 as bigint)), 4294967295)"
+
+
+_H = _crc32("list_transform(range(1, length(cast(conv_id as varchar)) + 1), lambda k: cast(ord(substr(cast(conv_id as varchar), k, 1)) as bigint))") + " % 6"
+
+OP12 = f"""
+with own as (select conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as w
+  from conversations where conv_id is not null group by conv_id),
+h as (select conv_id, w, {_H} as h from own),
+c as (select h.conv_id, list_concat(coalesce(b.w[1:h.h], []), h.w[h.h + 1:]) as w from h left join own b on b.conv_id = h.conv_id - h.conv_id % 100),
+p as (select conv_id, len(w) as n, unnest(range(0, len(w) + 1)) as depth, w from c),
+k as (select conv_id, n, depth, w[1:depth] as g from p),
+n as (select g, depth, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (n = depth), '')) as ends_sha256 from k group by g, depth),
+t as (select n.*, m.conv_id as parent_conv_id, (n_convs - 1) * case when n.depth = 0 then 0 else length(n.g[n.depth].t) end as saved from n
+  left join (select g as mg, depth as md, conv_id from n) m on md = n.depth - 1 and mg = n.g[1:n.depth - 1]),
+f as (select g, depth, (select count(*) from t x where x.depth = t.depth + 1 and x.g[1:t.depth] = t.g) as n_children, conv_id, parent_conv_id, n_convs, saved, ends_sha256 from t)
+select a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, count(*) filter (b.n_children = 0) as n_leaves, cast(sum(b.saved) as bigint) as saved_tokens, a.ends_sha256
+from f a join f b on b.depth >= a.depth and b.g[1:a.depth] = a.g group by all
+"""
+
+_BYTES = "list_transform(range(0, length(hex(encode(w))) // 2), lambda k: cast((strpos('0123456789ABCDEF', substr(hex(encode(w)), 2 * k + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hex(encode(w)), 2 * k + 2, 1)) - 1 as bigint))"
+
+OP13 = f"""
+with d as (select row_number() over () as rid, doc_id, {_WORDS} as ws from documents),
+dw as (select rid, w, count(*) as n from (select rid, unnest(ws) as w from d) x group by rid, w),
+bw as (select w, count(*) as n from (select unnest({_WORDS}) as w from benchmark) x group by w),
+c as (select w, {_crc32(_BYTES)} % 10000 as bucket from (select w from dw union select w from bw) x),
+s as (select bucket, sum(n) as s from dw join c using (w) group by bucket),
+t as (select bucket, sum(n) as t from bw join c using (w) group by bucket),
+g as (select bucket, cast(floor(1000 * ln((cast(coalesce(t, 0) as double) + 1) * (cast(coalesce((select sum(s) from s), 0) as double) + 10000)
+    / ((cast(coalesce(s, 0) as double) + 1) * (cast(coalesce((select sum(t) from t), 0) as double) + 10000)))) as bigint) as gain
+  from (select distinct bucket from c) x left join s using (bucket) left join t using (bucket)),
+k as (select rid, sum(dw.n * gain) as weight from dw join c using (w) join g using (bucket) group by rid),
+h as (select rid, doc_id, cast(len(ws) as bigint) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+  list_reduce(list_transform(range(1, 9), lambda i: cast(strpos('0123456789abcdef', substr(sha256('2024:' || coalesce(cast(doc_id as varchar), '')), i, 1)) - 1 as bigint)), lambda a, b: a * 16 + b) as h
+  from d left join k using (rid)),
+z as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score from h),
+r as (select rid, row_number() over (order by score desc, doc_id nulls last) as rank from z where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= (select count(*) from r) * 10 // 100 then rank end as rank from z left join r using (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1, "op5_personal_data": OP5, "op7_suffix_dedup": OP7, "op10_url_filters": OP10}
+    own = {"op1_benchmark_decontamination": OP1, "op5_personal_data": OP5, "op7_suffix_dedup": OP7, "op10_url_filters": OP10}
+    return own | {"op11_exact_top_k": OP11, "op12_conversation_prefix_trie": OP12, "op13_target_resampling": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadyframe.llm import decontam, iblt, langid, linededup, packing, pii, resample, simhash, suffix, urlfilter
+from steadyframe.llm import decontam, iblt, langid, linededup, nearest, packing, pii, resample, reweight, simhash, suffix, trie, urlfilter
 
 from steadyframe.llm.oracles import oracle_sql  # noqa: F401
 
@@ -72,5 +72,21 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), c - c % 100, F.crc32(c.cast("string")) % 6, most=5)
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = reweight.reweight(docs, table(spark, sf_dir, "benchmark").select("text"), shortest=1, longest=1)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_quality_resampling, op4_best_fit_packing, op5_personal_data, op6_line_dedup, op7_suffix_dedup, op8_simhash_near_dedup, op9_document_fingerprints, op10_url_filters)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_language_id, op3_quality_resampling, op4_best_fit_packing, op5_personal_data, op6_line_dedup, op7_suffix_dedup, op8_simhash_near_dedup, op9_document_fingerprints, op10_url_filters, op11_exact_top_k, op12_conversation_prefix_trie, op13_target_resampling)}
