@@ -220,20 +220,7 @@ def shared_keys(sent: DataFrame, ranges: int) -> DataFrame:
     return sent.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_met, "key long, id long").distinct()
 
 
-@contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
-    """Jobs inside send ``rows`` rows at most to Python at once, for wide rows; None leaves the session's setting."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if rows:
-        spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def linked(met: DataFrame, block: int, dress: Callable[[DataFrame], DataFrame], linker: Callable[[], Callable], kind: str, batch: int | None = None) -> DataFrame:
+def linked(met: DataFrame, block: int, dress: Callable[[DataFrame], DataFrame], linker: Callable[[], Callable], kind: str) -> DataFrame:
     """Edges (a, b) between ids that meet under a key and are similar: all of each component that the groups' links make.
 
     ``met`` has distinct rows (key long, id long) of keys with two ids or more; of keys with the same ids one is looked at. ``dress`` adds
@@ -243,22 +230,21 @@ def linked(met: DataFrame, block: int, dress: Callable[[DataFrame], DataFrame],
     A group of more than ``block`` ids is dealt into blocks, each with the group's smallest id besides. What a block
     joins to that id is one component already; only the ids that are left meet the other blocks, in groups of two
     blocks. So a group of many near copies costs time in proportion to its size, and every pair still meets
-    or is joined. No task holds more than about two blocks. ``batch`` bounds the rows that are sent to Python at once.
+    or is joined. No task holds more than about two blocks, and Spark sends 64 MB
+    at once to Python. A key however common is dealt over tasks when it is looked up.
     """
-    spark = met.sparkSession
     sums = [F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(7, id))").alias("y")]
     keys = met.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), *sums).where("n > 1")
     once = keys.groupBy("n", "lo", "hi", "x", "y").agg(F.min("key").alias("key")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     once = materialize(once.select("key", "lo", "n", "blocks"), "keys")
-    rows = met.join(once, "key").withColumn("i", F.expr("cast(pmod(xxhash64(3, id), blocks) as int)"))
+    rows = spread_join(met, once, ["key"], "inner").withColumn("i", F.expr("cast(pmod(xxhash64(3, id), blocks) as int)"))
     rows = materialize(rows.select("key", "id", "lo", "n", "blocks", "i"), "rows")
     wide = rows.where("blocks > 1")
     # groups of few ids that share the smallest one often overlap: dealt together, a line is prepared once for all
     deal = F.when(F.col("n") <= 64, F.col("lo")).otherwise(F.xxhash64("key", "i"))
     lone = wide.where("id = lo").withColumn("i", F.explode(F.expr("array_remove(sequence(0, blocks - 1), i)")))
     first = rows.unionByName(lone).withColumn("j", F.col("i")).select(deal.alias("deal"), "key", "i", "j", "id", (F.col("blocks") > 1).alias("wide"), (F.col("id") == F.col("lo")).alias("lowest"))
-    with arrow_rows(spark, batch):
-        found = materialize(_link_groups(dress(first), linker, kind), "links")
+    found = materialize(_link_groups(dress(first), linker, kind), "links")
     left = found.where("key is not null").select("key", "id").distinct()
     edges = found.where("key is null").select("a", "b")
     if not left.isEmpty():
@@ -270,8 +256,7 @@ def linked(met: DataFrame, block: int, dress: Callable[[DataFrame], DataFrame],
         mine = pairs.select("key", F.col("i"), F.col("k").alias("j"), "id", F.lit(False).alias("wide"), F.lit(False).alias("lowest"))
         theirs = known.where("loose").withColumn("o", F.explode(F.expr("array_remove(sequence(0, blocks - 1), i)"))).select("key", F.col("o").alias("i"), F.col("i").alias("j"), "id", F.lit(False).alias("wide"), F.lit(False).alias("lowest"))
         second = mine.unionByName(theirs).select(F.xxhash64("key", "i", "j").alias("deal"), "key", "i", "j", "id", "wide", "lowest")
-        with arrow_rows(spark, batch):
-            more = materialize(_link_groups(dress(second), linker, kind), "links")
+        more = materialize(_link_groups(dress(second), linker, kind), "links")
         edges = edges.unionByName(more.where("key is null").select("a", "b"))
     return edges.distinct()
 

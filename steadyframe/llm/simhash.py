@@ -133,42 +133,19 @@ def components(rows: DataFrame, most: int = 4) -> DataFrame:
     return materialize(named.join(names, "root").select("fp", "root", "component_id"), "named")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
-    """``docs`` with one row of each linked component: the one with the smallest id (null last), then text hash.
+# --- near copies by similarity: fingerprints of positional bytes of minima, an index of bands of positions, exact Jaccard similarity
 
-    Rows equal in id and text are one of them. Only ids, hashes and fingerprints are shuffled; what is dropped is
-    joined back by a broadcast if it is few rows, else by a shuffle.
-    """
-    slim = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__th"), F.col(text_col).alias("__t"))
-    rows = materialize(add_fingerprints(slim, "__t").drop("__t"), "fingerprints")
-    named = rows.join(small(components(rows, most)), "fp")
-    place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("__id"), F.col("__th").alias("__th"))
-    keyed = named.groupBy("root", "__id", "__th").agg(F.count("*").alias("n"))
-    best = keyed.groupBy("root").agg(F.min(place).alias("best"))
-    marked = materialize(keyed.join(best, "root").select(F.col("__id").alias("__i"), F.col("__th").alias("__h"), "n", place.eqNullSafe(F.col("best")).alias("stays")), "marked")
-    same = F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(text_col) == F.col("__h"))
-    kept = docs.join(small(marked.where("not stays").select("__i", "__h")), same, "left_anti")
-    twice = marked.where("stays and n > 1").select("__i", "__h")
-    if twice.isEmpty():
-        return kept
-    again = kept.join(small(twice), same, "left_semi").withColumn("__h", F.xxhash64(text_col)).dropDuplicates([id_col, "__h"]).drop("__h")
-    return kept.join(small(twice), same, "left_anti").unionByName(again)
-
-
-
-# --- near copies by similarity: wide fingerprints, an index of drawn byte positions, exact Jaccard similarity
-
-WIDE = 32  # bytes
-#: Bytes that a fingerprint of no word has; any two of them are copies.
-NO_WORD = b"\0" * WIDE
-TABLES = {3: 320, 4: 1200, 5: 4500}  # sets of positions, so that a pair at the threshold meets with about the same chance
+#: Sets of positions of the index, and positions in a set; a pair at similarity s shares a key with probability 1 - (1 - s^8)^40, 0.9993 at 0.8.
+BANDS, ROWS = 40, 8
+#: Positional bytes that are tallied, four of each band; a pair at 0.8 has 128 equal ones on average, and fewer than 100 in one case of ten million.
+TALLIED, LEAST = 4, 100
 
 
 def shingle_set(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
-    """Sorted distinct XXH64 of the text's word shingles (fewer words: the whole sequence); one zero without words."""
+    """Sorted distinct XXH64 of the text's word shingles (fewer words: the whole sequence); none without words."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
     if not words:
-        return np.zeros(1, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64)
     n = max(1, len(words) - shingle + 1)
     joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts, stops = np.concatenate(([0], ends[: n - 1])).tolist(), (ends[-n:] - 1).tolist()
@@ -176,63 +153,53 @@ def shingle_set(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter([digest(joined[a:b], seed) for a, b in zip(starts, stops)], dtype=np.uint64, count=n))
 
 
-def wide_fingerprint(shingles: np.ndarray) -> bytes:
-    """The 256-bit SimHash of a set of shingles."""
-    if len(shingles) == 1 and not shingles[0]:
-        return NO_WORD
-    counts, offsets = np.zeros(256 * WIDE, dtype=np.int64), np.arange(WIDE, dtype=np.int64) * 256
-    for k in range(0, len(shingles), 1 << 14):
-        h = shingles[k : k + (1 << 14)]
-        lanes = [h]
-        for _ in range(WIDE // 8 - 1):
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            lanes.append(h ^ (h >> np.uint64(29)))
-        raw = np.stack(lanes, axis=1).view(np.uint8)
-        counts += np.bincount((raw + offsets).ravel(), minlength=256 * WIDE)
-    bits = counts.reshape(WIDE, 256) @ BITS * 2 > len(shingles)
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
-
-
-def drawn_positions(size: int, tables: int) -> np.ndarray:
-    """``tables`` distinct sets of ``size`` byte positions, drawn once for all."""
-    rng = np.random.default_rng(5)
-    found: dict[tuple, None] = {}
-    while len(found) < tables:
-        found.setdefault(tuple(sorted(rng.choice(WIDE, size, replace=False).tolist())))
-    return np.array(list(found))
-
-
-def index_keys(fps: np.ndarray, positions: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """Keys, fingerprints x tables: a hash of the text's class of sizes, the table's number and its positional bytes."""
-    out = np.arange(1, len(positions) + 1, dtype=np.uint64)[None] | (kinds.astype(np.uint64) << np.uint64(16))[:, None]
-    for column in positions.T:
-        out = (out << np.uint64(8)) | fps[:, column]
-    out *= np.uint64(0x9E3779B97F4A7C15)
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """The least value of each set (none empty) under each of the bands' functions: sets x BANDS x ROWS."""
+    rng = np.random.default_rng(13)
+    odd = (rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+    out = np.empty((len(sets), BANDS * ROWS), dtype=np.uint32)
+    at = 0
+    while at < len(sets):  # as many sets at once as the processor's cache holds
+        end, size = at + 1, len(sets[at])
+        while end < len(sets) and size + len(sets[end]) <= 1 << 15:
+            size += len(sets[end])
+            end += 1
+        h = (np.concatenate(sets[at:end]) >> np.uint64(16)).astype(np.uint32)
+        begin = np.concatenate(([0], np.cumsum([len(x) for x in sets[at : end - 1]]))).astype(np.int64)
+        x = np.empty_like(h)
+        for k, m in enumerate(odd):
+            np.multiply(h, m, out=x)
+            out[at:end, k] = np.minimum.reduceat(x, begin)
+        at = end
+    return out.reshape(len(sets), BANDS, ROWS)
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """Keys, texts x BANDS: a hash of the band's number and its minima."""
+    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), least.shape[:2]).copy()
+    for r in range(ROWS):
+        out ^= least[:, :, r]
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def of_a_size(keys: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    out = (keys ^ kinds.astype(np.uint64)[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(32))
 
 
-def drop_near_copies(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = 5,
-    threshold: float = 0.8,
-    most_bits: int = 62,
-    key_bytes: int | None = None,
-    block: int = 100,
-) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, least: int = LEAST, block: int = 100) -> DataFrame:
     """``docs`` with one row of each component of near copies: the one with the smallest id (null last), then text hash.
 
-    Texts are near copies if their sets of ``shingle`` words have a Jaccard similarity of ``threshold`` or more. Each distinct text has a SimHash of 256 bits.
-    The index files it, among texts of like size, under drawn sets of its positional bytes; where fingerprints meet, those within ``most_bits`` (four deviations above what
-    is expected at 0.8) make families, and within a family similarities are computed exactly. A pair at 0.8 meets in 96 of 100 cases, at 0.85 in more than 99,
-    at 0.9 in all but three in ten thousand; a component needs one meeting for each of its links. ``key_bytes`` (3; 4 beyond four million texts, 5 beyond
-    a thousand million) keeps keys rare however many texts there are, with more sets of positions for the same chance.
+    Texts are near copies if their sets of ``shingle`` words have a Jaccard similarity of ``threshold`` or more. Each distinct text has a fingerprint
+    of positional bytes, each from the least of the set's values under one function, so that the share of equal bytes tells the similarity. The
+    inverted index files a text, among texts of like size, under the eight full minima of each of 40 bands, however many texts there are. Where texts meet, equal bytes are tallied;
+    pairs that reach ``least`` of 160 make families, and within a family similarities are computed exactly. A pair at 0.8 meets in 9,993 of 10,000 cases, at 0.85 in all
+    but three in a million. A passage that many documents share is under a common key only where all eight minima fall into it.
 
     Null, empty and blank texts are copies of each other, and rows equal in id and text are one. Long texts are compared whole. An empty table gives an
-    empty one. Only hashes, fingerprints, and texts of families are shuffled; what is dropped is joined back by a broadcast if it is small, else by a shuffle.
+    empty one; other columns stay as they are, whatever their names. Only hashes, fingerprints, and texts of families are shuffled; what is dropped is joined back by a broadcast if it is small, else by a shuffle.
     """
     th, tg = F.xxhash64(text_col), F.xxhash64(F.lit(7), text_col)
     slim = docs.select(F.col(id_col).alias("__id"), th.alias("h"), tg.alias("g"), F.col(text_col).alias("__t"))
@@ -240,46 +207,49 @@ def drop_near_copies(
     def make():
         def step(batch):
             sets = [shingle_set(t.as_py(), shingle) for t in batch.column("__t")]
-            return {"fp": [wide_fingerprint(x) for x in sets], "size": [len(x) for x in sets]}
+            some = [k for k, x in enumerate(sets) if len(x)]
+            low = minima([sets[k] for k in some]) if some else None
+            keys, marks = [None] * len(sets), [None] * len(sets)
+            for n, k in enumerate(some):
+                keys[k] = band_keys(low[n : n + 1]).tobytes()
+                marks[k] = low[n, :, :TALLIED].astype(np.uint8).tobytes()
+            return {"keys": keys, "fp": marks, "size": [len(x) for x in sets]}
 
         return step
 
-    fields = [T.StructField("fp", T.BinaryType()), T.StructField("size", T.LongType())]
-    rows = materialize(append_columns(slim, fields, make).drop("__t"), "fingerprints")
-    texts = materialize(rows.groupBy("h", "g").agg(F.first("fp").alias("fp"), F.first("size").alias("size")), "texts")
-    n = texts.count()
-    size = key_bytes or (3 if n < 1 << 22 else 4 if n < 1 << 30 else 5)
-    positions = drawn_positions(size, TABLES[size])
-    ranges = max(1, -(-n * len(positions) // 1_000_000))
+    fields = [T.StructField("keys", T.BinaryType()), T.StructField("fp", T.BinaryType()), T.StructField("size", T.LongType())]
+    rows = materialize(append_columns(slim, fields, make, without=("__t",)), "fingerprints")
+    texts = rows.where("size > 0").groupBy("h", "g").agg(F.first(F.struct("keys", "fp", "size")).alias("x"))
+    texts = materialize(texts.select("h", "g", "x.*"), "texts")
+    ranges = max(1, -(-texts.count() * BANDS // 1_000_000))
 
     def file(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                fps = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(-1, WIDE)
+            for at in range(0, batch.num_rows, 20_000):
+                part = batch.slice(at, 20_000)
+                keys = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint64).reshape(-1, BANDS)
                 ids, sizes = part.column(0).to_numpy(), part.column(2).to_numpy()
                 # similar sets differ little in size: only texts of a class of sizes meet, and one near its end is filed in the next as well
                 low, high = (np.floor(np.log(n) / np.log(4) + 1e-9).astype(np.int64) for n in (sizes, sizes / threshold))
                 for which, kinds in ((np.ones(len(ids), dtype=bool), low), (high > low, high)):
                     if which.any():
-                        yield sent_keys(index_keys(fps[which], positions, kinds[which]).ravel(), np.repeat(ids[which], len(positions)), ranges)
+                        yield sent_keys(of_a_size(keys[which], kinds[which]).ravel(), np.repeat(ids[which], BANDS), ranges)
         trim()
 
-    met = materialize(shared_keys(texts.select("h", "fp", "size").mapInArrow(file, SENT_KEYS), ranges), "met")
+    met = materialize(shared_keys(texts.select("h", "keys", "size").mapInArrow(file, SENT_KEYS), ranges), "met")
     named = materialize(texts.select(F.col("h").alias("id"), pair_id("h", "g").alias("uid"), "fp"), "named")
-    near = linked(met, 2000, lambda groups: groups.join(named, "id"), lambda: _near_bits(most_bits), "binary")
+    near = linked(met, 2000, lambda groups: groups.join(named, "id"), lambda: _near_bytes(least), "binary")
     families = materialize(connected_components(near), "families")
     members = families.select(F.xxhash64("root").alias("key"), first_half("id").alias("id")).distinct()
     wanted = families.select(first_half("id").alias("h"), second_half("id").alias("g"))
     whole = slim.join(small(wanted), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("__t").alias("line"))
     whole = materialize(whole.select(F.col("h").alias("id"), pair_id("h", "g").alias("uid"), "line"), "whole")
-    links_ = linked(materialize(members, "members"), block, lambda groups: groups.join(whole, "id"), lambda: _Copies(threshold, shingle).links, "binary", batch=100)
+    links_ = linked(materialize(members, "members"), block, lambda groups: groups.join(whole, "id"), lambda: _Copies(threshold, shingle).links, "binary")
     roots = materialize(connected_components(links_).select(first_half("id").alias("h"), second_half("id").alias("g"), "root"), "roots")
 
-    wordless = F.col("fp") == F.lit(NO_WORD)
-    group = F.when(wordless, F.lit(b"")).otherwise(F.coalesce("root", pair_id("h", "g")))
+    group = F.when(F.col("size") == 0, F.lit(b"")).otherwise(F.coalesce("root", pair_id("h", "g")))
     place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("__id"), F.col("h").alias("h"), F.col("g").alias("g"))
-    keyed = rows.join(small(roots), ["h", "g"], "left").select(group.alias("group"), "__id", "h", "g").groupBy("group", "__id", "h", "g").agg(F.count("*").alias("n"))
+    keyed = rows.select("__id", "h", "g", "size").join(small(roots), ["h", "g"], "left").select(group.alias("group"), "__id", "h", "g").groupBy("group", "__id", "h", "g").agg(F.count("*").alias("n"))
     best = keyed.groupBy("group").agg(F.min(place).alias("best"))
     marked = materialize(keyed.join(best, "group").select(F.col("__id").alias("__i"), F.col("h").alias("__h"), F.col("g").alias("__g"), "n", place.eqNullSafe(F.col("best")).alias("stays")), "marked")
     same = F.col(id_col).eqNullSafe(F.col("__i")) & (th == F.col("__h")) & (tg == F.col("__g"))
@@ -291,17 +261,17 @@ def drop_near_copies(
     return kept.join(small(twice), same, "left_anti").unionByName(again)
 
 
-def _near_bits(most: int):
-    """A linker of fingerprints (column ``fp``) at ``most`` or fewer differing bits."""
+def _near_bytes(least: int):
+    """A linker of fingerprints (column ``fp``) with ``least`` or more equal bytes."""
 
     def link(columns, s, e):
-        fps = np.frombuffer(b"".join(columns["fp"][s:e]), dtype=np.uint64).reshape(e - s, -1)
+        fps = np.frombuffer(b"".join(columns["fp"][s:e]), dtype=np.uint8).reshape(e - s, -1)
         left, a, b = np.arange(e - s), [], []
         while len(left):
             front, left = left[:1].tolist(), left[1:]
             while front and len(left):
                 here = front.pop()
-                near = np.bitwise_count(fps[left] ^ fps[here]).sum(1) <= most
+                near = (fps[left] == fps[here]).sum(1) >= least
                 found, left = left[near].tolist(), left[~near]
                 a += [here] * len(found)
                 b += found
