@@ -187,28 +187,59 @@ AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**
 MOST = (1, 10, 100)
 
 
-def mean_average_precision(candidates: DataFrame, image: list[str], ties: list[str]) -> DataFrame:
-    """The twelve COCO statistics with one ground-truth box an image, one row: map, map_50, map_75, mar_1, mar_10, mar_100, and map_ and mar_ of
-    small, medium and large.
+def matched_truths(ranked: DataFrame, truths: DataFrame, image: list[str], overlaps: list[float]) -> DataFrame:
+    """Greedy matching of detections and ground truth: rows (image, area, t, score, rank, size, counted) of the detections that match.
 
-    At each of ten overlaps an image's best-scored box that reaches it is the match. In an area range, ground truth outside it and the
-    match of such do not count, nor do unmatched boxes outside it. Precision over all
+    ``ranked`` has score, rank and a box, ``truths`` truth_id, a box and crowd (true: any number of detections may match it, and its overlap is the share of the detection). By
+    rank, a detection takes the free truth of most overlap, ``t`` at least; of equal ones the last by truth_id; one that does not count in the area (a crowd, or of another
+    size) only if no other is left, and then the detection is not ``counted`` either. A fold over an image's arrays, which hold only what overlaps by half or more, for each area and ``t``.
+    """
+    own = truths.select(*image, "truth_id", F.coalesce("crowd", F.lit(False)).alias("crowd"), area(box()).alias("size"), F.struct(*[F.col(c).alias(c) for c in ("x1", "y1", "x2", "y2")]).alias("__gt"))
+    known = own.groupBy(*image).agg(F.array_sort(F.collect_list(F.struct("truth_id", "crowd", "size"))).alias("truths"))
+    pairs = ranked.select(*image, "score", "rank", *box(), area(box()).alias("own")).join(own, image)
+    gt = [F.col("__gt")[c] for c in ("x1", "y1", "x2", "y2")]
+    both = F.greatest(F.lit(0.0), F.least(F.col("x2"), gt[2]) - F.greatest(F.col("x1"), gt[0])) * F.greatest(F.lit(0.0), F.least(F.col("y2"), gt[3]) - F.greatest(F.col("y1"), gt[1]))
+    pairs = pairs.withColumn("iou", F.when(F.col("crowd"), both / F.greatest("own", F.lit(1e-12))).otherwise(iou(box(), gt))).where(F.col("iou") >= overlaps[0])
+    near = pairs.groupBy(*image, "rank", "score", "own").agg(F.collect_list(F.struct("truth_id", "iou")).alias("near"))
+    dets = near.groupBy(*image).agg(F.array_sort(F.collect_list(F.struct("rank", "score", "own", "near"))).alias("dets")).join(known, image)
+    ranges = F.array(*[F.struct(F.lit(n).alias("area"), F.lit(low).alias("low"), F.lit(high).alias("high")) for n, (low, high) in AREAS.items()])
+    dets = dets.withColumn("r", F.explode(ranges)).withColumn("t", F.explode(F.lit(overlaps)))
+    dets = dets.withColumn("real", F.expr("transform(filter(truths, x -> not x.crowd and x.size between r.low and r.high), x -> x.truth_id)"))
+    dets = dets.withColumn("crowds", F.expr("transform(filter(truths, x -> x.crowd), x -> x.truth_id)"))
+    kind = dict(dets.dtypes)["real"]
+    fold = f"""aggregate(dets, named_struct('taken', cast(array() as {kind}), 'found', cast(array() as array<struct<rank:int,score:double,size:double,counted:boolean>>)),
+      (acc, d) -> aggregate(filter(array(array_max(transform(filter(d.near, p -> p.iou >= t and not array_contains(acc.taken, p.truth_id)), p -> named_struct('real', array_contains(real, p.truth_id), 'iou', p.iou, 'id', p.truth_id)))), b -> b is not null), acc,
+        (s, b) -> named_struct('taken', if(array_contains(crowds, b.id), s.taken, concat(s.taken, array(b.id))),
+          'found', concat(s.found, array(named_struct('rank', d.rank, 'score', d.score, 'size', d.own, 'counted', b.real))))), acc -> acc.found)"""
+    return dets.select(*image, F.col("r.area").alias("area"), "t", F.explode(F.expr(fold)).alias("m")).select(*image, "area", "t", "m.*")
+
+
+def mean_average_precision(candidates: DataFrame, image: list[str], ties: list[str], truths: DataFrame | None = None) -> DataFrame:
+    """The twelve COCO statistics, one row: map, map_50, map_75, mar_1, mar_10, mar_100, and map_ and mar_ of small, medium and large.
+
+    ``truths`` has any number of boxes an image, with truth_id and crowd; images without a candidate count too. By default each image of ``candidates`` has the one box of
+    its gt_ columns. Matching is greedy, at each of ten overlaps and in each area range. Detections matched to ground truth that does not count (crowds, other
+    sizes) are left out, and so are unmatched ones of other sizes. Precision over all
     boxes by score is made to fall only, and read at 101 recalls. -1 where a range has no ground truth. Running counts over all boxes go by
     ranges of scores, so that no task holds all of them.
     """
     overlaps = [round(0.5 + 0.05 * k, 2) for k in range(10)]
-    ranked = top_k(with_iou(candidates), MOST[-1], image, ties)
-    within = lambda a, low, high: (a >= low) & (a <= high)
-    ranges = F.array(*[F.struct(F.lit(n).alias("area"), within(area(box("gt_")), *r).alias("counts"), within(area(box()), *r).alias("inside")) for n, r in AREAS.items()])
-    truths = ranked.select(*image, F.explode(F.transform(ranges, lambda r: F.struct(r["area"].alias("area"), r["counts"].alias("counts")))).alias("__range")).where("__range.counts")
-    images = truths.select(*image, "__range.area").distinct().groupBy("area").agg(F.count("*").alias("n"))
-    first = Window.partitionBy(*image, "t").orderBy("rank")
-    hits = ranked.withColumn("t", F.explode(F.lit(overlaps))).withColumn("fits", F.col("iou") >= F.col("t"))
-    hits = hits.withColumn("match", F.col("fits") & (F.sum(F.col("fits").cast("int")).over(first) == 1))
-    hits = hits.withColumn("__range", F.explode(ranges)).select("t", "score", "rank", "match", "__range.*")
-    hits = hits.where(F.when(F.col("match"), F.col("counts")).otherwise(F.col("inside"))).withColumn("hit", F.col("match") & F.col("counts"))
+    ranked = top_k(candidates, MOST[-1], image, ties)
+    if truths is None:
+        gt = [F.col(f"gt_{c}").alias(c) for c in ("x1", "y1", "x2", "y2")]
+        truths = candidates.select(*image, *gt).dropDuplicates(image).withColumns({"truth_id": F.lit(0), "crowd": F.lit(False)})
+    within = lambda a: F.filter(F.array(*[F.struct(F.lit(n).alias("area"), F.lit(r[0]).alias("low"), F.lit(r[1]).alias("high")) for n, r in AREAS.items()]), lambda r: (a >= r["low"]) & (a <= r["high"]))["area"]
+    counting = truths.where(~F.coalesce("crowd", F.lit(False))).select(F.explode(within(area(box()))).alias("area"))
+    images = counting.groupBy("area").agg(F.count("*").alias("n"))
     keys = ["area", "t"]
-    by_score = hits.groupBy(*keys, "score").agg(F.count_if("hit").alias("tp"), F.count("*").alias("all"))
+    found = matched_truths(ranked, truths, image, overlaps)
+    # a detection counts in the areas it lies in; matched, it counts where its truth does
+    inside = ranked.select("score", F.explode(within(area(box()))).alias("area")).groupBy("area", "score").agg(F.count("*").alias("all"))
+    level = F.array(*[F.lit(t) for t in overlaps])
+    inside = inside.select("area", F.explode(level).alias("t"), "score", F.lit(0).cast("long").alias("tp"), "all")
+    moved = found.select(*keys, "score", F.col("counted").cast("long").alias("tp"), (F.col("counted").cast("long") - F.array_contains(within(F.col("size")), F.col("area")).cast("long")).alias("all"))
+    by_score = inside.unionByName(moved).groupBy(*keys, "score").agg(F.sum("tp").alias("tp"), F.sum("all").alias("all"))
+    hits = found.withColumn("hit", F.col("counted"))
     curve = running_sums(value_ranges(by_score, keys, "score"), keys, "score", {"ctp": "tp", "call": "all"}).where("tp > 0").join(F.broadcast(images), "area")
     at = falling_max(curve.withColumn("p", F.col("ctp") / F.col("call")), keys, "score", "p")
     # recall points r/100 after the recall that was reached before, up to this row's, read this row's precision

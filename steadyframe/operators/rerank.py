@@ -20,21 +20,26 @@ FEATURES = [
 def neighbor_support(candidates: DataFrame, key: list[str], max_gap: int = 5) -> DataFrame:
     """Best overlap, and best overlap times score, with the candidates of the previous and next observed frame of the segment.
 
-    ``key`` names a candidate within its frame. Frames are numbered densely, so each side is an equi-join on (segment,
-    position); frames more than ``max_gap`` apart do not support each other.
+    ``key`` names a candidate within its frame. Frames more than ``max_gap`` apart do not support each other. Neighbours of frames are found among
+    the distinct frames, so candidates are dealt by frame, not by segment; one join and one aggregation, combined before its shuffle, serve both sides.
     """
+    frame = ["segment_id", "frame_idx"]
     w = Window.partitionBy("segment_id").orderBy("frame_idx")
-    at = candidates.withColumn("pos", F.dense_rank().over(w)).withColumn("f_score", clip(F.col("score"), 1e-6, 1 - 1e-6))
-    other = at.select("segment_id", F.col("pos").alias("o_pos"), F.col("frame_idx").alias("o_frame"), F.col("f_score").alias("o_score"), *[F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")])
-    out = at
-    for name, step in (("previous", -1), ("next", 1)):
-        near = other.withColumn("pos", F.col("o_pos") - step).drop("o_pos")
-        pairs = at.join(near, ["segment_id", "pos"]).withColumn("g", F.abs(F.col("o_frame") - F.col("frame_idx"))).where(F.col("g") <= max_gap)
-        overlap = iou(box(), box("o_"))
-        root = F.sqrt(F.greatest(F.lit(1), F.col("g")).cast("double"))
-        best = pairs.groupBy("segment_id", "frame_idx", *key).agg((F.max(overlap) / F.first(root)).alias(f"{name}_overlap"), (F.max(overlap * F.col("o_score")) / F.first(root)).alias(f"{name}_support"))
-        out = out.join(best, ["segment_id", "frame_idx", *key], "left").fillna(0.0, [f"{name}_overlap", f"{name}_support"])
-    return out.drop("pos")
+    frames = candidates.select(*frame).distinct().select(*frame, F.lag("frame_idx").over(w).alias("previous"), F.lead("frame_idx").over(w).alias("next"))
+    sides = F.array(*[F.struct(F.col(s).alias("frame_idx"), F.lit(other).alias("o_side"), F.abs(F.col(s) - F.col("frame_idx")).alias("o_gap")) for s, other in (("previous", "next"), ("next", "previous"))])
+    sides = frames.select("segment_id", F.col("frame_idx").alias("o_frame"), F.explode(sides).alias("s")).select("segment_id", "o_frame", "s.*").where(F.col("o_gap") <= max_gap)
+    at = candidates.withColumn("f_score", clip(F.col("score"), 1e-6, 1 - 1e-6))
+    other = at.select("segment_id", F.col("frame_idx").alias("o_frame"), F.col("f_score").alias("o_score"), *[F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")])
+    pairs = at.join(other.join(sides, ["segment_id", "o_frame"]), frame, "left").withColumn("o_overlap", iou(box(), box("o_")))
+    root = F.sqrt(F.greatest(F.lit(1), F.col("o_gap")).cast("double"))
+    best = {}
+    for side in ("previous", "next"):
+        on = F.col("o_side") == side
+        best[f"{side}_overlap"] = F.max(F.when(on, F.col("o_overlap") / root))
+        best[f"{side}_support"] = F.max(F.when(on, F.col("o_overlap") * F.col("o_score") / root))
+    kept = [c for c in at.columns if c not in (*frame, *key)]
+    out = pairs.groupBy(*frame, *key).agg(*[F.first(c).alias(c) for c in kept], *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in best.items()])
+    return out.select(*at.columns, *best)
 
 
 def candidate_features(candidates: DataFrame, key: list[str], width: float = 1920, height: float = 1080) -> DataFrame:

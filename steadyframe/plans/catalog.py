@@ -225,6 +225,13 @@ def coco_map(s, d):
     return rounded(detection.mean_average_precision(candidates(s, d), ["segment_id", "frame_idx"], TIES))
 
 
+@query
+def coco_map_crowd(s, d):
+    """Several truths a frame, some of them crowds."""
+    truths = fixture(s, d, "truths")
+    return rounded(detection.mean_average_precision(candidates(s, d), ["segment_id", "frame_idx"], TIES, truths))
+
+
 @query
 def clip_boxes(s, d):
     c = candidates(s, d).select(*TIES, "segment_id", clip(F.col("x1"), 350.0, F.lit(1000.0)).alias("x1"), clip(F.col("y1"), 250.0, F.lit(600.0)).alias("y1"))

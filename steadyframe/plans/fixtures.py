@@ -19,16 +19,24 @@ select concat('C', cast(user_id % 10 as string)) as case_id,
 from (select *, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as bigint) as f from events) e
 """
 
-#: As an extraction gives them: the 20 best of each frame, however many the driver's table would make.
+#: All candidates of every frame, ranked.
 CANDIDATES = """
-select * from (select *, row_number() over (partition by segment_id, frame_idx order by score desc, k1, k2, k3) as candidate_rank from (
+select *, row_number() over (partition by segment_id, frame_idx order by score desc, k1, k2, k3) as candidate_rank from (
 select concat('S', cast(l_suppkey % 10 as string)) as segment_id, l_partkey % 200 as frame_idx,
  cast((l_orderkey*7919 + l_linenumber*104729 + l_partkey*31) % 9973 + 1 as double)/9974 as score,
  cast(gx + dx as double) as x1, cast(gy + dy as double) as y1, cast(gx + dx + 180 as double) as x2, cast(gy + dy + 120 as double) as y2,
  cast(gx as double) as gt_x1, cast(gy as double) as gt_y1, cast(gx + 200 as double) as gt_x2, cast(gy + 130 as double) as gt_y2,
  l_orderkey as k1, l_linenumber as k2, l_partkey as k3
 from (select *, 300 + abs(((l_partkey % 200)*12) % 1600 - 800) as gx, 200 + abs(((l_partkey % 200)*7) % 900 - 450) as gy,
-  (l_orderkey*13 + l_linenumber*29) % 160 - 80 as dx, (l_orderkey*11 + l_linenumber*17) % 90 - 45 as dy from lineitem) a) b) r where candidate_rank <= 20
+  (l_orderkey*13 + l_linenumber*29) % 160 - 80 as dx, (l_orderkey*11 + l_linenumber*17) % 90 - 45 as dy from lineitem) a) b
+"""
+
+#: Up to four ground-truth boxes a frame, large to small, some of them crowds.
+TRUTHS = """
+select segment_id, frame_idx, g as truth_id, cast(gx + 25 * g as double) as x1, cast(gy + 15 * g as double) as y1, cast(gx + 200 - 35 * g as double) as x2, cast(gy + 130 - 25 * g as double) as y2,
+ g = 3 and frame_idx % 2 = 0 or g = 1 and frame_idx % 5 = 0 as crowd
+from (select distinct concat('S', cast(l_suppkey % 10 as string)) as segment_id, l_partkey % 200 as frame_idx, l_linenumber % 4 as g,
+  300 + abs(((l_partkey % 200)*12) % 1600 - 800) as gx, 200 + abs(((l_partkey % 200)*7) % 900 - 450) as gy from lineitem where (l_orderkey + l_linenumber) % 3 = 0) a
 """
 
 RATINGS = """
@@ -53,8 +61,8 @@ select concat('C', cast((o_custkey % 100) % 20 as string)) as case_id, concat('S
 group by 1, 2
 """
 
-SQL = {"tracks": TRACKS, "candidates": CANDIDATES, "ratings": RATINGS, "label_lines": LABEL_LINES, "images": IMAGES, "epochs": EPOCHS, "segment_features": SEGMENT_FEATURES}
-SOURCES = {"tracks": "events", "candidates": "lineitem", "ratings": "orders", "label_lines": "part", "images": "embeddings", "epochs": "events", "segment_features": "orders"}
+SQL = {"tracks": TRACKS, "candidates": CANDIDATES, "truths": TRUTHS, "ratings": RATINGS, "label_lines": LABEL_LINES, "images": IMAGES, "epochs": EPOCHS, "segment_features": SEGMENT_FEATURES}
+SOURCES = {"tracks": "events", "candidates": "lineitem", "truths": "lineitem", "ratings": "orders", "label_lines": "part", "images": "embeddings", "epochs": "events", "segment_features": "orders"}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -211,6 +211,34 @@ select {rd("coalesce(avg(ap) filter (area = 'all'), -1)", 'map')}, {rd("coalesce
  {", ".join(rd(f"coalesce(avg(ap) filter (area = '{x}'), -1)", f"map_{x}") for x in ("small", "medium", "large"))}, {", ".join(rd(f"coalesce(avg(r{k}) filter (area = 'all'), -1)", f"mar_{k}") for k in (1, 10, 100))},
  {", ".join(rd(f"coalesce(avg(r100) filter (area = '{x}'), -1)", f"mar_{x}") for x in ("small", "medium", "large"))} from b"""
 
+_OVERLAPS = "(select unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]::double[]) as t)"
+_BOTH = "greatest(0.0::double, least(c.x2, u.x2) - greatest(c.x1, u.x1)) * greatest(0.0::double, least(c.y2, u.y2) - greatest(c.y1, u.y1))"
+#: Detections take truths one after the other: step k of the recursion is the detection of rank k of every image, area and overlap.
+COCO_CROWD = f"""with recursive c as ({fixtures.CANDIDATES}), truths as ({fixtures.TRUTHS}),
+p as (select c.segment_id, c.frame_idx, c.candidate_rank as rank, u.truth_id, u.crowd, (u.x2 - u.x1) * (u.y2 - u.y1) as gt,
+   {_BOTH} / case when u.crowd then (c.x2 - c.x1) * (c.y2 - c.y1) else (c.x2 - c.x1) * (c.y2 - c.y1) + (u.x2 - u.x1) * (u.y2 - u.y1) - {_BOTH} end as iou
+  from c join truths u on c.segment_id = u.segment_id and c.frame_idx = u.frame_idx where candidate_rank <= 100),
+near as (select segment_id, frame_idx, rank, t, area, truth_id, crowd, not crowd and gt between low and high as real, iou from p, {_OVERLAPS} o, {_AREAS} where iou >= t),
+walk as (select segment_id, frame_idx, t, area, 0::bigint as rank, []::bigint[] as taken, false as matched, false as hit from (select distinct segment_id, frame_idx, t, area from near) q
+  union all
+  select w.segment_id, w.frame_idx, w.t, w.area, w.rank + 1, case when count(n.truth_id) > 0 and not arg_max(n.crowd, (n.real::int, n.iou, n.truth_id)) then list_append(any_value(w.taken), arg_max(n.truth_id, (n.real::int, n.iou, n.truth_id))::bigint) else any_value(w.taken) end,
+   count(n.truth_id) > 0, coalesce(arg_max(n.real, (n.real::int, n.iou, n.truth_id)), false)
+  from walk w left join near n on n.segment_id = w.segment_id and n.frame_idx = w.frame_idx and n.t = w.t and n.area = w.area and n.rank = w.rank + 1 and not list_contains(w.taken, n.truth_id)
+  where w.rank < 100 group by w.segment_id, w.frame_idx, w.t, w.area, w.rank),
+h as (select c.segment_id, c.frame_idx, c.score, candidate_rank, o.t, v.area, coalesce(matched, false) as matched, coalesce(hit, false) as hit, (x2 - x1) * (y2 - y1) between low and high as inside
+  from c cross join {_OVERLAPS} o cross join {_AREAS} left join walk w on w.segment_id = c.segment_id and w.frame_idx = c.frame_idx and w.t = o.t and w.area = v.area and w.rank = candidate_rank where candidate_rank <= 100),
+m as (select * from h where case when matched then hit else inside end),
+i as (select area, count(*)::double as n from truths, {_AREAS} where not crowd and (x2 - x1) * (y2 - y1) between low and high group by area),
+g as (select area, t, score, sum(hit::int) as tp, count(*) as k from m group by all),
+r as (select area, t, sum(tp) over w / n as recall, sum(tp) over w / sum(k) over w::double as p from g join i using (area) window w as (partition by area, t order by score desc)),
+o as (select area, n, t from i, (select distinct t from h) q),
+ap as (select o.area, o.t, avg(coalesce((select max(p) from r where r.area = o.area and r.t = o.t and recall * 100 + 1e-9 >= q), 0)) as ap from o, range(0, 101) x(q) group by all),
+mr as (select o.area, o.t, coalesce(sum((hit and candidate_rank <= 1)::int), 0) / max(n) as r1, coalesce(sum((hit and candidate_rank <= 10)::int), 0) / max(n) as r10, coalesce(sum((hit and candidate_rank <= 100)::int), 0) / max(n) as r100 from o left join m using (area, t) group by all),
+b as (select * from ap join mr using (area, t))
+select {rd("coalesce(avg(ap) filter (area = 'all'), -1)", 'map')}, {rd("coalesce(max(ap) filter (area = 'all' and t = 0.5::double), -1)", 'map_50')}, {rd("coalesce(max(ap) filter (area = 'all' and t = 0.75::double), -1)", 'map_75')},
+ {", ".join(rd(f"coalesce(avg(ap) filter (area = '{x}'), -1)", f"map_{x}") for x in ("small", "medium", "large"))}, {", ".join(rd(f"coalesce(avg(r{k}) filter (area = 'all'), -1)", f"mar_{k}") for k in (1, 10, 100))},
+ {", ".join(rd(f"coalesce(avg(r100) filter (area = '{x}'), -1)", f"mar_{x}") for x in ("small", "medium", "large"))} from b"""
+
 
 def side(name: str, step: int) -> str:
     return f"""{name} as (select a.segment_id, a.frame_idx, a.k1, a.k2, a.k3, max({iou('a.', 'b.')}) / sqrt(max(abs(b.frame_idx - a.frame_idx))) as overlap, max({iou('a.', 'b.')} * b.fs) / sqrt(max(abs(b.frame_idx - a.frame_idx))) as support
@@ -368,6 +396,7 @@ def oracle_sql() -> dict[str, str]:
         "top_errors": f"{ctes(*CAND, ERRORS)} select segment_id, frame_idx, {rd('top_score')}, {rd('top_iou')}, {rd('error_priority')} from (select *, case when top_score >= 0.53::double then 1 - top_iou else 1 + 0.53::double - top_score end as error_priority from errors where split = 'test') a order by round(a.error_priority, 9) desc, segment_id, frame_idx limit 12",
         "ranking_failures": f"{ctes(*CAND, ERRORS)} select count(*) filter (top_iou < 0.5::double and best_iou_any >= 0.5::double) as failures, count(*) as images from errors where split = 'test'",
         "coco_map": COCO,
+        "coco_map_crowd": COCO_CROWD,
         "clip_boxes": f"{ctes(CANDIDATES)} select distinct k1, k2, k3, segment_id, greatest(350.0::double, least(1000.0::double, x1)) as x1, greatest(250.0::double, least(600.0::double, y1)) as y1 from c",
         "viterbi_path": f"{PATH} select segment_id, frame_idx, {rd('score')}, k1, k2, k3, 1 as temporal_rank from chosen",
         "framewise_baseline": f"{ctes(*CAND, TOP)} select segment_id, frame_idx, {rd('score')}, k1, k2, k3 from top",
