@@ -3,6 +3,7 @@
 import itertools
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -61,6 +62,21 @@ def test_paths_are_the_best_of_all(spark):
             assert own == [(r.frame_idx, r.candidate_rank) for r in want]
 
 
+def test_long_segments_go_by_stretches(spark):
+    """Stretches of one and of seven frames choose what one task would, also among equal candidates and after gaps."""
+    rng, rows = random.Random(1), []
+    for seg in ("A", "B"):
+        for f in (f for f in range(60) if rng.random() > 0.2 and not 20 < f < 40):
+            for k in range(rng.randint(1, 6)):
+                x, y = rng.choice([0.0, 10.0, 40.0]), rng.choice([0.0, 20.0, 60.0])
+                rows.append((seg, f, rng.choice([0.3, 0.5, 0.5, 0.9]), x, y, x + rng.choice([20.0, 30.0]), y + 25.0, k))
+    df = spark.createDataFrame(rows, "segment_id string, frame_idx long, score double, x1 double, y1 double, x2 double, y2 double, k1 int")
+    weights = [temporal.Weights(), temporal.Weights(3, 0.5, 1.0, 0.3, 0.1), temporal.FRAMEWISE]
+    whole, by_one, by_seven = (sorted(map(tuple, temporal.select_paths(df, weights, ["k1"], stretch).collect())) for stretch in (10_000, 1, 7))
+    assert whole == by_one == by_seven
+    assert temporal.select_paths(df.where("false"), weights, ["k1"]).collect() == []
+
+
 def test_many_weights_in_parts():
     rng = np.random.default_rng(5)
     frame, score, box = np.repeat(np.arange(40), 3), rng.random(120), rng.random((120, 4)) * 50
