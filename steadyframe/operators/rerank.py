@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadyframe.functions.geometry import box, clip, iou
+from steadyframe.operators import boosting
 from steadyframe.operators.detection import best_row, selection_summary, threshold_sweep, thresholds, with_iou
 
 # The features, in the model's order.
@@ -70,35 +69,19 @@ def select_by_prediction(candidates: DataFrame, ties: list[str]) -> DataFrame:
     return candidates.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def _trees(trees: int):
-    from pyspark.ml.regression import GBTRegressor
-
-    return GBTRegressor(labelCol="iou", featuresCol="features", predictionCol="calibrated_iou", maxIter=trees, stepSize=0.05, maxDepth=4, minInstancesPerNode=40, seed=42)
-
-
 def _with_features(candidates: DataFrame, key: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_iou(candidate_features(candidates, key)))
+    return with_iou(candidate_features(candidates, key))
 
 
 def out_of_fold(candidates: DataFrame, key: list[str], folds: int = 5, trees: int = 120) -> DataFrame:
     """Candidates with features, iou and calibrated_iou, predicted by boosted trees that did not see their fold.
 
-    The folds' fits are independent jobs on the same rows and run side by side.
+    Features are made once for all folds; the folds' models are fitted side by side.
     """
-    rows = _with_features(candidates, key).join(contiguous_folds(candidates, folds), ["segment_id", "frame_idx"])
-    held = rows.select("fold", "features", "iou").persist()
-    try:
-        with ThreadPool(folds) as pool:
-            models = pool.map(lambda fold: _trees(trees).fit(held.where(F.col("fold") != fold)), range(folds))
-    finally:
-        held.unpersist()
-    out = None
-    for fold, model in enumerate(models):
-        part = model.transform(rows.where(F.col("fold") == fold))
-        out = part if out is None else out.unionByName(part)
-    return out.drop("features")
+    rows = _with_features(candidates, key).join(contiguous_folds(candidates, folds), ["segment_id", "frame_idx"]).persist()
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda m: m != F.col("fold"))
+    nodes = boosting.fit(rows, FEATURES, "iou", ["segment_id", "frame_idx", *key], others, boosting.Boosting(trees=trees)).collect()
+    return boosting.predict(rows, nodes, FEATURES, F.col("fold"))
 
 
 def rerank(candidates: DataFrame, key: list[str], folds: int = 5, trees: int = 120) -> DataFrame:
@@ -116,7 +99,8 @@ def learn(validation: DataFrame, test: DataFrame, key: list[str], folds: int = 5
     best = best_row(threshold_sweep(chosen, thresholds(0.01, 0.99, 99)), ["f1", "precision"], "threshold").first()
     if best is None:
         raise ValueError("learning needs validation candidates")
-    model = _trees(trees).fit(_with_features(validation, key).select("features", "iou"))
-    applied = select_by_prediction(model.transform(_with_features(test, key)).drop("features"), key)
+    known = _with_features(validation, key)
+    nodes = boosting.fit(known, FEATURES, "iou", ["segment_id", "frame_idx", *key], F.array(F.lit(0)), boosting.Boosting(trees=trees)).collect()
+    applied = select_by_prediction(boosting.predict(_with_features(test, key), nodes, FEATURES, F.lit(0)), key)
     parts = [selection_summary(rows, best["threshold"]).withColumns({"split": F.lit(split), "threshold": F.lit(best["threshold"])}) for split, rows in (("val", chosen), ("test", applied))]
     return chosen, applied, best["threshold"], parts[0].unionByName(parts[1])
