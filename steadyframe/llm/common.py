@@ -220,7 +220,26 @@ def shared_keys(sent: DataFrame, ranges: int) -> DataFrame:
     return sent.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_met, "key long, id long").distinct()
 
 
-def linked(met: DataFrame, block: int, dress: Callable[[DataFrame], DataFrame], linker: Callable[[], Callable], kind: str) -> DataFrame:
+def reread(table: DataFrame, session: SparkSession) -> DataFrame:
+    """A table that ``materialize`` wrote, read in another session."""
+    out = session.read.schema(table.schema).parquet(table._written)
+    out._written = table._written
+    return out
+
+
+def session_for(spark: SparkSession, batch: int | None) -> SparkSession:
+    """A session with the settings of ``spark`` whose jobs send ``batch`` rows at most to Python at once, for wide rows; without ``batch``, ``spark`` itself."""
+    if not batch:
+        return spark
+    own = spark.newSession()
+    for r in spark.sql("SET").collect():
+        if r["key"].startswith("spark.sql.") and spark.conf.isModifiable(r["key"]):
+            own.conf.set(r["key"], r["value"])
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    return own
+
+
+def linked(met: DataFrame, block: int, dress: Callable[[DataFrame], DataFrame], linker: Callable[[], Callable], kind: str, batch: int | None = None) -> DataFrame:
     """Edges (a, b) between ids that meet under a key and are similar: all of each component that the groups' links make.
 
     ``met`` has distinct rows (key long, id long) of keys with two ids or more; of keys with the same ids one is looked at. ``dress`` adds
@@ -230,8 +249,8 @@ def linked(met: DataFrame, block: int, dress: Callable[[DataFrame], DataFrame],
     A group of more than ``block`` ids is dealt into blocks, each with the group's smallest id besides. What a block
     joins to that id is one component already; only the ids that are left meet the other blocks, in groups of two
     blocks. So a group of many near copies costs time in proportion to its size, and every pair still meets
-    or is joined. No task holds more than about two blocks, and Spark sends 64 MB
-    at once to Python. A key however common is dealt over tasks when it is looked up.
+    or is joined. No task holds more than about two blocks. ``batch`` bounds the rows that
+    are sent to Python at once, in a session apart, so that the caller's keeps its settings. A key however common is dealt over tasks when it is looked up.
     """
     sums = [F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(7, id))").alias("y")]
     keys = met.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), *sums).where("n > 1")
@@ -239,16 +258,19 @@ def linked(met: DataFrame, block: int, dress: Callable[[DataFrame], DataFrame],
     once = materialize(once.select("key", "lo", "n", "blocks"), "keys")
     rows = spread_join(met, once, ["key"], "inner").withColumn("i", F.expr("cast(pmod(xxhash64(3, id), blocks) as int)"))
     rows = materialize(rows.select("key", "id", "lo", "n", "blocks", "i"), "rows")
+    spark = met.sparkSession
+    apart = session_for(spark, batch)
+    rows = reread(rows, apart)
     wide = rows.where("blocks > 1")
     # groups of few ids that share the smallest one often overlap: dealt together, a line is prepared once for all
     deal = F.when(F.col("n") <= 64, F.col("lo")).otherwise(F.xxhash64("key", "i"))
     lone = wide.where("id = lo").withColumn("i", F.explode(F.expr("array_remove(sequence(0, blocks - 1), i)")))
     first = rows.unionByName(lone).withColumn("j", F.col("i")).select(deal.alias("deal"), "key", "i", "j", "id", (F.col("blocks") > 1).alias("wide"), (F.col("id") == F.col("lo")).alias("lowest"))
-    found = materialize(_link_groups(dress(first), linker, kind), "links")
+    found = reread(materialize(_link_groups(dress(first), linker, kind), "links"), spark)
     left = found.where("key is not null").select("key", "id").distinct()
     edges = found.where("key is null").select("a", "b")
     if not left.isEmpty():
-        left = materialize(left, "left")
+        left = reread(materialize(left, "left"), apart)
         known = wide.join(left.withColumn("loose", F.lit(True)), ["key", "id"], "left").withColumn("loose", F.coalesce("loose", F.lit(False)))
         loose = known.where("loose").select("key", F.col("i").alias("k")).distinct()  # blocks with ids that are left
         pairs = known.join(loose, "key").where("i <> k")
@@ -256,7 +278,7 @@ def linked(met: DataFrame, block: int, dress: Callable[[DataFrame], DataFrame],
         mine = pairs.select("key", F.col("i"), F.col("k").alias("j"), "id", F.lit(False).alias("wide"), F.lit(False).alias("lowest"))
         theirs = known.where("loose").withColumn("o", F.explode(F.expr("array_remove(sequence(0, blocks - 1), i)"))).select("key", F.col("o").alias("i"), F.col("i").alias("j"), "id", F.lit(False).alias("wide"), F.lit(False).alias("lowest"))
         second = mine.unionByName(theirs).select(F.xxhash64("key", "i", "j").alias("deal"), "key", "i", "j", "id", "wide", "lowest")
-        more = materialize(_link_groups(dress(second), linker, kind), "links")
+        more = reread(materialize(_link_groups(dress(second), linker, kind), "links"), spark)
         edges = edges.unionByName(more.where("key is null").select("a", "b"))
     return edges.distinct()
 
@@ -344,6 +366,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 yield star(f)
                 f, made = Forest(), 0
         yield star(f)
+        f = None
+        trim()
 
     def star(f: Forest) -> pa.RecordBatch:
         pairs = [(x, r) for x in f.up if (r := f.find(x)) != x]
