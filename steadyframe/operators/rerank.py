@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from steadyframe.functions.geometry import box, clip, iou
+from steadyframe.functions.geometry import BOX, clip
 from steadyframe.operators import boosting
 from steadyframe.operators.detection import best_row, selection_summary, threshold_sweep, thresholds, with_iou
 
@@ -16,29 +20,58 @@ FEATURES = [
 ]
 
 
+SIDES = ("previous", "next")
+
+
 def neighbor_support(candidates: DataFrame, key: list[str], max_gap: int = 5) -> DataFrame:
     """Best overlap, and best overlap times score, with the candidates of the previous and next observed frame of the segment.
 
     ``key`` names a candidate within its frame. Frames more than ``max_gap`` apart do not support each other. Neighbours of frames are found among
-    the distinct frames, so candidates are dealt by frame, not by segment; one join and one aggregation, combined before its shuffle, serve both sides.
+    the distinct frames; a frame's candidates go to its own group and, as boxes and scores only, to its neighbours', so one shuffle deals everything by frame, and a
+    group compares its boxes as matrices of bounded size.
     """
     frame = ["segment_id", "frame_idx"]
     w = Window.partitionBy("segment_id").orderBy("frame_idx")
-    frames = candidates.select(*frame).distinct().select(*frame, F.lag("frame_idx").over(w).alias("previous"), F.lead("frame_idx").over(w).alias("next"))
-    sides = F.array(*[F.struct(F.col(s).alias("frame_idx"), F.lit(other).alias("o_side"), F.abs(F.col(s) - F.col("frame_idx")).alias("o_gap")) for s, other in (("previous", "next"), ("next", "previous"))])
-    sides = frames.select("segment_id", F.col("frame_idx").alias("o_frame"), F.explode(sides).alias("s")).select("segment_id", "o_frame", "s.*").where(F.col("o_gap") <= max_gap)
+    frames = candidates.select(*frame).distinct().select(*frame, F.lag("frame_idx").over(w).alias("before"), F.lead("frame_idx").over(w).alias("after"))
+    # a frame is the next one of the frame before it
+    sides = F.array(*[F.struct(F.col(c).alias("to"), F.lit(s).alias("side")) for c, s in (("before", 1), ("after", 0))])
+    sides = frames.select(*frame, F.explode(sides).alias("s")).select(*frame, "s.*").where(F.abs(F.col("to") - F.col("frame_idx")) <= max_gap)
     at = candidates.withColumn("f_score", clip(F.col("score"), 1e-6, 1 - 1e-6))
-    other = at.select("segment_id", F.col("frame_idx").alias("o_frame"), F.col("f_score").alias("o_score"), *[F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")])
-    pairs = at.join(other.join(sides, ["segment_id", "o_frame"]), frame, "left").withColumn("o_overlap", iou(box(), box("o_")))
-    root = F.sqrt(F.greatest(F.lit(1), F.col("o_gap")).cast("double"))
-    best = {}
-    for side in ("previous", "next"):
-        on = F.col("o_side") == side
-        best[f"{side}_overlap"] = F.max(F.when(on, F.col("o_overlap") / root))
-        best[f"{side}_support"] = F.max(F.when(on, F.col("o_overlap") * F.col("o_score") / root))
-    kept = [c for c in at.columns if c not in (*frame, *key)]
-    out = pairs.groupBy(*frame, *key).agg(*[F.first(c).alias(c) for c in kept], *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in best.items()])
-    return out.select(*at.columns, *best)
+    sent = at.select(*frame, *BOX, "f_score").join(sides, frame)
+    sent = sent.select("segment_id", F.col("to").alias("frame_idx"), *BOX, "f_score", F.col("side").alias("__side"), F.abs(F.col("to") - F.col("frame_idx")).alias("__gap"))
+    both = at.withColumns({"__side": F.lit(-1), "__gap": F.lit(0).cast("long")}).unionByName(sent, allowMissingColumns=True)
+    added = [f"{s}_{what}" for s in SIDES for what in ("overlap", "support")]
+    schema = T.StructType([*at.schema.fields, *[T.StructField(c, T.DoubleType()) for c in added]])
+    target, names = to_arrow_schema(schema), at.columns
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table["__side"].to_numpy()
+        own = table.filter(pa.array(side < 0)).select(names)
+        columns = {c: np.zeros(own.num_rows) for c in added}
+        mine = np.stack([own[c].to_numpy() for c in BOX])
+        for k, s in enumerate(SIDES):
+            other = table.filter(pa.array(side == k))
+            if not other.num_rows:
+                continue
+            theirs, score = np.stack([other[c].to_numpy() for c in BOX]), other["f_score"].to_numpy()
+            root = np.sqrt(max(1, other["__gap"][0].as_py()))
+            step = max(1, 1_000_000 // other.num_rows)
+            for a in range(0, own.num_rows, step):
+                overlap = overlaps(mine[:, a : a + step, None], theirs[:, None, :])
+                columns[f"{s}_overlap"][a : a + step] = overlap.max(1) / root
+                columns[f"{s}_support"][a : a + step] = (overlap * score).max(1) / root
+        for c in added:
+            own = own.append_column(c, pa.array(columns[c]))
+        return own.cast(target)
+
+    return both.groupBy(*frame).applyInArrow(compare, schema)
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of boxes given as four arrays; negative extents count as 0."""
+    both = np.maximum(np.minimum(a[2], b[2]) - np.maximum(a[0], b[0]), 0) * np.maximum(np.minimum(a[3], b[3]) - np.maximum(a[1], b[1]), 0)
+    size = lambda r: np.maximum(r[2] - r[0], 0) * np.maximum(r[3] - r[1], 0)
+    return both / np.maximum(size(a) + size(b) - both, 1e-12)
 
 
 def candidate_features(candidates: DataFrame, key: list[str], width: float = 1920, height: float = 1080) -> DataFrame:
