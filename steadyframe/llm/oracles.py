@@ -103,8 +103,7 @@ runs as (select rid, k, v, sum(length(gap)) over w + sum(length(v)) over w - len
 cores as (select rid, cast(a + length(regexp_extract(v, '^[._@+-]*')) as bigint) as a, regexp_extract(v, '[A-Za-z0-9](.*[A-Za-z0-9])?') as v from runs),
 free as (select rid, a, a + length(v) as b, v from cores where length(v) >= 5 and regexp_matches(v, '[0-9@]')
   and not exists (select 1 from s where s.rid = cores.rid and s.a < cores.a + length(v) and cores.a < s.b)),
-tokens as (select rid, a, b, v, false as base, regexp_matches(v, '^(AKIA|ASIA)[0-9A-Z]{{16}}\z') as is_key,
-    regexp_matches(v, '^(AKIA|ASIA)[0-9A-Z]{{16}}\z') or regexp_matches(v, '^[0-9a-f]{{16,}}\z') and regexp_matches(v, '[a-f]') and regexp_matches(v, '[0-9]') as seed from free
+tokens as (select rid, a, b, v, false as base, regexp_matches(v, '^(AKIA|ASIA)[0-9A-Z]{{16}}\z') or regexp_matches(v, '^[0-9A-Fa-f]{{16,}}\z') and regexp_matches(v, '[A-Fa-f]') and regexp_matches(v, '[0-9]') as is_key, is_key as seed from free
   union all select rid, a, b, v, true, false, true from s),
 lefts as (select tokens.*, lower(case when a <= 48 then chr(10) else '' end || substr(t, greatest(a - 47, 1)::bigint, least(a, 48)::bigint)) as l from tokens join d using (rid)),
 named as (select *, case when regexp_extract(l, '{_LABEL}', 1) <> '' then regexp_extract(l, '{_LABEL}', 1) || regexp_extract(l, '{_LABEL}', 2)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadyframe.llm.common import materialize, small
@@ -21,9 +23,8 @@ HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Runs of identifier characters with a digit or an at sign; what they are trimmed to is a token if it has five characters.
 RUN = r"(?<![A-Za-z0-9._@+-])[A-Za-z._+-]*+[0-9@][A-Za-z0-9._@+-]*+"
 TOKEN = r"[A-Za-z0-9](.*[A-Za-z0-9])?"
-#: Identifiers that are known by their form wherever they stand, and forms that are likely ones.
-KEY = r"^(AKIA|ASIA)[0-9A-Z]{16}\z"
-LIKELY = r"^[0-9a-f]{16,}\z"
+#: Credentials that are known by their form wherever they stand: access keys, and long hexadecimal tokens with digits and letters.
+KEY = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{16,})\z"
 #: Lexical patterns before a span, of which the first that fits is taken: a label with its sign, the only word of its line so far, the two words before.
 LABEL = r"(\p{L}[\p{L}0-9_]{0,31})[ \t]{0,4}([:=])[ \t]{0,4}[\x22']?\z"
 OPENING = r"\n[^\p{L}\p{N}]{0,4}(\p{L}+)[^\p{L}\p{N}\n]{1,4}\z"
@@ -37,7 +38,11 @@ SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """Matches of a pattern as an array of (start, end, value), in code points."""
+    """Matches of a pattern as an array of (start, end, value), in code points.
+
+    Places are counted in stretches of about as many matches as there are stretches, and the stretches then moved, so that a text of many
+    matches copies no array for each of them.
+    """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     none = F.array().cast(SPANS)
 
@@ -46,9 +51,24 @@ def spans(text: Column, pattern: str) -> Column:
         end = start + F.length(x["value"])
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
+    def sums(state: Column, x: Column) -> Column:
+        return F.struct((state["at"] + x["at"]).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+
+    def moved(part: Column, by: Column) -> Column:
+        return F.transform(part["out"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+
+    def whole(z: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(z))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(z) / step).cast("int") - 1), lambda k: F.aggregate(F.slice(z, k * step + 1, step), F.struct(F.lit(0).alias("at"), none.alias("out")), add))
+        return bound(cut, lambda parts: F.flatten(F.zip_with(parts, F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), sums, lambda s: s["out"]), moved)))
+
     zipped = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    placed = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda s: s["out"])
-    return F.when(F.size(found) > 0, placed).otherwise(none)
+    return bound(zipped, lambda z: F.when(F.size(z) > 0, whole(z)).otherwise(none))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def digits(value: Column) -> Column:
@@ -90,8 +110,8 @@ def find(
 ) -> DataFrame:
     """One row per row of ``docs``: its id, an array of (start, end, value) per base kind, ``key`` and ``context``.
 
-    ``key`` has the tokens of forms that are known (access keys). ``context`` has what the bootstrap finds: base spans, keys and likely
-    tokens (long hexadecimal ones) are seeds. What stands before a span is its lexical pattern. Patterns and
+    ``key`` has the credentials that are known by their form. ``context`` has what the bootstrap alone finds: base spans and keys
+    are seeds. What stands before a span is its lexical pattern. Patterns and
     the identifier-like tokens after them form a graph. In each of ``rounds`` rounds, patterns with ``min_seeds`` distinct
     trusted instances are scored by the instances they extract, over all their uses in texts that hold an identifier-like token, and
     instances by their patterns; an instance that reaches ``min_confidence`` is trusted like a seed in the next round.
@@ -101,15 +121,25 @@ def find(
     are looked at whole. Ties need no order: all patterns above the bound are taken. An empty table gives an empty one; only the id and text columns are read, so that other names can't clash.
     """
     rows = materialize(scanned(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))), "spans")
-    seen = rows.select("rid", F.explode("tokens").alias("x")).select("rid", "x.*")
+    seen = materialize(apart(rows.select("rid", F.explode("tokens").alias("x")).select("rid", "x.*")), "tokens")
     accepted = good_patterns(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")), seen, rounds, min_seeds, min_confidence)
     span = F.struct("start", "end", "value")
-    follows = seen.where("not base and not key and pattern <> ''").join(small(accepted), "pattern", "left_semi")
-    more = materialize(follows.groupBy("rid").agg(F.array_sort(F.collect_list(span)).alias("context")), "context")
+    follows = seen.where("not base and not key and pattern <> ''").join(small(accepted), "pattern", "left_semi").select("rid", *["start", "end", "value"], F.lit(False).alias("key"))
+    extra = follows.unionByName(seen.where("key").select("rid", "start", "end", "value", "key"))
+    more = extra.groupBy("rid").agg(*[F.array_sort(F.collect_list(F.when(c, span))).alias(n) for n, c in (("key", F.col("key")), ("context", ~F.col("key")))])
     none = F.array().cast(SPANS)
-    keys = F.transform(F.filter("tokens", lambda x: x["key"] & ~x["base"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
-    out = rows.withColumn("key", keys).drop("tokens").join(small(more), "rid", "left")
-    return out.select(F.col("id").alias(id_col), *KINDS, "key", F.coalesce("context", none).alias("context"))
+    out = rows.drop("tokens").join(small(materialize(more, "more")), "rid", "left")
+    return out.select(F.col("id").alias(id_col), *KINDS, F.coalesce("key", none).alias("key"), F.coalesce("context", none).alias("context"))
+
+
+def apart(tokens: DataFrame) -> DataFrame:
+    """Tokens without those that overlap a base span of their text; base spans stay."""
+    by = Window.partitionBy("rid").orderBy("start")
+    before = F.max(F.when(F.col("base"), F.col("end"))).over(by.rangeBetween(Window.unboundedPreceding, 0))
+    back = Window.partitionBy("rid").orderBy(F.desc("start"))
+    after = F.min(F.when(F.col("base"), F.col("start"))).over(back.rangeBetween(Window.unboundedPreceding, 0))
+    met = (F.coalesce(before, F.lit(0)) > F.col("start")) | F.coalesce(after < F.col("end"), F.lit(False))
+    return tokens.withColumn("met", met).where("base or not met").drop("met")
 
 
 def scanned(rows: DataFrame) -> DataFrame:
@@ -122,30 +152,44 @@ def scanned(rows: DataFrame) -> DataFrame:
         value = F.regexp_extract(s["value"], TOKEN, 0)
         return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
 
-    def free(s: Column) -> Column:
-        return (F.length(s["value"]) >= 5) & s["value"].rlike("[0-9@]") & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    def enough(s: Column) -> Column:
+        return (F.length(s["value"]) >= 5) & s["value"].rlike("[0-9@]")
 
-    def instance(s: Column, base: bool) -> Column:
+    def instance(parts: Column, s: Column, base: bool) -> Column:
         key = F.lit(False) if base else s["value"].rlike(KEY)
-        seed = F.lit(True) if base else key | (s["value"].rlike(LIKELY) & s["value"].rlike("[a-f]") & s["value"].rlike("[0-9]"))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), context(t, s["start"]).alias("pattern"), F.lit(base).alias("base"), key.alias("key"), seed.alias("seed"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), context(parts, s["start"]).alias("pattern"), F.lit(base).alias("base"), key.alias("key"), (F.lit(True) if base else key).alias("seed"))
 
-    others = F.when(t.rlike("[0-9@]"), F.filter(F.transform(spans(t, RUN), core), free)).otherwise(F.array().cast(SPANS))
-    tokens = F.concat(F.transform("base", lambda s: instance(s, True)), F.transform(others, lambda s: instance(s, False)))
+    others = F.when(t.rlike("[0-9@]"), F.filter(F.transform(spans(t, RUN), core), enough)).otherwise(F.array().cast(SPANS))
+    tokens = bound(blocks(t), lambda parts: F.concat(F.transform("base", lambda s: instance(parts, s, True)), F.transform(others, lambda s: instance(parts, s, False))))
     return based.select("rid", "id", *KINDS, tokens.alias("tokens"))
 
 
-def context(text: Column, start: Column) -> Column:
-    """The lexical pattern before a place, lower-cased; empty if there is none."""
-    left = F.substring(text, F.greatest(start - 47, F.lit(1)), F.least(start, F.lit(48)))
-    left = F.lower(F.concat(F.when(start <= 48, "\n").otherwise(""), left))
-    got = lambda pattern, k: F.regexp_extract(left, pattern, k)
-    return (
-        F.when(got(LABEL, 1) != "", F.concat(got(LABEL, 1), got(LABEL, 2)))
-        .when(got(OPENING, 1) != "", F.concat(F.lit("^"), got(OPENING, 1)))
-        .when(got(PAIR, 1) != "", F.concat_ws(" ", got(PAIR, 1), got(PAIR, 2)))
-        .otherwise("")
-    )
+#: Code points of a block of a text, and of what stands before a span.
+BLOCK, LEFT = 1024, 48
+
+
+def blocks(text: Column) -> Column:
+    """The text in blocks, each with what stands before it, so that a place is reached without walking through the text."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / BLOCK).cast("int")), lambda k: F.substring(text, F.greatest(k * BLOCK - LEFT, F.lit(0)) + 1, F.lit(BLOCK + LEFT)))
+
+
+def context(parts: Column, start: Column) -> Column:
+    """The lexical pattern before a place in a text's blocks, lower-cased; empty if there is none."""
+    k = F.floor(start / BLOCK).cast("int")
+    at = start - F.greatest(k * BLOCK - LEFT, F.lit(0))
+    left = F.substring(F.get(parts, k), F.greatest(at - LEFT + 1, F.lit(1)), F.least(at, F.lit(LEFT)))
+    left = F.lower(F.concat(F.when(start <= LEFT, "\n").otherwise(""), left))
+
+    def pattern(x: Column) -> Column:
+        got = lambda p, k: F.regexp_extract(x, p, k)
+        return (
+            F.when(got(LABEL, 1) != "", F.concat(got(LABEL, 1), got(LABEL, 2)))
+            .when(got(OPENING, 1) != "", F.concat(F.lit("^"), got(OPENING, 1)))
+            .when(got(PAIR, 1) != "", F.concat_ws(" ", got(PAIR, 1), got(PAIR, 2)))
+            .otherwise("")
+        )
+
+    return bound(left, pattern)
 
 
 def pattern_uses(texts: DataFrame) -> DataFrame:
