@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadyframe.functions.geometry import area, box, iou, ratio
+from steadyframe.functions.quantiles import exact_quantiles
 
 
 def top_k(candidates: DataFrame, k: int, keys: list[str], ties: list[str]) -> DataFrame:
@@ -107,7 +108,8 @@ def error_type(score: Column, overlap: Column, threshold: float) -> Column:
 
 def area_edges(validation: DataFrame) -> DataFrame:
     """The .33 and .67 quantiles of the ground truth's area, one row."""
-    return validation.agg(F.percentile("gt_area_fraction", F.lit([0.33, 0.67])).alias("e")).select(F.col("e")[0].alias("e0"), F.col("e")[1].alias("e1"))
+    edges = exact_quantiles(validation, "gt_area_fraction", [0.33, 0.67])
+    return validation.sparkSession.createDataFrame([tuple(edges)], "e0 double, e1 double")
 
 
 def with_buckets(rows: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steadyframe.operators.detection import places, value_ranges
+from steadyframe.operators.detection import running_sums, value_ranges
 
 KEYS = ["case_id", "segment_id"]
 SCORES = ["salas_total", "osa_cns_total"]
@@ -46,10 +46,16 @@ def icc_2_1(ratings: DataFrame, score: str) -> DataFrame:
 
 
 def with_average_rank(rows: DataFrame, keys: list[str], c: str, name: str) -> DataFrame:
-    """Add the rank from 1 within the group; equal values share the mean of their ranks. Ranks go by ranges of values, not by one window a group."""
-    same = Window.partitionBy(*keys, c)
-    ranked = places(value_ranges(rows, keys, c), keys, c)
-    return ranked.withColumn(name, F.col("__r") + (F.count("*").over(same) - 1) / 2).drop("__r", "__n", "__b")
+    """Add the rank from 1 within the group; equal values share the mean of their ranks.
+
+    Values are counted first, so a value that many rows have is one row from then on; running counts go by ranges of distinct values, not by
+    one window a group. The ranks come back by a join with one row a value, whose common values Spark deals over tasks.
+    """
+    values = rows.groupBy(*keys, c).agg(F.count("*").alias("__k"))
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    upper = running_sums(value_ranges(values, keys, c), keys, c, {"__s": "__k"}).join(whole, keys)
+    ranks = upper.select(*keys, c, (F.col("__n") - F.col("__s") + (F.col("__k") + 1) / 2).alias(name))
+    return rows.join(ranks, [*keys, c])
 
 
 def pearson(x: str, y: str) -> Column:
@@ -110,24 +116,31 @@ def incomplete_beta(a: float, b: float, x: float, steps: int = 300) -> float:
     return front / (a * value)
 
 
-def bootstrap_plan(cases: list[str], repetitions: int = 2000, seed: int = 42) -> list[tuple[int, str, int]]:
-    """(rep_id, case_id, times): how often each repetition draws a case."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for rep in range(repetitions):
-        drawn, times = np.unique(rng.choice(len(cases), size=len(cases), replace=True), return_counts=True)
-        out += [(rep, cases[int(c)], int(t)) for c, t in zip(drawn, times)]
-    return out
-
+def drawn_cases(rows: DataFrame, repetitions: int = 2000, seed: int = 42) -> DataFrame:
+    """(feature, score, rep_id, case_id, times): how often each repetition draws a case of the pair (feature, score).
 
-def bootstrap_interval(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per (feature, score): the 2.5 and 97.5 percentiles of rho over the plan's repetitions, without constant ones.
-
-    A row drawn t times is a weight t: its average rank is that of t equal rows, so that a row comes once for each repetition that draws it.
-    The plan has a row for each repetition and case drawn; how it is joined is left to its size. NULL under three cases.
+    A repetition draws as many cases as the pair has rows of, with replacement. Draw k is the number that the first 15 hexadecimal digits of the MD5 of
+    ``seed|feature|score|rep_id|k`` make, modulo the number of cases, in the order of their ids: any task can make it, and no plan leaves the driver.
+    """
+    pair = ["feature", "score"]
+    cases = rows.select(*pair, "case_id").distinct()
+    numbered = cases.withColumn("at", F.row_number().over(Window.partitionBy(*pair).orderBy("case_id")) - 1)
+    sizes = cases.groupBy(*pair).agg(F.count("*").alias("n"))
+    reps = sizes.withColumn("rep_id", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)))).repartition(*pair, "rep_id")
+    draws = reps.withColumn("k", F.explode(F.expr("sequence(0, cast(n as int) - 1)")))
+    text = F.concat_ws("|", F.lit(str(seed)), *pair, F.col("rep_id").cast("string"), F.col("k").cast("string"))
+    at = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long") % F.col("n")
+    times = draws.select(*pair, "rep_id", at.cast("int").alias("at")).groupBy(*pair, "rep_id", "at").agg(F.count("*").alias("times"))
+    return times.join(numbered, [*pair, "at"]).select(*pair, "rep_id", "case_id", "times")
+
+
+def bootstrap_interval(rows: DataFrame, repetitions: int = 2000, seed: int = 42) -> DataFrame:
+    """Per (feature, score): the 2.5 and 97.5 percentiles of rho over repetitions that draw the pair's cases, without constant ones.
+
+    A row drawn t times is a weight t: its average rank is that of t equal rows, so that a row comes once for each repetition that draws it. NULL under three cases.
     """
     keys = ["feature", "score", "rep_id"]
-    drawn = rows.join(plan, "case_id")
+    drawn = rows.join(drawn_cases(rows, repetitions, seed), ["feature", "score", "case_id"])
     for v, r in (("x", "rx"), ("y", "ry")):
         upto = F.sum("times").over(Window.partitionBy(*keys).orderBy(v))
         same = F.sum("times").over(Window.partitionBy(*keys, v))

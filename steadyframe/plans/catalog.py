@@ -325,8 +325,7 @@ def spearman_p(s, d):
 
 @query
 def bootstrap_ci(s, d):
-    plan = ratings.bootstrap_plan([f"C{k}" for k in range(20)], 2000, 42)
-    return rounded(ratings.bootstrap_interval(correlation_rows(s, d), s.createDataFrame(plan, "rep_id int, case_id string, times int")))
+    return rounded(ratings.bootstrap_interval(correlation_rows(s, d), 2000, 42))
 
 
 @query

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from steadyframe.operators.audit import case_splits
 from steadyframe.operators.detection import thresholds
-from steadyframe.operators.ratings import bootstrap_plan
 from steadyframe.plans import fixtures
 
 SEG = "partition by case_id, segment_id"
@@ -277,10 +276,13 @@ def pearson(x: str, y: str, t: str = "1") -> str:
 
 
 def bootstrap() -> str:
-    plan = ", ".join(f"({r}, '{c}', {t})" for r, c, t in bootstrap_plan([f"C{k}" for k in range(20)], 2000, 42))
     rank = lambda v: f"sum(times) over (partition by feature, score, rep order by {v}) - (sum(times) over (partition by feature, score, rep, {v}) - 1) / 2"
-    return f"""{ctes(RATINGS, FEATURES, LONG)}, plan(rep, case_id, times) as (values {plan}),
-d as (select feature, score, rep, times, {rank('x')} as rx, {rank('y')} as ry from long join plan using (case_id)),
+    return f"""{ctes(RATINGS, FEATURES, LONG)},
+cases as (select feature, score, case_id, row_number() over (partition by feature, score order by case_id) - 1 as i, count(*) over (partition by feature, score) as n from (select distinct feature, score, case_id from long) a),
+draws as (select feature, score, rep, cast('0x' || substr(md5(concat_ws('|', '42', feature, score, rep, k)), 1, 15) as bigint) % n as i
+  from (select feature, score, n, rep, unnest(range(n)) as k from (select distinct feature, score, n from cases) b, range(2000) r(rep)) c),
+plan as (select feature, score, rep, case_id, count(*) as times from draws join cases using (feature, score, i) group by all),
+d as (select feature, score, rep, times, {rank('x')} as rx, {rank('y')} as ry from long join plan using (feature, score, case_id)),
 r as (select feature, score, rep, {pearson('rx', 'ry', 'times')} as rho from d group by all)
 select feature, score, {rd('quantile_cont(rho, 0.025)', 'ci95_low')}, {rd('quantile_cont(rho, 0.975)', 'ci95_high')}, count(rho) as repetitions from r group by feature, score"""
 
