@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,8 +27,3 @@ def track_stream(detections: DataFrame, least: float = 0.25, most_age: int = 15)
 
     wanted = detections.select("segment_id", "frame_idx", "det_id", *BOX)
     return wanted.groupBy("segment_id").applyInPandasWithState(run, OUT, "tracks string", "append", GroupStateTimeout.NoTimeout)
-
-
-def every_batch(stream: DataFrame, checkpoint: str, write: Any):
-    """Start the stream; ``write(batch, id)`` gets each micro-batch. For steps that need whole segments, such as path selection."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).start()
