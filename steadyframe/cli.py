@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steadyframe import settings
-from steadyframe.operators import audit, ratings, registry, rerank, temporal, trajectory
-from steadyframe.sources import files
+from steadyframe.operators import audit, detection, ratings, registry, rerank, temporal, trajectory
+from steadyframe.sources import files, mp4
 
 CANDIDATES = (
     "split string, image_id long, segment_id string, frame_idx long, candidate_rank int, class_id int, score double, "
@@ -58,10 +58,19 @@ def parser() -> argparse.ArgumentParser:
     command("temporal-evaluate", "--validation-candidates", "--test-candidates", "--output")
     learned = command("learned-rerank", "--validation-candidates", "--test-candidates", "--output")
     learned.add_argument("--trees", type=int, default=120)
+    command("analyze-errors", "--validation-candidates", "--test-candidates", "--output")
     register = command("register-experiment", "--name", "--architecture", "--checkpoint", "--registry")
     register.add_argument("--metrics", help="glob of JSON files of numbers, one a split")
     register.add_argument("--notes", default="")
-    command("report", "--metrics", "--output")
+    report = command("report", "--metrics", "--output")
+    report.add_argument("--evaluation", help="JSON file of the test split's detection metrics")
+    whole = command("run-all", "--output")
+    whole.add_argument("--tracks", nargs="+", required=True)
+    for name in ("--ratings", "--validation-candidates", "--test-candidates", "--evaluation"):
+        whole.add_argument(name)
+    for one in (report, whole):
+        one.add_argument("--smoke", action="store_true")
+        one.add_argument("--independent", action="store_true", help="test cases are not among those trained on")
     return out
 
 
@@ -76,8 +85,16 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> dict | str:
         case, segment = audit.identity(F.col("set_name"), "label", {k: tuple(v) for k, v in c["identity_overrides"]["labels"].items()})
         parsed = audit.parse_labels(lines.withColumns({"case_id": case, "segment_id": segment}), c["class_names"])
         sets = audit.label_sets(parsed.withColumn("path", F.col("set_name")))
-        put(parsed.where("error is not null"), os.path.join(a.output, "errors.parquet"))
-        return put(sets.withColumn("object_ids", F.to_json("object_ids")), os.path.join(a.output, "label_sets.parquet"))
+        found = mp4.probe_containers(files.discover(spark, c["video_dir"])) if os.path.isdir(c["video_dir"]) else spark.createDataFrame([], mp4.PROBE)
+        names = audit.identity(F.regexp_extract("path", r"([^/]+)$", 1), "video", {k: tuple(v) for k, v in c["identity_overrides"]["videos"].items()})
+        videos = found.withColumns({"case_id": names[0], "segment_id": names[1]})
+        errors = parsed.where("error is not null")
+        put(videos, os.path.join(a.output, "videos.parquet"))
+        put(errors, os.path.join(a.output, "errors.parquet"))
+        checked = put(audit.audit(sets, videos).withColumn("object_ids", F.to_json("object_ids")), os.path.join(a.output, "label_sets.parquet"))
+        summary = audit.audit_summary(spark.read.parquet(checked), videos, errors).first().asDict()
+        files.write_document(summary, os.path.join(a.output, "summary.json"))
+        return summary
     if a.command == "sample-anomalies":
         rows = table(spark, [a.manifest], MANIFEST).withColumns({"width": F.col("box_width"), "height": F.col("box_height")})
         return put(audit.anomalies(audit.scored(rows), a.samples_per_reason), a.output)
@@ -113,18 +130,36 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> dict | str:
         put(test.select(*[x for x in test.columns if x not in rerank.FEATURES]), os.path.join(a.output, "selected_test.parquet"))
         files.write_document(found := files.records(summary), os.path.join(a.output, "summary.json"))
         return {"threshold": threshold, "splits": found}
+    if a.command == "analyze-errors":
+        images, sweep, summary = detection.analyze_errors(*pair(), ["segment_id", "frame_idx"], ties)
+        put(images, os.path.join(a.output, "per_image.parquet"))
+        put(sweep, os.path.join(a.output, "validation_threshold_sweep.parquet"))
+        files.write_document(summary, os.path.join(a.output, "summary.json"))
+        return summary
+    if a.command == "run-all":
+        at = lambda name: os.path.join(a.output, name)
+        config = ["--config", a.config] if a.config else []
+        steps = [["audit", "--output", at("audit")]] if os.path.isdir(c["label_dir"]) else []
+        steps += [["metrics", "--tracks", *a.tracks, "--output", at("metrics.parquet")]]
+        steps += [["ratings", "--ratings", a.ratings, "--metrics", at("metrics.parquet"), "--output", at("correlations.parquet")]] if a.ratings else []
+        if a.validation_candidates and a.test_candidates:
+            both = ["--validation-candidates", a.validation_candidates, "--test-candidates", a.test_candidates]
+            steps += [[x, *both, "--output", at(x)] for x in ("analyze-errors", "temporal-evaluate", "learned-rerank")]
+        more = [*(["--evaluation", a.evaluation] if a.evaluation else []), *(["--smoke"] if a.smoke else []), *(["--independent"] if a.independent else [])]
+        steps += [["report", "--metrics", at("metrics.parquet"), "--output", at("report"), *more]]
+        return {step[0]: run(spark, [*config, *step]) for step in steps}
     if a.command == "register-experiment":
         found = files.records(files.read_json_by_name(spark, a.metrics, "map double, map_50 double, map_75 double")) if a.metrics else []
         metrics = {r["name"].removesuffix("_metrics"): {k: v for k, v in r.items() if k != "name" and v is not None} for r in found}
         new = registry.record(spark, a.name, a.architecture, a.checkpoint, metrics, a.config, a.notes)
-        path = f"{a.registry}/{new.first()['registered_at'].replace(':', '')}.parquet"  # each registration is a table of its own: the latest has all
-        older = sorted(x for x in os.listdir(a.registry) if x.endswith(".parquet")) if os.path.isdir(a.registry) else []
-        return put(registry.upsert(spark.read.parquet(f"{a.registry}/{older[-1]}"), new) if older else new, path)
+        return {"version": registry.register(spark, a.registry, new)}
     rows = files.records(spark.read.parquet(a.metrics)) if a.metrics.endswith(".parquet") else files.records(spark.read.option("header", True).csv(a.metrics))
+    gate = registry.quality_gate(files.read_json_by_name(spark, a.evaluation, "map double, map_50 double")).first() if a.evaluation else None
+    title = registry.report_title(a.smoke, bool(gate and gate["passes"]), a.independent)
     os.makedirs(a.output, exist_ok=True)
     for name, made in (("report.md", registry.report_markdown), ("report.html", registry.report_html)):
         with open(os.path.join(a.output, name), "w", encoding="utf-8") as f:
-            f.write(made("Camera metrics", {"Segments": rows}))
+            f.write(made(title, {"Segments": rows}))
     return a.output
 
 

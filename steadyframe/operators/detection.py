@@ -184,6 +184,33 @@ def worst_errors(rows: DataFrame, threshold: float, n: int, ties: list[str]) ->
     return rows.withColumn("error_priority", p).orderBy(F.desc(F.round("error_priority", 9)), *ties).limit(n)
 
 
+def analyze_errors(validation: DataFrame, test: DataFrame, keys: list[str], ties: list[str]) -> tuple[DataFrame, DataFrame, dict]:
+    """(images, sweep, summary) of candidates of two splits: every image with its error and buckets, the validation split's operating points, and what they come to.
+
+    The threshold is that of the best (f1, precision) over the validation images at an overlap of one half; edges of sizes are the validation split's too.
+    """
+    images = per_image_errors(validation, keys, ties).withColumn("split", F.lit("validation")).unionByName(per_image_errors(test, keys, ties).withColumn("split", F.lit("test")))
+    known = images.where("split = 'validation'")
+    sweep = threshold_sweep(known.select(F.col("top_score").alias("score"), F.col("top_iou").alias("iou")), thresholds(0.05, 0.95, 91))
+    best = best_row(sweep, ["f1", "precision"], "threshold").first()
+    if best is None:
+        raise ValueError("the analysis needs validation candidates")
+    at = best["threshold"]
+    images = with_buckets(images, area_edges(known)).withColumn("error_type", error_type(F.col("top_score"), F.col("top_iou"), at))
+    summary: dict = {"threshold_selected_on_validation": at}
+    for split in ("validation", "test"):
+        own = images.where(F.col("split") == split)
+        for name, level in (("iou50", 0.5), ("iou75", 0.75)):
+            row = with_rates(own.agg(*confusion(F.col("top_score"), F.col("top_iou"), F.lit(at), level))).first()
+            summary[f"{split}_top1_{name}"] = row.asDict()
+        summary[f"{split}_mean_top_iou"] = own.agg(F.avg("top_iou")).first()[0]
+    own = images.where("split = 'test'")
+    summary["test_error_counts"] = {r["error_type"]: r["n"] for r in own.groupBy("error_type").agg(F.count("*").alias("n")).collect()}
+    summary["test_group_diagnostics"] = [r.asDict() for r in group_diagnostics(own, at).orderBy("dimension", "bucket").collect()]
+    summary["test_ranking_failures"] = own.where("top_iou < 0.5 and best_iou_any >= 0.5").count()
+    return images, sweep, summary
+
+
 #: Areas of ground truth in square pixels, ends included, and the most detections an image counts with.
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 MOST = (1, 10, 100)
@@ -239,19 +266,21 @@ def mean_average_precision(candidates: DataFrame, image: list[str], ties: list[s
     inside = ranked.select("score", F.explode(within(area(box()))).alias("area")).groupBy("area", "score").agg(F.count("*").alias("all"))
     level = F.array(*[F.lit(t) for t in overlaps])
     inside = inside.select("area", F.explode(level).alias("t"), "score", F.lit(0).cast("long").alias("tp"), "all")
-    moved = found.select(*keys, "score", F.col("counted").cast("long").alias("tp"), (F.col("counted").cast("long") - F.array_contains(within(F.col("size")), F.col("area")).cast("long")).alias("all"))
-    by_score = inside.unionByName(moved).groupBy(*keys, "score").agg(F.sum("tp").alias("tp"), F.sum("all").alias("all"))
-    hits = found.withColumn("hit", F.col("counted"))
+    ranks = [F.lit(0).cast("long").alias(f"r{k}") for k in MOST]
+    inside = inside.select("*", *ranks)
+    hit = F.col("counted").cast("long")
+    moved = found.select(*keys, "score", hit.alias("tp"), (hit - F.array_contains(within(F.col("size")), F.col("area")).cast("long")).alias("all"), *[F.when(F.col("rank") <= k, hit).otherwise(0).alias(f"r{k}") for k in MOST])
+    sums = ("tp", "all", *[f"r{k}" for k in MOST])
+    by_score = inside.unionByName(moved).groupBy(*keys, "score").agg(*[F.sum(c).alias(c) for c in sums]).persist()  # read several times
     curve = running_sums(value_ranges(by_score, keys, "score"), keys, "score", {"ctp": "tp", "call": "all"}).where("tp > 0").join(F.broadcast(images), "area")
     at = falling_max(curve.withColumn("p", F.col("ctp") / F.col("call")), keys, "score", "p")
     # recall points r/100 after the recall that was reached before, up to this row's, read this row's precision
     point = lambda found: F.floor(found / F.col("n") * 100 + 1e-9)
     before = F.col("ctp") - F.col("tp")
     points = point(F.col("ctp")) - F.when(before > 0, point(before)).otherwise(-1)
-    ap = at.groupBy(*keys).agg((F.sum(points * F.col("p")) / 101).alias("ap"))
-    recall = hits.groupBy(*keys).agg(*[F.count_if(F.col("hit") & (F.col("rank") <= k)).alias(f"r{k}") for k in MOST])
+    found = at.groupBy(*keys).agg((F.sum(points * F.col("p")) / 101).alias("ap"), *[F.sum(f"r{k}").alias(f"r{k}") for k in MOST])
     grid_ = images.withColumn("t", F.explode(F.lit(overlaps)))
-    both = grid_.join(recall, keys, "left").join(ap, keys, "left").fillna(0)
+    both = grid_.join(found, keys, "left").fillna(0)
     of = lambda name, c: F.coalesce(F.avg(F.when(F.col("area") == name, c)), F.lit(-1.0))
     at_level = lambda t: F.coalesce(F.avg(F.when((F.col("area") == "all") & (F.col("t") == t), F.col("ap"))), F.lit(-1.0))
     return both.agg(

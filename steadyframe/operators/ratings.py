@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from steadyframe.functions.checks import require
 from steadyframe.operators.detection import running_sums, value_ranges
 
 KEYS = ["case_id", "segment_id"]
@@ -19,6 +20,7 @@ NOT_FEATURES = {"case_id", "segment_id", "frame_count", "duration_s"}
 
 
 def mean_ratings(ratings: DataFrame, scores: list[str] = SCORES) -> DataFrame:
+    require(ratings, {*KEYS, *scores}, "rating")
     return ratings.groupBy(*KEYS).agg(*[F.avg(s).alias(s) for s in scores])
 
 
@@ -27,6 +29,7 @@ def icc_2_1(ratings: DataFrame, score: str) -> DataFrame:
 
     NULL below two segments or raters, or without variance.
     """
+    require(ratings, {*KEYS, "rater_id", score}, "rating")
     cells = ratings.groupBy(*KEYS, "rater_id").agg(F.avg(score).alias("v")).where("v is not null")
     raters = cells.agg(F.countDistinct("rater_id").alias("k"))
     whole = cells.groupBy(*KEYS).agg(F.count("*").alias("c"), F.avg("v").alias("row")).crossJoin(F.broadcast(raters)).where("c = k")

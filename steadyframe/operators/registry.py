@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import html
+import json
+import re
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -22,6 +25,48 @@ def upsert(registry: DataFrame, records: DataFrame, key: str = "name") -> DataFr
     return registry.join(records.select(key), key, "left_anti").unionByName(records)
 
 
+def _hadoop(spark, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def latest(spark, folder: str) -> tuple[int, DataFrame | None]:
+    """(version, table) of a registry; (0, None) where there is none yet."""
+    store, path = _hadoop(spark, folder)
+    names = [s.getPath().getName() for s in store.listStatus(path)] if store.exists(path) else []
+    versions = sorted(int(n[1:-5]) for n in names if re.fullmatch(r"v\d{9}\.json", n))
+    if not versions:
+        return 0, None
+    table = spark.read.text(f"{folder}/v{versions[-1]:09d}.json").first()[0]
+    return versions[-1], spark.read.schema(RECORD).parquet(f"{folder}/{json.loads(table)['table']}")
+
+
+def register(spark, folder: str, new: DataFrame, tries: int = 20) -> int:
+    """Add experiments to the registry in a folder of any file system that Hadoop reads; gives the new version's number.
+
+    A version is a table and a numbered file that names it. The file is created only if no other writer has made that number; else the newer version is read and
+    the experiments are put into it, so that none of two writers' is lost. Readers see whole versions only.
+    """
+    store, path = _hadoop(spark, folder)
+    for _ in range(tries):
+        version, known = latest(spark, folder)
+        table = f"table-{uuid.uuid4().hex}.parquet"
+        (new if known is None else upsert(known, new)).coalesce(1).write.parquet(f"{folder}/{table}")
+        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v{version + 1:09d}.json")
+        try:
+            out = store.create(marker, False)
+        except Exception as e:  # py4j wraps what the file system throws
+            if not store.exists(marker):
+                raise
+            store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}"), True)
+            del e
+            continue
+        out.write(bytearray(json.dumps({"table": table}).encode()))
+        out.close()
+        return version + 1
+    raise RuntimeError(f"{tries} times another writer was first")
+
+
 def record(spark, name: str, architecture: str, checkpoint: str, metrics: dict[str, dict[str, float]], config: str | None = None, notes: str = "") -> DataFrame:
     """One experiment's row, with the time at which it was registered in UTC."""
     now = datetime.now(timezone.utc).isoformat()

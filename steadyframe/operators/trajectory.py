@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from steadyframe.functions.checks import require
 from steadyframe.functions.geometry import box, center, radial
 
 KEYS = ["case_id", "segment_id"]
@@ -25,13 +26,6 @@ class Settings:
     smoothing_window_seconds: float = 0.6
 
 
-def require(df: DataFrame, columns: set[str]) -> None:
-    """Raise at once if columns are missing."""
-    missing = sorted(columns - set(df.columns))
-    if missing:
-        raise ValueError(f"Missing columns: {missing}")
-
-
 def qualified(s: Settings) -> Column:
     """Class and confidence filter; missing values do not qualify."""
     return F.coalesce((F.col("class_name") == s.target_class) & (F.col("confidence") >= s.confidence_threshold), F.lit(False))
@@ -230,6 +224,7 @@ def segment_metrics(tracks: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def legacy_metrics(tracks: DataFrame, s: Settings = Settings(confidence_threshold=0.25), keys: tuple[str, ...] = ("case_id", "segment_id")) -> DataFrame:
     """The older metrics: best box per (frame, time), differences only between directly neighbouring detected rows."""
+    require(tracks, {*keys, "frame_idx", "time_s", "class_name", "confidence", "x1", "y1", "x2", "y2", "frame_width", "frame_height"}, "detection")
     best = F.struct("confidence", *box(), "frame_width", "frame_height")
     frames = tracks.groupBy(*keys, "frame_idx", "time_s").agg(F.max(F.when(qualified(s), best)).alias("b"))
     w = Window.partitionBy(*keys).orderBy("time_s", "frame_idx")

@@ -3,6 +3,7 @@
 import itertools
 import json
 import math
+import os
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from steadyframe import cli, settings
-from steadyframe.operators import audit, detection, registry, rerank, temporal
+from steadyframe.operators import audit, detection, ratings, registry, rerank, temporal, trajectory
 from steadyframe.sources import files
 
 CAND = "segment_id string, frame_idx long, candidate_rank int, score double, x1 double, y1 double, x2 double, y2 double, gt_x1 double, gt_y1 double, gt_x2 double, gt_y2 double"
@@ -275,8 +276,68 @@ def test_commands(spark, tmp_path):
     summary = cli.run(spark, ["temporal-evaluate", *pair, "--output", str(tmp_path / "t")])
     assert len(summary["splits"]) == 4 and spark.read.parquet(str(tmp_path / "t" / "trials.parquet")).count() == 144
     where = str(tmp_path / "registry")
-    for name in ("one", "two", "one"):
-        last = cli.run(spark, ["register-experiment", "--name", name, "--architecture", "a", "--checkpoint", "c", "--registry", where])
-    assert sorted(r.name for r in spark.read.parquet(last).collect()) == ["one", "two"]
+    for n, name in enumerate(("one", "two", "one"), 1):
+        assert cli.run(spark, ["register-experiment", "--name", name, "--architecture", "a", "--checkpoint", "c", "--registry", where]) == {"version": n}
+    version, known = registry.latest(spark, where)
+    assert version == 3 and sorted(r.name for r in known.collect()) == ["one", "two"]
     with pytest.raises(SystemExit):
         cli.run(spark, ["nothing"])
+
+
+def test_all_commands_in_a_row(spark, tmp_path):
+    """The audit joins labels with the containers' own figures, errors are analysed, and the report is named after what the results allow."""
+    (tmp_path / "data" / "label" / "VID001_Bseg").mkdir(parents=True)
+    (tmp_path / "data" / "video").mkdir()
+    for k in range(3):
+        (tmp_path / "data" / "label" / "VID001_Bseg" / f"{k:06d}.txt").write_text("0,7,0.5,0.5,0.2,0.1\n" if k else "0,0,1.5,0.5,0.2,0.1\n")
+    (tmp_path / "data" / "video" / "VID001_B_5fps.mp4").write_bytes(b"\0\0\0\x08free")
+    (tmp_path / "p.json").write_text("{}")
+    (tmp_path / "e.json").write_text('{"map": 0.3, "map_50": 0.6}')
+    tracks = "case_id,segment_id,video_id,frame_idx,time_s,track_id,class_id,class_name,confidence,x1,y1,x2,y2,frame_width,frame_height\n"
+    (tmp_path / "tracks.csv").write_text(tracks + "".join(f"C,S,V,{k},{k / 5},1,0,Harmonic0,0.9,{k},10,{k + 20},40,100,100\n" for k in range(12)))
+    for name, seed in (("val", 7), ("test", 8)):
+        candidates(spark, seed, 1, 4, 3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    pair = ["--validation-candidates", str(tmp_path / "val.parquet"), "--test-candidates", str(tmp_path / "test.parquet")]
+    said = cli.run(spark, ["--config", str(tmp_path / "p.json"), "run-all", "--tracks", str(tmp_path / "tracks.csv"), *pair, "--evaluation", str(tmp_path / "e.json"), "--independent", "--output", str(tmp_path / "out")])
+    assert list(said) == ["audit", "metrics", "analyze-errors", "temporal-evaluate", "learned-rerank", "report"]
+    assert said["audit"] == {"video_count": 1, "readable_video_count": 0, "label_file_count": 3, "ready_label_file_count": 0, "error_count": 1}
+    assert spark.read.parquet(str(tmp_path / "out" / "audit" / "label_sets.parquet")).first().status == "excluded_missing_or_corrupt_video"
+    errors = said["analyze-errors"]
+    assert sum(errors["test_error_counts"].values()) == 4 and sum(g["n"] for g in errors["test_group_diagnostics"]) == 12
+    images = spark.read.parquet(str(tmp_path / "out" / "analyze-errors" / "per_image.parquet")).collect()
+    tops = [(r.top_score, r.top_iou) for r in images if r.split == "validation"]
+    t = errors["threshold_selected_on_validation"]
+    assert len(tops) == 4 and errors["validation_top1_iou50"]["tp"] == sum(s >= t and i >= 0.5 for s, i in tops)
+    assert (tmp_path / "out" / "report" / "report.md").read_text().startswith("# Formal evaluation")
+
+
+def test_registry_loses_none_of_two_writers(spark, tmp_path, monkeypatch):
+    where = str(tmp_path / "registry")
+    new = lambda name: registry.record(spark, name, "a", "c", {"val": {"map": 0.5}})
+    assert registry.latest(spark, where) == (0, None)
+    registry.register(spark, where, new("first"))
+    read, late = registry.latest, []
+
+    def slow(session, folder):  # another writer commits between this one's read and its commit
+        found = read(session, folder)
+        if not late:
+            late.append(True)
+            registry.register(spark, where, new("other"))
+        return found
+
+    monkeypatch.setattr(registry, "latest", slow)
+    assert registry.register(spark, where, new("mine")) == 3
+    assert sorted(r.name for r in read(spark, where)[1].collect()) == ["first", "mine", "other"]
+    assert len([x for x in os.listdir(where) if x.startswith("table-")]) == 3
+
+
+def test_missing_columns_are_named(spark):
+    df = spark.createDataFrame([("a", 1)], "segment_id string, frame_idx long")
+    for call in (
+        lambda: temporal.select_paths(df, [temporal.Weights()], ["k"]),
+        lambda: trajectory.legacy_metrics(df),
+        lambda: ratings.icc_2_1(df, "salas_total"),
+        lambda: ratings.mean_ratings(df),
+    ):
+        with pytest.raises(ValueError, match="Missing .*columns"):
+            call()
