@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE: ContextVar[list | None] = ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def tables_made() -> Iterator[list[DataFrame]]:
+    """The tables that ``materialize`` writes inside, for ``release`` when a later table has taken their place; otherwise they stay."""
+    made: list[DataFrame] = []
+    before = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at a table that outlives executors."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
+    if (made := _MADE.get()) is not None:
+        made.append(out)
     return out
 
 

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from steadyframe.llm.common import materialize, pieces, release, small, trim
+from steadyframe.llm.common import materialize, pieces, small, trim
 
 #: Segments of a vector at each level, coarse to fine; vectors are padded with zeros to a multiple of the last.
 LEVELS = (1, 4, 16, 32)
