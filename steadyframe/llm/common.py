@@ -77,10 +77,10 @@ def small(df: DataFrame, more: int = 0) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str, salts: int = 32) -> DataFrame:
-    """Join with a ``right`` of one row a key, however many rows of ``left`` share a key: a small right side is broadcast, a larger one is
-    repeated ``salts`` times and the left rows are dealt over the copies."""
-    hinted = small(right)
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str, salts: int = 32, size: int | None = None) -> DataFrame:
+    """Join with a ``right`` of few rows a key, however many rows of ``left`` share a key: a small right side is broadcast, a larger one is
+    repeated ``salts`` times and the left rows are dealt over the copies. ``size`` is the right side's bytes where they were measured."""
+    hinted = small(right) if size is None else F.broadcast(right) if size <= BROADCAST_BYTES else right
     if hinted is not right:
         return left.join(hinted, on, how)
     dealt = left.withColumn("salt_", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))

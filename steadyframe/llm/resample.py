@@ -59,19 +59,21 @@ def resample(
     text_col: str = "text",
     fraction: float = 0.5,
     target_rows: int = 20_000,
-    temperature: float = 0.02,
+    temperature: float = 1.0,
     seed: int = 0,
     keep_text: bool = True,
+    per_token: bool = False,
 ) -> DataFrame:
     """Add log_weight, gumbel_key and selected to ``docs``.
 
     Two bag-of-hashed-n-grams models are made: of all texts, and of those whose ids ``targets`` (one column) has, a
-    sample of about ``target_rows`` by a hash if there are more. ``log_weight`` is the log ratio a token of the
-    text under the two; ``gumbel_key`` is log_weight / temperature plus Gumbel noise that is a function
-    of id, text and seed. The ceil(fraction * rows) largest keys are selected, and with them rows whose key equals the last.
-    Texts without tokens (null, empty) have weight minus infinity and are never selected. Without targets all weights are 0. ``keep_text=False`` leaves the texts
-    out of the table that is written on the way. Input columns of
-    these names are replaced.
+    sample of about ``target_rows`` by a hash if there are more. ``log_weight`` is the log of the importance weight, the sum of the
+    log ratios of the text's n-grams under the two; ``gumbel_key`` is log_weight / temperature plus Gumbel noise that is a function
+    of id, text and seed, so that at temperature 1 rows are drawn without replacement by their importance weights. ``per_token`` takes the mean in place of the sum: a form
+    that length does not decide, tempered by as much as a text is long. The ceil(fraction * rows) largest keys are selected, and with them rows whose key equals the last.
+    Repeated rows have equal noise and are selected together. Texts are read whole, however long. Texts without tokens (null, empty) have weight
+    minus infinity and are never selected. Without targets all weights are 0; an empty table gives an empty one. ``keep_text=False`` leaves the texts
+    out of the table that is written on the way. Input columns of these names are replaced.
     """
     ids = targets.select(F.col(targets.columns[0]).alias("__id")).where("__id is not null").distinct()
     n = ids.count()
@@ -90,7 +92,7 @@ def resample(
             for text in batch.column(text_col):
                 c = bucket_counts(text.as_py(), hashes)
                 total = int(c.sum())
-                out.append(float(c @ held.value) / total if total else float("-inf"))
+                out.append(float(c @ held.value) / (total if per_token else 1) if total else float("-inf"))
             return {"log_weight": out}
 
         return step

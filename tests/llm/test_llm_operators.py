@@ -1,5 +1,6 @@
 """Brute-force comparisons and edge cases of the training-data operators."""
 
+import math
 import random
 import re
 import time
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from steadyframe.llm import decontam, iblt, langid, linededup, packing, pii, resample, simhash, urlfilter
+from steadyframe.llm import common, decontam, iblt, langid, linededup, packing, pii, resample, simhash, urlfilter
 from steadyframe.llm.common import connected_components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -169,7 +170,7 @@ def test_resampling_prefers_the_target(spark):
     rows = [(k, words(rng, 50, 30) if k % 2 else " ".join(f"junk{rng.randrange(30)}!!" for _ in range(50))) for k in range(200)] + [(900, None), (901, "")]
     good = spark.createDataFrame([(k,) for k in range(1, 60, 2)], "doc_id long")
     df = frame(spark, rows)
-    got = resample.resample(df, good, fraction=0.4).collect()
+    got = resample.resample(df, good, fraction=0.4, temperature=0.02, per_token=True).collect()
     chosen = [r for r in got if r.selected]
     assert len(chosen) == 81 and sum(r.doc_id % 2 for r in chosen) >= 70
     keys = sorted((r.gumbel_key for r in got), reverse=True)
@@ -178,10 +179,21 @@ def test_resampling_prefers_the_target(spark):
     assert [r.selected for r in resample.resample(frame(spark, []), good).collect()] == []
 
 
-def test_resampling_matches_brute_force(spark):
-    """Models, weights, noise and selection by plain dictionaries; with repeated rows, a very long text and clashing names."""
-    import math
+def test_resampling_draws_by_importance_weight(spark):
+    """Of 4,000 sets of four texts, the one with the greatest key is each as often as its share of the weights says."""
+    df = spark.range(16_000).select(F.col("id").alias("doc_id"), F.element_at(F.array(*[F.lit(t) for t in ("a b", "a", "b", "c")]), (F.col("id") % 4 + 1).cast("int")).alias("text"))
+    got = resample.resample(df, spark.range(0, 16_000, 8), fraction=0.25).collect()
+    weights = {r.doc_id % 4: math.exp(r.log_weight) for r in got}
+    sets = defaultdict(list)
+    for r in got:
+        sets[r.doc_id // 4].append((r.gumbel_key, r.doc_id % 4))
+    drawn, total = Counter(max(x)[1] for x in sets.values()), sum(weights.values())
+    assert len(set(weights.values())) > 1 and all(abs(drawn[k] / 4000 - v / total) < 0.03 for k, v in weights.items())
+
 
+@pytest.mark.parametrize("mean", [False, True])
+def test_resampling_matches_brute_force(spark, mean):
+    """Models, weights, noise and selection by plain dictionaries; with repeated rows, a very long text and clashing names."""
     rng = random.Random(33)
     rows = [(k, words(rng, rng.randint(1, 30), 60) + rng.choice(["", "!", " a-b"])) for k in range(80)] + ODD
     rows += [rows[3], rows[3], (950, "long text " * 20_000)]
@@ -200,15 +212,15 @@ def test_resampling_matches_brute_force(spark):
 
     everything, wanted = log_shares([t for _, t in rows]), log_shares([t for i, t in rows if (i,) in good and i is not None])
     df = frame(spark, rows).withColumn("selected", F.lit("clash"))
-    got = resample.resample(df, spark.createDataFrame(good, "i long"), fraction=0.5, seed=4).withColumn("u", F.expr("(pmod(xxhash64(cast(doc_id as string), text, 4), 9007199254740992) + 0.5) / 9007199254740992.0")).collect()
+    got = resample.resample(df, spark.createDataFrame(good, "i long"), fraction=0.5, seed=4, per_token=mean, temperature=0.02 if mean else 1.0).withColumn("u", F.expr("(pmod(xxhash64(cast(doc_id as string), text, 4), 9007199254740992) + 0.5) / 9007199254740992.0")).collect()
     assert len(got) == len(rows)
     keys = []
     for r in got:
         c = counts(r.text)
         n = sum(c.values())
-        want = sum(k * (wanted(b) - everything(b)) for b, k in c.items()) / n if n else float("-inf")
-        assert r.log_weight == want or abs(r.log_weight - want) < 1e-9
-        key = want / 0.02 - math.log(-math.log(r.u))
+        want = sum(k * (wanted(b) - everything(b)) for b, k in c.items()) / (n if mean else 1) if n else float("-inf")
+        assert r.log_weight == want or abs(r.log_weight - want) < 1e-9 * max(1, abs(want))
+        key = want / (0.02 if mean else 1.0) - math.log(-math.log(r.u))
         assert key == r.gumbel_key or abs(key - r.gumbel_key) < 1e-6
         keys.append(r.gumbel_key)
     least = sorted(keys, reverse=True)[-(-len(rows) // 2) - 1]
@@ -621,5 +633,44 @@ def test_url_rules(spark):
     assert got == {**urls, None: ("", "", None, "allow")}
 
 
+def test_rule_tables_match_brute_force(spark, monkeypatch):
+    """Random site rules and pattern rules with exceptions, from tables, by broadcast and by salted joins, against every rule on every URL."""
+    rng = random.Random(17)
+    label = lambda: rng.choice(["a", "b", "ab", "ads", "x1"])
+    hosts = [".".join(label() for _ in range(rng.randint(1, 4))) for _ in range(30)]
+    urls = [f"http://{h}/" + "/".join(label() for _ in range(rng.randint(0, 3))) + rng.choice(["", "?q=ads", "#a", ".js"]) for h in hosts for _ in range(10)] + ["", "x", "http:///a", "http://" + "a." * 5000 + "b/ab"]
+    sites = [(rng.choice(["block", "allow"]), h, p) for h in {".".join(label() for _ in range(rng.randint(1, 2))) for _ in range(5)} for p in ("/ads", "/ab/a")] + [(None, "a", "/")]
+    pats = ["||ads.", "||ab.*/x1^", "/ads/", "*b?q=", "=ads^", "@@||x1.", "@@*.js", "/ab/ads.", "", "! a note", "@@", " /x1/ab^ ", None]
+    df = spark.createDataFrame([(k, u, "mine") for k, u in enumerate(urls + urls[:40] + [None])], "page_id long, url string, token string").withColumn("verdict", F.lit("clash"))
+
+    def want(url):
+        host, path = re.match(r"(?s)([^/?#]*)([^?#]*)", url.split("://", 1)[1]).groups() if url and "://" in url else ("", "")
+        fits = [(len(h + p), len(h), p, v, h + p) for v, h, p in sites if v and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        if fits:
+            return host, path, max(fits)[4], max(fits)[3]
+        hit = {p.strip().startswith("@@") for p in pats if p and p.strip() not in ("", "@@") and p[0] != "!" and re.search(urlfilter.rule_regex(p.strip().removeprefix("@@")), (url or "").lower()) and url is not None}
+        return host, path, None, "block" if hit == {False} else "allow"
+
+    tables = spark.createDataFrame(sites, "verdict string, host string, path string"), spark.createDataFrame([(p,) for p in pats], "pattern string")
+    for most in (32 << 20, 0):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+        got = urlfilter.filter_urls(df, site_rules=tables[0], pattern_rules=tables[1]).collect()
+        assert len(got) == len(urls) + 41 and all((r.host, r.path, r.rule, r.verdict) == want(r.url) and r.token == "mine" for r in got)
+        assert {r.verdict for r in got if r.rule is None} == {"allow", "block"} and any(r.rule for r in got)
+
+
+def test_hundred_thousand_url_rules(spark):
+    """Only rules filed under a URL's rarest token run: 50,000 site rules and 100,000 pattern rules, of which half are exceptions for shops."""
+    sites = spark.range(50_000).select(F.lit("block").alias("verdict"), F.format_string("s%d.example", "id").alias("host"), F.lit("/bad/").alias("path"))
+    pats = spark.range(100_000).select(F.when(F.col("id") % 2 == 0, F.format_string("||h%d.", "id")).otherwise(F.format_string("@@||h%d.shop^", F.col("id") - 1)))
+    df = spark.range(20_000).select("id", F.format_string("https://%s%d.%s/%s/", F.element_at(F.array(F.lit("h"), F.lit("s")), (F.col("id") % 2 + 1).cast("int")), "id", F.when(F.col("id") % 3 == 0, "shop").otherwise("example"), F.when(F.col("id") % 5 == 0, "bad").otherwise("ok")).alias("url"))
+    got = {r.id: r.verdict for r in urlfilter.filter_urls(df, site_rules=sites, pattern_rules=pats).collect()}
+    assert len(got) == 20_000
+    for k, v in got.items():
+        shop, bad = k % 3 == 0, k % 5 == 0
+        assert v == ("block" if (k % 2 == 1 and not shop and bad) or (k % 2 == 0 and not shop) else "allow")
+    assert {r.verdict for r in urlfilter.filter_urls(df, site_rules=[], pattern_rules=[]).collect()} == {"allow"}
+
+
 def test_rule_tokens_are_whole():
     assert urlfilter.rule_tokens("||spam-farm.") == ["spam", "farm"] and urlfilter.rule_tokens("utm_source=spam^") == ["source", "spam"] and urlfilter.rule_tokens("*ab*") == []
