@@ -80,16 +80,19 @@ def add_step(frames: DataFrame, s: Settings) -> DataFrame:
 
 
 def interpolate(frames: DataFrame, *columns: str) -> DataFrame:
-    """Fill inner gaps linearly in the row number, at most ``max_gap`` rows of each; adds ``<c>_i``."""
+    """Fill inner gaps linearly in the row number, at most ``max_gap`` rows of each; adds ``<c>_i``. Two windows serve all columns."""
     before = in_order().rowsBetween(Window.unboundedPreceding, 0)
     after = segment().orderBy(F.desc("frame_idx")).rowsBetween(Window.unboundedPreceding, 0)  # backwards, as frames that only grow cost linear time
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("rn").alias("i"), F.col(c).alias("v"))) for c in columns}
+    out = frames.withColumns({f"next_{c}": F.last(v, ignorenulls=True).over(after) for c, v in known.items()})
+    out = out.withColumns({f"last_{c}": F.last(v, ignorenulls=True).over(before) for c, v in known.items()})
+    filled = {}
     for c in columns:
-        known = F.when(F.col(c).isNotNull(), F.struct(F.col("rn").alias("i"), F.col(c).alias("v")))
-        frames = frames.withColumn("p", F.last(known, ignorenulls=True).over(before)).withColumn("n", F.last(known, ignorenulls=True).over(after))
-        inside = F.col("p").isNotNull() & F.col("n").isNotNull() & (F.col("rn") - F.col("p.i") <= F.col("max_gap"))
-        line = F.col("p.v") + (F.col("n.v") - F.col("p.v")) * (F.col("rn") - F.col("p.i")) / (F.col("n.i") - F.col("p.i"))
-        frames = frames.withColumn(f"{c}_i", F.when(F.col(c).isNotNull(), F.col(c)).when(inside, line)).drop("p", "n")
-    return frames
+        p, n = F.col(f"last_{c}"), F.col(f"next_{c}")
+        inside = p.isNotNull() & n.isNotNull() & (F.col("rn") - p["i"] <= F.col("max_gap"))
+        line = p["v"] + (n["v"] - p["v"]) * (F.col("rn") - p["i"]) / (n["i"] - p["i"])
+        filled[f"{c}_i"] = F.when(F.col(c).isNotNull(), F.col(c)).when(inside, line)
+    return out.withColumns(filled).drop(*[f"{side}_{c}" for c in columns for side in ("last", "next")])
 
 
 def parabola_weight(m: Column, j: Column, t: Column) -> Column:
@@ -108,48 +111,45 @@ def smooth(frames: DataFrame, *columns: str) -> DataFrame:
     widths take the end windows' parabola. A row's neighbours come from a range window over its place divided by the half width, which
     makes one bound fit every segment's width; no job runs before the query does.
     """
+    so_far = in_order().rowsBetween(Window.unboundedPreceding, 0)
+    odd = F.when(F.col("window") % 2 == 1, F.col("window")).otherwise(F.col("window") + 1)
+    out = frames.withColumns({f"k_{c}": F.count(c).over(so_far) - 1 for c in columns}).withColumns({f"nv_{c}": F.count(c).over(segment()) for c in columns})
     for c in columns:
-        has = F.col(c).isNotNull()
-        w = Window.partitionBy(*KEYS, has).orderBy("frame_idx")
-        odd = F.when(F.col("window") % 2 == 1, F.col("window")).otherwise(F.col("window") + 1)
-        out = (
-            frames.withColumn("k", F.row_number().over(w) - 1)
-            .withColumn("nv", F.count("*").over(Window.partitionBy(*KEYS, has)))
-            .withColumn("w", F.least(odd.cast("int"), (F.floor(F.col("nv") / 2) * 2 - 1).cast("int")))
-            .withColumn("m", F.greatest(F.floor(F.col("w") / 2), F.lit(2)).cast("int"))
-            .withColumn("at", F.floor(F.col("k") * 1_000_000 / F.col("m")))
-        )
-        near = Window.partitionBy(*KEYS, has).orderBy("at").rangeBetween(-2_000_002, 2_000_002)  # two half widths, and what rounding takes
-        out = out.withColumn("near", F.collect_list(c).over(near))
-        k, m = F.col("k"), F.col("m")
-        middle = F.least(F.greatest(k, m), F.col("nv") - 1 - m)  # of the window that the row's parabola is fitted to
+        k, nv = F.col(f"k_{c}"), F.col(f"nv_{c}")
+        width = F.least(odd.cast("int"), (F.floor(nv / 2) * 2 - 1).cast("int"))
+        out = out.withColumn("w", width).withColumn("m", F.greatest(F.floor(F.col("w") / 2), F.lit(2)).cast("int"))
+        near = segment().orderBy("at").rangeBetween(-2_000_002, 2_000_002)  # two half widths, and what rounding takes
+        m = F.col("m")
+        # rows without a value have the place of the last one, and lists leave them out
+        out = out.withColumn("at", F.floor(k * 1_000_000 / m)).withColumn("near", F.collect_list(c).over(near))
+        middle = F.least(F.greatest(k, m), nv - 1 - m)  # of the window that the row's parabola is fitted to
         own = F.slice("near", F.greatest(middle - m - F.greatest(k - 2 * m, F.lit(0)) + 1, F.lit(1)).cast("int"), 2 * m + 1)
         parts = F.transform(own, lambda v, i: v * parabola_weight(m, i - m, k - middle))
         value = F.aggregate(parts, F.lit(0.0), lambda total, v: total + v)
-        on = has & (F.col("nv") >= 5) & (F.col("w") >= 5)
-        frames = out.withColumn(f"{c}_s", F.when(on, value).otherwise(F.col(c))).drop("k", "nv", "w", "m", "at", "near")
-    return frames
+        on = F.col(c).isNotNull() & (nv >= 5) & (F.col("w") >= 5)
+        out = out.withColumn(f"{c}_s", F.when(on, value).otherwise(F.col(c))).drop(f"k_{c}", f"nv_{c}", "w", "m", "at", "near")
+    return out
 
 
 def differentiate(frames: DataFrame, pairs: dict[str, str]) -> DataFrame:
     """Add derivatives over time (new name: column) within runs of rows that have the value; no run is bridged.
 
     Second-order differences for uneven steps inside, one-sided at the ends; runs of one row or with a step that is not
-    positive have none.
+    positive have none. One window in order serves all columns, as a neighbour without value is none.
     """
+    w, before = in_order(), in_order().rowsBetween(Window.unboundedPreceding, 0)
+    t = F.col("time_s")
+    place = {c: F.when(F.col(c).isNotNull() & t.isNotNull(), F.struct(t.alias("t"), F.col(c).alias("v"))) for c in pairs.values()}
+    out = frames.withColumns({f"{side}_{c}": f(v).over(w) for c, v in place.items() for side, f in (("last", F.lag), ("next", F.lead))} | {f"run_{c}": F.count_if(v.isNull()).over(before) for c, v in place.items()})
+    slopes = {}
     for name, c in pairs.items():
-        has = (F.col(c).isNotNull() & F.col("time_s").isNotNull()).alias("has")
-        out = frames.withColumn("has", has).withColumn("run", F.row_number().over(in_order()) - F.row_number().over(Window.partitionBy(*KEYS, "has").orderBy("frame_idx")))
-        w = Window.partitionBy(*KEYS, "has", "run").orderBy("frame_idx")
-        whole = Window.partitionBy(*KEYS, "has", "run")
-        v, t = F.col(c), F.col("time_s")
-        out = out.withColumns({"a": t - F.lag(t).over(w), "b": F.lead(t).over(w) - t, "f0": v - F.lag(v).over(w), "f1": F.lead(v).over(w) - v})
-        out = out.withColumn("ok", F.min(F.coalesce(F.col("a") > 0, F.lit(True))).over(whole))
-        a, b, f0, f1 = (F.col(x) for x in ("a", "b", "f0", "f1"))
+        has, v = F.col(c).isNotNull() & t.isNotNull(), F.col(c)
+        a, b, f0, f1 = t - F.col(f"last_{c}.t"), F.col(f"next_{c}.t") - t, v - F.col(f"last_{c}.v"), F.col(f"next_{c}.v") - v
+        # of rows of a run, the one without value that begins it has no step of its own
+        out = out.withColumn(f"ok_{c}", F.min(F.coalesce(~has | (a > 0), F.lit(True))).over(Window.partitionBy(*KEYS, f"run_{c}")))
         inner = (a * a * f1 + b * b * f0) / (a * b * (a + b))
-        slope = F.when(~F.col("has") | ~F.col("ok"), None).when(a.isNotNull() & b.isNotNull(), inner).when(b.isNotNull(), f1 / b).when(a.isNotNull(), f0 / a)
-        frames = out.withColumn(name, slope).drop("has", "run", "a", "b", "f0", "f1", "ok")
-    return frames
+        slopes[name] = F.when(~has | ~F.col(f"ok_{c}"), None).when(a.isNotNull() & b.isNotNull(), inner).when(b.isNotNull(), f1 / b).when(a.isNotNull(), f0 / a)
+    return out.withColumns(slopes).drop(*[f"{x}_{c}" for c in pairs.values() for x in ("last", "next", "run", "ok")])
 
 
 def kinematics(tracks: DataFrame, s: Settings) -> DataFrame:
@@ -183,16 +183,17 @@ def recenter_latencies(frames: DataFrame, radius: float) -> DataFrame:
 def segment_metrics(tracks: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The camera metrics of each segment, one row each; missing values are NULL."""
     frames = kinematics(tracks, s)
-    # what aggregates need of their neighbours is marked by windows first, so that no join of aggregates follows
-    marks = frames.withColumns({f"run_{f}": F.row_number().over(in_order()) - F.row_number().over(Window.partitionBy(*KEYS, f).orderBy("frame_idx")) for f in ("any_detected", "detected")})
+    # what aggregates need of their neighbours is marked by windows in order first, so that no join of aggregates and no other sort follows
+    before, earlier = in_order().rowsBetween(Window.unboundedPreceding, 0), in_order().rowsBetween(Window.unboundedPreceding, -1)
+    has, outside = F.col("radial").isNotNull(), F.col("radial") > s.center_radius
+    marks = {"was_outside": F.last(outside, ignorenulls=True).over(earlier)}
     for f in ("any_detected", "detected"):
-        own = Window.partitionBy(*KEYS, f, f"run_{f}")
-        marks = marks.withColumn(f"len_{f}", F.when(~F.col(f), F.count("*").over(own))).withColumn(f"first_{f}", ~F.col(f) & (F.col("frame_idx") == F.min("frame_idx").over(own)))
-    has = F.col("radial").isNotNull()
-    known = Window.partitionBy(*KEYS, has).orderBy("frame_idx")
-    outside = F.col("radial") > s.center_radius
-    marks = marks.withColumn("change", has & F.coalesce(F.lag(outside).over(known) != outside, F.lit(True)))
-    marks = marks.withColumn("latency", F.when(F.col("change") & outside, F.lead("time_s").over(Window.partitionBy(*KEYS, "change").orderBy("frame_idx")) - F.col("time_s")))
+        marks[f"first_{f}"] = ~F.col(f) & F.coalesce(F.lag(f).over(in_order()), F.lit(True))
+        marks[f"len_{f}"] = F.when(~F.col(f), F.col("rn") - F.coalesce(F.max(F.when(F.col(f), F.col("rn"))).over(before), F.lit(-1)))
+    marks = frames.withColumns(marks).withColumn("change", has & F.coalesce(F.col("was_outside") != outside, F.lit(True)))
+    # sides alternate, so the change before a return is the row on which the view went outside
+    changed = F.last(F.when(F.col("change"), F.struct("time_s")), ignorenulls=True).over(earlier)
+    marks = marks.withColumn("latency", F.when(F.col("change") & ~outside, F.col("time_s") - changed["time_s"]))
     share = lambda c: F.avg(c.cast("double"))
     out_of_view = (F.col("x_s") < 0) | (F.col("x_s") > 1) | (F.col("y_s") < 0) | (F.col("y_s") > 1)
     return (
