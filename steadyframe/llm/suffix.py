@@ -7,14 +7,15 @@ with a common prefix as long as the run are one context. The refinement is that
 sorted again; it goes by successive eight-byte words of the text and not by doubled ranks, because a sparse array has no rank
 for the place where a suffix goes on. Shards send their contexts, sorted
 by anchor, to the task of the anchor's range, which sorts them together by (anchor, hash), bounds equal anchors by binary search, and answers with each context's smallest
-document id. Only anchors that meet in different contexts send single windows in a second merge. Very common passages are one
+document id. Only anchors that meet in different contexts go to a second merge, which gets these contexts' bytes and makes the single windows
+itself; of equal contexts only the shards with the smallest id send theirs, as all other documents lose them whole. Very common passages are one
 context a shard, however often they occur.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from steadyframe.llm.common import materialize
 
 SHARD = 2 << 20  # bytes of text; one longer document is a shard of its own
-ANCHOR = 16
+#: Longer anchors meet less by chance, but make more contexts. On 0.51 GB: 16 bytes, 43.8 M contexts, and 149 M windows whose anchor others have; 20 bytes,
+#: 49.2 M and 85 M; 24 bytes, 56.1 M and 70 M.
+ANCHOR = 20
 LONGEST_RUN = 64
 ENTRIES = 500_000  # merged at a time
 BROADCAST_BYTES = 32 << 20
@@ -131,7 +134,8 @@ def contexts(ids: list, sizes: np.ndarray, raw: bytes, window: int) -> Contexts
     if n < window:
         return None
     h = Hashed.of(buf)
-    least = sliding_min(h.fixed(ANCHOR), window - ANCHOR + 1)[: n - window + 1]
+    wide = min(ANCHOR, window - 8)
+    least = sliding_min(h.fixed(wide), window - wide + 1)[: n - window + 1]
     doc = np.repeat(np.arange(len(sizes)), sizes)[: n - window + 1]
     valid = np.arange(n - window + 1) + window <= ends[doc]
     new = np.ones(len(least), dtype=bool)
@@ -162,40 +166,11 @@ def contexts(ids: list, sizes: np.ndarray, raw: bytes, window: int) -> Contexts
     return Contexts(raw, ends, keys, h, lo, hi - lo + 1, doc[lo], place[of], anchor[rank], hashes[rank], least_id[rank], first[rank])
 
 
-def windows_of(c: Contexts, runs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all windows of these runs, and the runs' numbers."""
-    number = np.repeat(np.arange(len(runs)), c.count[runs])
-    begin = np.concatenate(([0], np.cumsum(c.count[runs])[:-1])).astype(np.int64)
-    return c.lo[runs][number] + np.arange(len(number)) - begin[number], number
-
-
-@dataclass
-class Singles:
-    """Distinct windows of the contexts whose anchors meet in several contexts, sorted by (anchor, hash)."""
-
-    places: np.ndarray
-    of: np.ndarray
-    anchor: np.ndarray
-    hash: np.ndarray
-    least: np.ndarray
-    owner: np.ndarray  # smallest id of each place's context
-
-
-def singles(c: Contexts, several: np.ndarray, window: int) -> Singles:
-    chosen = np.flatnonzero(several)
-    places, number = windows_of(c, c.first[chosen], window)
-    anchor, owner = c.anchor[chosen][number], c.least[chosen][number]
-    hashes = mix(c.hashed.at(places, places + window) + U(7))
-    rank = np.lexsort((hashes, anchor))
-    a, h = anchor[rank], hashes[rank]
-    new = np.ones(len(a), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (h[1:] != h[:-1])
-    number_ = np.cumsum(new) - 1
-    of = np.empty(len(rank), dtype=np.int64)
-    of[rank] = number_
-    least = np.full(int(new.sum()), NONE)
-    np.minimum.at(least, number_, owner[rank])
-    return Singles(places, of, a[new], h[new], least, owner)
+def windows_of(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``count`` places in a row from each of ``begin``, and the number in ``begin`` of each."""
+    number = np.repeat(np.arange(len(begin)), count)
+    before = np.concatenate(([0], np.cumsum(count)[:-1])).astype(np.int64)
+    return begin[number] + np.arange(len(number)) - before[number], number
 
 
 # --- what goes between shards and merging tasks: sorted (anchor, hash, least id): 40 bits of the anchor within a range, all 64 of the hash
@@ -211,22 +186,30 @@ def unfive(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def sent(shard: int, anchor: np.ndarray, hashes: np.ndarray, least: np.ndarray, ranges: int) -> pa.RecordBatch:
-    """Rows (range, shard, n, keys, ids), one for each range of anchors."""
+def sent(shard: int, anchor: np.ndarray, least: np.ndarray, ranges: int, more: Callable[[int, int], bytes]) -> pa.RecordBatch:
+    """Rows (range, shard, n, keys, ids), one for each range of anchors; ``more`` gives what follows the anchors in the keys of entries a to b."""
     pack = zstandard.ZstdCompressor(level=1).compress
     bounds = np.searchsorted(anchor, [U((r << 64) // ranges) for r in range(1, ranges)]) if ranges > 1 else np.zeros(0, dtype=np.int64)
     cuts = [0, *bounds.tolist(), len(anchor)]
-    rows = [(r, shard, b - a, five(anchor[a:b] >> U(16)) + hashes[a:b].astype("<u8").tobytes(), pack(least[a:b].tobytes())) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    rows = [(r, shard, b - a, five(anchor[a:b] >> U(16)) + more(a, b), pack(least[a:b].tobytes())) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names=["range", "shard", "n", "keys", "ids"])
 
 
+def sent_texts(shard: int, c: Contexts, chosen: np.ndarray, window: int, ranges: int) -> pa.RecordBatch:
+    """As ``sent``, with the bytes of the chosen contexts: how many windows each has, then their bytes, compressed."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    buf = np.frombuffer(c.raw, dtype=np.uint8)
+    begin, count = c.lo[c.first[chosen]], c.count[c.first[chosen]]
+    return sent(shard, c.anchor[chosen], c.least[chosen], ranges, lambda a, b: count[a:b].astype(np.uint8).tobytes() + pack(buf[windows_of(begin[a:b], count[a:b] + window - 1)[0]].tobytes()))
+
+
 SENT = "range int, shard long, n long, keys binary, ids binary"
 ANSWER = "shard long, range int, flags binary, ids binary"
 
 
-def merged(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per range: the smallest id of each (anchor, hash) over all shards, and whether the anchor has others of other documents."""
+def merged(rows: Iterator[pa.RecordBatch], answers: Callable[[list[tuple]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The answers of each range to its rows of all shards."""
     held: list[tuple] = []
     for batch in rows:
         for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
@@ -239,7 +222,7 @@ def merged(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def answers(rows: list[tuple]) -> pa.RecordBatch:
-    """The answers of one range; anchors are taken in parts of about ``ENTRIES`` entries, so that many entries cost time, not memory."""
+    """The smallest id of each (anchor, hash) of a range over all shards, and whether the anchor has others of other documents; anchors are taken in parts of about ``ENTRIES`` entries, so that many entries cost time, not memory."""
     pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
     anchors = lambda r: unfive(r[3][: 5 * r[2]])
     parts = max(1, -(-sum(r[2] for r in rows) // ENTRIES))
@@ -282,16 +265,58 @@ def merge(anchor: np.ndarray, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.n
     return least[number], several[number]
 
 
+def window_answers(rows: list[tuple], window: int) -> pa.RecordBatch:
+    """Of each window of a range's contexts: whether one equal to it is in a context of a smaller id. Anchors are taken in order, about ``ENTRIES`` windows at a time."""
+    pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+    anchor = np.concatenate([unfive(r[3][: 5 * r[2]]) for r in rows])
+    count = np.concatenate([np.frombuffer(r[3], dtype=np.uint8, count=r[2], offset=5 * r[2]) for r in rows]).astype(np.int64)
+    ids = np.concatenate([np.frombuffer(unpack(r[4]), dtype=np.int64) for r in rows])
+    text = np.frombuffer(b"".join(unpack(r[3][6 * r[2] :]) for r in rows), dtype=np.uint8)
+    ends = np.cumsum(count)
+    begin, place = np.cumsum(count + window - 1) - count - window + 1, ends - count
+    lower = np.zeros(int(ends[-1]), dtype=np.uint8)
+    order = np.argsort(anchor, kind="stable")
+    sizes, turn = np.cumsum(count[order]), np.flatnonzero(np.diff(anchor[order])) + 1
+    at = 0
+    while at < len(order):
+        stop = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + ENTRIES, "right"))
+        k = int(np.searchsorted(turn, stop, "right"))
+        end = int(turn[k - 1]) if k and turn[k - 1] > at else int(turn[k]) if k < len(turn) else len(order)  # an anchor's contexts stay together
+        end = len(order) if stop >= len(order) else end
+        own, at = order[at:end], end
+        part, _ = windows_of(begin[own], count[own] + window - 1)
+        hashed = Hashed.of(text[part])
+        starts, number = windows_of(np.cumsum(count[own] + window - 1) - count[own] - window + 1, count[own])
+        a, h, d = anchor[own][number], hashed.at(starts, starts + window), ids[own][number]
+        rank = np.lexsort((h, a))
+        new = np.ones(len(rank), dtype=bool)
+        new[1:] = (a[rank[1:]] != a[rank[:-1]]) | (h[rank[1:]] != h[rank[:-1]])
+        least = np.empty(len(rank), dtype=np.int64)
+        least[rank] = np.minimum.reduceat(d[rank], np.flatnonzero(new))[np.cumsum(new) - 1]
+        lower[windows_of(place[own], count[own])[0]] = least < d
+    cuts = np.cumsum([0] + [r[2] for r in rows])
+    bounds = np.concatenate(([0], ends))[cuts]
+    out = [(r[1], r[0], pack(lower[a:b].tobytes()), b"") for r, a, b in zip(rows, bounds, bounds[1:])]
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["shard", "range", "flags", "ids"])
+
+
+def read_flags(found: list | None) -> np.ndarray:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return np.frombuffer(b"".join(unpack(r["flags"]) for r in sorted(found or [], key=lambda r: r["range"])), dtype=np.uint8)
+
+
 def read_answers(found: list | None, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A shard's own sorted list of smallest ids to those over all shards, and the flags of anchors with several entries."""
+    """A shard's own sorted list of smallest ids to those over all shards, and which contexts go to the second merge: those whose
+    anchor has several entries, unless another shard has the context with a smaller id and so sends it."""
     unpack = zstandard.ZstdDecompressor().decompress
     rows = sorted(found or [], key=lambda r: r["range"])
-    flags = np.frombuffer(b"".join(unpack(r["flags"]) for r in rows), dtype=np.uint8)
+    flags = read_flags(rows)
     if len(flags) != len(least):
         raise ValueError("a shard's answers don't fit its list")
     out = least.copy()
     out[flags & 1 > 0] = np.frombuffer(b"".join(unpack(r["ids"]) for r in rows), dtype=np.int64)
-    return out, flags & 2 > 0
+    return out, flags == 2
 
 
 def shards(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -331,9 +356,9 @@ def _each(batches, window: int):
             yield row, raw, sizes, contexts(row["ids"], sizes, raw, window)
 
 
-def _exchange(sent_rows: DataFrame, ranges: int) -> DataFrame:
+def _exchange(sent_rows: DataFrame, ranges: int, answers: Callable[[list[tuple]], pa.RecordBatch]) -> DataFrame:
     """To the merging tasks, and each shard's answers back as one row."""
-    answers_ = sent_rows.repartition(ranges, "range").sortWithinPartitions("range", "shard").mapInArrow(merged, ANSWER)
+    answers_ = sent_rows.repartition(ranges, "range").sortWithinPartitions("range", "shard").mapInArrow(lambda rows: merged(rows, answers), ANSWER)
     return materialize(answers_.groupBy("shard").agg(F.collect_list(F.struct("range", "flags", "ids")).alias("found")), "answers")
 
 
@@ -352,7 +377,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids. Texts shorter than the window are kept. Equality of strings between shards is that of 64 bits of the string's hash within those of one anchor (40 bits more); a shard's own
     are compared byte by byte.
     """
-    if window < ANCHOR + 8:
+    if window < 24:
         raise ValueError("windows must be longer than the anchors")
     table = shards(docs, id_col, text_col)
     total = table.agg(F.coalesce(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)")), F.lit(0))).first()[0]
@@ -361,50 +386,41 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def send_contexts(batches):
         for row, _, _, c in _each(batches, window):
             if c:
-                yield sent(row["shard"], c.anchor, c.hash, c.least, ranges)
+                yield sent(row["shard"], c.anchor, c.least, ranges, lambda a, b: c.hash[a:b].astype("<u8").tobytes())
 
-    one = _exchange(table.mapInArrow(send_contexts, SENT), ranges)
+    one = _exchange(table.mapInArrow(send_contexts, SENT), ranges, answers)
     known = _with(table, one, "one")
 
     def send_windows(batches):
         for row, _, _, c in _each(batches, window):
             if c:
                 c.least, several = read_answers(row["one"], c.least)
-                s = singles(c, several, window)
-                if len(s.anchor):
-                    yield sent(row["shard"], s.anchor, s.hash, s.least, 2 * ranges)
+                if several.any():
+                    yield sent_texts(row["shard"], c, np.flatnonzero(several), window, ranges)
 
-    two = _exchange(known.mapInArrow(send_windows, SENT), 2 * ranges)
+    two = _exchange(known.mapInArrow(send_windows, SENT), ranges, lambda rows: window_answers(rows, window))
 
     def finish(batches):
         for row, raw, sizes, c in _each(batches, window):
             gone = np.zeros(len(raw) + 1, dtype=np.int32)
             if c:
-                local = c.least
-                c.least, several = read_answers(row["one"], local)
+                c.least, several = read_answers(row["one"], c.least)
                 mine = c.ids[c.doc]
                 runs = np.flatnonzero(c.least[c.of] < mine)
                 np.add.at(gone, c.lo[runs], 1)
                 np.add.at(gone, c.lo[runs] + c.count[runs] + window - 1, -1)
-                s = singles(c, several, window)
-                if len(s.anchor):
-                    least, _ = read_answers(row["two"], s.least)
+                if several.any():
+                    hit, count = read_flags(row["two"]), c.count[c.first]
+                    begin = np.cumsum(np.where(several, count, 0)) - count
+                    if len(hit) != int(count[several].sum()):
+                        raise ValueError("a shard's answers don't fit its windows")
                     # the runs of the context's own document: all others are gone as a whole
-                    hit = least[s.of] < s.owner
-                    table_ = {}
-                    chosen = np.flatnonzero(several)
-                    begin = np.concatenate(([0], np.cumsum(c.count[c.first[chosen]])))
-                    for k, ctx in enumerate(chosen.tolist()):
-                        part = hit[begin[k] : begin[k + 1]]
-                        if part.any():
-                            table_[ctx] = np.flatnonzero(part)
-                    if table_:
-                        wanted = np.zeros(len(c.anchor), dtype=bool)
-                        wanted[list(table_)] = True
-                        for r in np.flatnonzero(wanted[c.of] & ~(c.least[c.of] < mine)).tolist():
-                            at = c.lo[r] + table_[int(c.of[r])]
-                            np.add.at(gone, at, 1)
-                            np.add.at(gone, at + window, -1)
+                    runs = np.flatnonzero(several[c.of] & (c.least[c.of] == mine))
+                    at = c.of[runs]
+                    places, number = windows_of(c.lo[runs], count[at])
+                    places = places[hit[windows_of(begin[at], count[at])[0]] > 0]
+                    np.add.at(gone, places, 1)
+                    np.add.at(gone, places + window, -1)
             yield _kept(row["ids"], raw, sizes, np.cumsum(gone[:-1]) > 0)
 
     both = _with(known, two, "two")
