@@ -550,6 +550,28 @@ def test_near_copies_recall_by_similarity(spark, size, similarity):
     assert simhash.drop_near_copies(frame(spark, [])).collect() == []
 
 
+def test_near_copies_by_simhash(spark):
+    """What SimHash links is found where the minima's tally links nothing (more bytes than there are), and only if the exact similarity holds."""
+    rng = random.Random(53)
+    bits = lambda a, b: ((simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)) % (1 << 64)).bit_count()
+    rows, want, unlike = [], set(), 0
+    for k in range(2000):
+        own = words(rng, 300, 5000).split()
+        cut = rng.choice((3, 60, 100)) if k < 60 else 100
+        a, b = " ".join(own), " ".join(own[: len(own) - cut])
+        near, like = bits(a, b) <= 4, 296 - cut >= 0.8 * 296
+        if k >= 60 and (like or not near):
+            continue
+        unlike += near and not like
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        want |= {2 * k} | (set() if near and like else {2 * k + 1})
+        if k >= 60 and unlike > 1:
+            break
+    assert unlike > 1 and len(want) < len(rows) - 10
+    got = simhash.drop_near_copies(frame(spark, rows), least=161).collect()
+    assert {r.doc_id for r in got} == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300) if k % 50] + [(7, 7)], "a long, b long").repartition(7)
     got = {r.id: r.root for r in connected_components(edges).collect()}
