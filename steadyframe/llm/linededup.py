@@ -60,13 +60,14 @@ def band_keys(lines: list[bytes], width: int, bands: int, rows: int) -> np.ndarr
 
 def shingles(raw: bytes, width: int) -> np.ndarray:
     """Sorted distinct windows of ``width`` <= 8 bytes as numbers, exactly; a shorter line is one window, padded by zeros."""
-    buf = np.frombuffer(raw if len(raw) >= width else raw.ljust(width, b"\0"), dtype=np.uint8)
-    n = len(buf) - width + 1
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(width):
-        out = (out << np.uint64(8)) | buf[k : k + n]
+    n = max(1, len(raw) - width + 1)
+    # eight bytes from each place, read where they lie, less those beyond the window
+    out = np.ndarray(n, dtype="<u8", buffer=raw + bytes(8), strides=(1,)) & np.uint64((1 << 8 * width) - 1)
     out.sort()
-    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+    new = np.empty(n, dtype=bool)
+    new[0] = True
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out[new]
 
 
 def _lines(docs: DataFrame, text_col: str, *more: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import random
 import string
+import timeit
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from steadyframe.llm import iblt, linededup, packing, queries
@@ -50,6 +52,30 @@ def test_pairs_at_the_threshold_meet_by_default(spark):
     assert got.agg(F.sum("n_removed")).first()[0] == want
 
 
+def test_shingles_are_windows_and_cheap():
+    """The windows of lines of every length as sets, and a cost well below a pass for each byte of the window."""
+    rng = np.random.default_rng(23)
+    for width in range(1, 9):
+        for n in [*range(1, 20), 300]:
+            raw = rng.choice(np.array([0, 1, 97, 255], dtype=np.uint8), n).tobytes()
+            whole = raw.ljust(width, b"\0")
+            want = {whole[k : k + width] for k in range(len(whole) - width + 1)}
+            got = linededup.shingles(raw, width)
+            assert (got[1:] > got[:-1]).all() and {int(x).to_bytes(8, "little")[:width] for x in got} == want and len(got) == len(want)
+
+    def passes(raw, width):
+        buf = np.frombuffer(raw, dtype=np.uint8)
+        out = np.zeros(len(buf) - width + 1, dtype=np.uint64)
+        for k in range(width):
+            out = (out << np.uint64(8)) | buf[k : k + len(out)]
+        out.sort()
+        return out[np.concatenate(([True], out[1:] != out[:-1]))]
+
+    raw = rng.integers(97, 123, 300, dtype=np.uint8).tobytes()
+    cost = lambda f: min(timeit.repeat(lambda: f(raw, 7), number=300, repeat=9))
+    assert cost(linededup.shingles) < 0.75 * cost(passes)
+
+
 # --- op9
 
 
