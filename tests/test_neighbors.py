@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from steadyframe.operators import rerank
+from steadyframe.plans import catalog
 
 SCHEMA = "segment_id string, frame_idx long, k int, score double, x1 double, y1 double, x2 double, y2 double"
 
@@ -60,3 +61,12 @@ def test_frames_by_stretches_equal_a_loop(spark):
         assert len(found) == len(rows) == len(got)
         for r in rows:
             assert got[r[:3]] == pytest.approx((*side(r, -1), *side(r, 1)), abs=1e-12)
+
+
+def test_repeated_keys_keep_the_lowest_rank(spark, tmp_path):
+    """Ten rows of one key and one of another, in files of their own."""
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"
+    spark.createDataFrame([(1, 5, 3, 1)] * 10 + [(2, 5, 3, 1)], line).repartition(11).write.parquet(str(tmp_path / "lineitem.parquet"))
+    ranks = sorted(r.candidate_rank for r in catalog.distinct_candidates(spark, str(tmp_path)).collect())
+    scores = {k: (k * 7919 + 104729 + 155) % 9973 for k in (1, 2)}
+    assert ranks == ([1, 11] if scores[1] > scores[2] else [1, 2])
