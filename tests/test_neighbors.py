@@ -70,3 +70,15 @@ def test_repeated_keys_keep_the_lowest_rank(spark, tmp_path):
     ranks = sorted(r.candidate_rank for r in catalog.distinct_candidates(spark, str(tmp_path)).collect())
     scores = {k: (k * 7919 + 104729 + 155) % 9973 for k in (1, 2)}
     assert ranks == ([1, 11] if scores[1] > scores[2] else [1, 2])
+
+
+def test_what_is_kept_for_all_folds_is_a_row_a_frame(spark):
+    rng = np.random.default_rng(9)
+    rows = [("S", f, k, *map(float, rng.random(5))) for f in range(20) for k in range(f + 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    frames, schema = rerank.supported_frames(df)
+    assert frames.columns == ["segment_id", "frame_idx", "rows"] and frames.count() == 20
+    folds = frames.join(rerank.contiguous_folds(frames, 4), ["segment_id", "frame_idx"])
+    got = rerank.unpacked(folds, schema, ("fold",)).collect()
+    want = {(r.frame_idx, r.k): r for r in rerank.neighbor_support(df, ["k"]).collect()}
+    assert len(got) == len(rows) and all(r.fold == r.frame_idx // 5 and tuple(r)[:-1] == tuple(want[r.frame_idx, r.k]) for r in got)
